@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     """Complementary error function, which Spark SQL lacks."""
     return x.map(math.erfc, na_action="ignore")

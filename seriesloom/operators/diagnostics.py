@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.functions.quantiles import exact_quantiles
 from seriesloom.functions.tails import chi2_tail
@@ -75,7 +76,7 @@ def acf(panel: DataFrame, max_lag: int = 12, value: str = "y", key: str = "id",
     return out.withColumn("lag", F.col("lag") + 1).withColumn("band", F.lit(1.96) / F.sqrt("n"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def durbin_levinson(r: pd.Series) -> pd.Series:
     """Partial autocorrelations from autocorrelations at lags 1, 2, ..., for a batch of series at once."""
     rows = np.array([np.asarray(v, dtype=float) for v in r])

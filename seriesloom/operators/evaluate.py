@@ -41,7 +41,10 @@ def accuracy(
         (mae / F.nullif(F.avg("_step"), F.lit(0.0))).alias("mase"),
         (100 * F.avg(F.when(both != 0, 2 * F.abs(e) / both))).alias("smape"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.pow(F.corr(y, f), F.lit(2.0)).alias("rsq"),
+        # written out, since corr fails on a constant forecast
+        (
+            F.pow(F.covar_pop(y, f), F.lit(2.0)) / F.nullif(F.var_pop(y) * F.var_pop(f), F.lit(0.0))
+        ).alias("rsq"),
     )
 
 

@@ -23,6 +23,7 @@ def local_session(app: str = "seriesloom", cores: int | str = "*", memory: str =
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in TUNED.items():
