@@ -1,6 +1,6 @@
 """Registered queries bound to the test tables, with their check SQL."""
 
-from seriesloom.plans import clean_plans, diagnostic_plans, evaluation_plans, feature_plans, model_plans, relational_plans, source_plans  # noqa: F401
+from seriesloom.plans import clean_plans, cluster_plans, diagnostic_plans, evaluation_plans, feature_plans, model_plans, relational_plans, source_plans  # noqa: F401
 from seriesloom.plans.registry import CHECKS, QUERIES
 
 

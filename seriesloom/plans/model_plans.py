@@ -172,7 +172,6 @@ def scenario_forecast(spark, sf):
     scen = bl.scenario_rates(b.rates(spark, sf), "2001-09-01", SHOCKS)
     future = stage(u.attach_scenarios(cal.future_frame(p.select("id", "ds", "y"), HORIZON, bind=False), scen))
     # each (series, scenario) is one row to fit, known by a joint key
-    joint = F.struct("id", "scenario")
     names = F.array(*[F.lit(s) for s in SHOCKS])
     history = p.withColumn("scenario", F.explode(names)).withColumn("key", F.concat_ws("|", "id", "scenario"))
     arrays = sm.series_arrays(history, ["rate"], future.withColumn("key", F.concat_ws("|", "id", "scenario")), key="key")
