@@ -18,18 +18,23 @@ def pad_calendar(
 ) -> DataFrame:
     """Give every series one row per month between common bounds.
 
-    One shuffle by series: its months are gathered into a map (bounded by the calendar),
-    laid out along the month sequence and unfolded again. The result stays partitioned by
-    series, so later windows over it need no further shuffle.
+    One shuffle by series: each row unfolds into itself and the empty months up to the next
+    row, the first row also into those before it. The result stays partitioned by series, so
+    later windows over it need no further shuffle. Months outside the bounds are dropped.
     """
     low, high = bounds or (panel.agg(F.min(when)).scalar(), panel.agg(F.max(when)).scalar())
-    found = panel.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(when), F.struct(*values)))).alias("_m")
+    w = Window.partitionBy(key).orderBy(when)
+    inside = panel.where((F.col(when) >= low) & (F.col(when) <= high))
+    spans = inside.select(
+        key,
+        F.col(when).alias("_at"),
+        *values,
+        F.when(F.lag(when).over(w).isNull(), low).otherwise(F.col(when)).alias("_from"),
+        F.coalesce(F.add_months(F.lead(when).over(w), -1), high).alias("_to"),
     )
-    months = F.sequence(low, high, F.expr("interval 1 month"))
-    laid = found.select(key, "_m", F.explode(months).alias(when))
-    at = F.try_element_at("_m", F.col(when))
-    return laid.select(key, when, *[F.coalesce(at[v], F.lit(fill).cast("double")).alias(v) for v in values])
+    laid = spans.withColumn(when, F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))))
+    cell = lambda v: F.when(F.col(when) == F.col("_at"), F.col(v)).otherwise(F.lit(fill).cast("double")).alias(v)
+    return laid.select(key, when, *[cell(v) for v in values])
 
 
 def future_frame(panel: DataFrame, h: int, bind: bool = True, key: str = "id", when: str = "ds") -> DataFrame:

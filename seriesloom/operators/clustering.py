@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import distances as ds
-from seriesloom.operators.reshape import to_arrays
-from seriesloom.operators.similarity import BLOCK, per_row, tile_sums, tiles, zscore
+from seriesloom.operators.similarity import BLOCK, per_row, tile_sums, tiles, z_arrays
 from seriesloom.session import cut, stage
 
 
@@ -246,7 +245,7 @@ def cluster_sync(panel: DataFrame, window: int = 3, B: int = 100, alpha: float =
     contributes most leaves; those that left form the pool of the next group. Series leave one
     by one, so the number of tests grows with the series that do not fit.
     """
-    remaining = stage(zscore(to_arrays(panel)))
+    remaining = stage(z_arrays(panel))
     labelled, label = None, 1
     while True:
         left: list = []

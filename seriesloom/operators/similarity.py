@@ -21,19 +21,20 @@ from pyspark.sql import types as T
 
 from seriesloom.functions import distances as ds
 from seriesloom.operators.diagnostics import lag_products
-from seriesloom.operators.reshape import to_arrays
 
 BLOCK = 256
 
 
-def zscore(arrays: DataFrame, column: str = "a") -> DataFrame:
-    """z-score each series within its row; series without variation are left out."""
-    n = F.size(column)
-    mean = F.aggregate(column, F.lit(0.0), lambda s, v: s + v) / n
-    centred = arrays.withColumn("_m", mean).withColumn("_c", F.transform(column, lambda v: v - F.col("_m")))
-    sd = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, v: s + v * v) / (n - 1))
-    scaled = centred.withColumn("_s", sd).where(F.col("_s") > 0)
-    return scaled.withColumn(column, F.transform("_c", lambda v: v / F.col("_s"))).drop("_m", "_c", "_s")
+def z_arrays(panel: DataFrame, key: str = "id", when: str = "ds", value: str = "y") -> DataFrame:
+    """One row per series with its z-scored values in date order; series without variation are left out.
+
+    The moments come from the same aggregate as the array. Computed from the array inside the
+    row, the optimizer would move them into the lambda and repeat them per element.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(when).alias("t"), F.col(value).alias("v"))))
+    nested = panel.groupBy(key).agg(pairs.alias("_p"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    z = F.transform("_p", lambda p: (p["v"] - F.col("_m")) / F.col("_s"))
+    return nested.where(F.col("_s") > 0).select(F.col(key).alias("id"), z.alias("a"))
 
 
 def per_row(fn: Callable[[np.ndarray], np.ndarray], column: str | Column) -> Column:
@@ -52,15 +53,14 @@ def feature_arrays(panel: DataFrame, how: str, p: float = 0.05, max_lag: int = 2
         sums = lag_products(panel, ["id"], "y", range(1, max_lag + 1)).where(F.col("_ss") > 0)
         weight = lambda k: F.sqrt(F.lit(p) * F.pow(F.lit(1 - p), k + 1))
         return sums.select("id", F.transform("_lp", lambda s, k: s / F.col("_ss") * weight(k)).alias("a")), ds.euclid
-    arrays = to_arrays(panel)
+    z = z_arrays(panel)
     if how == "euclid":
-        return zscore(arrays), ds.euclid
+        return z, ds.euclid
     if how == "intper":
-        return zscore(arrays).withColumn("a", per_row(ds.integrated_periodogram, "a")), ds.manhattan
+        return z.withColumn("a", per_row(ds.integrated_periodogram, "a")), ds.manhattan
     if how == "spectral":
-        return zscore(arrays).withColumn("a", per_row(lambda v: ds.log_spectrum(v, points), "a")), ds.likelihood_ratio
+        return z.withColumn("a", per_row(lambda v: ds.log_spectrum(v, points), "a")), ds.likelihood_ratio
     if how == "ar":
-        z = zscore(arrays)
         if order is None:
             best = z.select(per_row(lambda v: np.array([ds.ar_order(v, min(6, len(v) // 6 or 1))]), "a")[0].alias("k"))
             order = int(best.agg(F.max("k")).first()[0])
@@ -70,7 +70,7 @@ def feature_arrays(panel: DataFrame, how: str, p: float = 0.05, max_lag: int = 2
 
 
 def dtw_arrays(panel: DataFrame, window: int | None = None, diagonal: float = 2.0) -> tuple[DataFrame, ds.Kernel]:
-    return zscore(to_arrays(panel)), ds.dtw(window, diagonal)
+    return z_arrays(panel), ds.dtw(window, diagonal)
 
 
 # tiles

@@ -10,7 +10,6 @@ from seriesloom.functions import distances as ds
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import clustering as cl
 from seriesloom.operators import similarity as si
-from seriesloom.operators.reshape import to_arrays
 from seriesloom.operators.rollup import count_by
 from seriesloom.plans import bindings as b
 from seriesloom.plans.bindings import sql
@@ -63,8 +62,30 @@ def dist_periodogram(spark, sf):
     return table(spark, sf, "intper")
 
 
-@query("dist_ar_pvalue")
+@query(
+    "dist_ar_pvalue",
+    sql(
+        """SELECT id_a, id_b, round(exp(-(vb * d1 * d1 - 2 * vc * d1 * d2 + va * d2 * d2) / (va * vb - vc * vc) / 2), 6) + 0.0 AS dist FROM (
+           SELECT a.id AS id_a, c.id AS id_b, a.b1 - c.b1 AS d1, a.b2 - c.b2 AS d2, a.v11 + c.v11 AS va, a.v22 + c.v22 AS vb, a.v12 + c.v12 AS vc
+           FROM est a JOIN est c ON a.id < c.id)""",
+        "fullm",
+        z=Z,
+        lagged="SELECT id, z, lag(z, 1) OVER w AS x1, lag(z, 2) OVER w AS x2 FROM z WINDOW w AS (PARTITION BY id ORDER BY t)",
+        mom="""SELECT id, count(*) AS n, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * z) AS t1, sum(x2 * z) AS t2, sum(z * z) AS yy
+               FROM lagged WHERE x2 IS NOT NULL GROUP BY id""",
+        fit="SELECT *, (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) AS b1, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) AS b2 FROM mom",
+        est="""SELECT id, b1, b2, (yy - b1 * t1 - b2 * t2) / (n - 2) * s22 / (s11 * s22 - s12 * s12) AS v11,
+               (yy - b1 * t1 - b2 * t2) / (n - 2) * s11 / (s11 * s22 - s12 * s12) AS v22,
+               -(yy - b1 * t1 - b2 * t2) / (n - 2) * s12 / (s11 * s22 - s12 * s12) AS v12 FROM fit""",
+    ),
+)
 def dist_ar_pvalue(spark, sf):
+    return table(spark, sf, "ar", order=2)
+
+
+@query("dist_ar_pvalue_auto")
+def dist_ar_pvalue_auto(spark, sf):
+    """The order is the largest that any series' criterion picks."""
     return table(spark, sf, "ar")
 
 
@@ -159,7 +180,7 @@ def customers(spark, sf):
     """Customers as series over all months, z-scored."""
     months = b.order_months(spark, sf).select(F.col("o_custkey").alias("id"), "ds", F.col("y").cast("double").alias("y"))
     full = cal.pad_calendar(months, bounds=b.bounds(spark, sf))
-    return si.zscore(to_arrays(full))
+    return si.z_arrays(full)
 
 
 @query("cluster_kmeans")

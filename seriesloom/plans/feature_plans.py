@@ -221,8 +221,8 @@ def model_features(spark, sf):
 PREDICTORS = ["index_num", "year", "half", "quarter", "month", "sin12_k1", "cos12_k1", *[f"y_lag{k}" for k in range(1, 7)]]
 
 
-@query("feature_pipeline")
-def feature_pipeline(spark, sf):
+@query("feature_prep")
+def feature_prep(spark, sf):
     from seriesloom.session import stage
 
     f = stage(cal.split_last_n(model_features(spark, sf).where("y IS NOT NULL"), HOLDOUT))

@@ -117,7 +117,12 @@ def nested_fit_accuracy(spark, sf):
     return r(ev.nested_accuracy(f, p), 4, "mae", "mape", "mase", "smape", "rmse", "rsq")
 
 
-@query("error_report")
+@query(
+    "error_report",
+    """WITH m AS (SELECT o_custkey, count(DISTINCT date_trunc('month', o_orderdate)) AS n_months FROM orders GROUP BY 1)
+       SELECT CAST(n_months AS BIGINT) AS n_months, CASE WHEN n_months = 1 THEN 'TREND-SEASON' END AS model_desc,
+       CASE WHEN n_months = 1 THEN 'ValueError: series too short' END AS message, CAST(count(*) AS BIGINT) AS n_series FROM m GROUP BY n_months""",
+)
 def error_report(spark, sf):
     """Customers as series: those with a single month cannot be fitted."""
     months = b.order_months(spark, sf).select(F.col("o_custkey").alias("id"), "ds", F.col("y").cast("double").alias("y"))
@@ -235,7 +240,7 @@ def global_forecast(spark, sf):
     return r(bl.invert_forecast(ahead, params), 2, "value")
 
 
-@query("model_registry")
+@query("model_registry", "SELECT 1 AS model_id, 'RANDOM FOREST' AS model_desc, 'RandomForestRegressionModel' AS engine UNION ALL SELECT 2, 'BOOSTED TREES', 'GBTRegressionModel'")
 def model_registry(spark, sf):
     f = prepared(spark, sf)
     train = f.where("split = 'train'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,24 @@ TUNED = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Not needed where the package is installed on the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    # Spark serves the archive to the executors from the driver
+    target = os.path.join(tempfile.mkdtemp(prefix="seriesloom-code-"), "seriesloom")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(context.applicationId)
+
+
 def local_session(app: str = "seriesloom", cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -30,6 +50,7 @@ def local_session(app: str = "seriesloom", cores: int | str = "*", memory: str =
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
