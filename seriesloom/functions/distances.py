@@ -151,3 +151,12 @@ def window_statistic(e: np.ndarray, window: int) -> np.ndarray:
     between = window / (n - 1) * ((mean - mean.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
     within = ((blocks - mean[:, :, None]) ** 2).sum(axis=(1, 2)) / (n * (window - 1))
     return np.sqrt(n) * (between - within)
+
+
+def difference_ar1(e: np.ndarray) -> float:
+    """AR(1) coefficient from differences (Hall and Van Keilegom), which a leftover trend hardly moves."""
+    n = len(e)
+    half_square = lambda m: float(((e[m:] - e[:-m]) ** 2).mean()) / 2
+    lags = range(max(1, round(n**0.1)), max(2, round(n**0.5)) + 1)
+    var = float(np.mean([half_square(m) for m in lags]))
+    return float(np.clip((var - half_square(1)) / var, -0.99, 0.99)) if var > 0 else 0.0

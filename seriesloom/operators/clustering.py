@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import distances as ds
 from seriesloom.operators.similarity import BLOCK, per_row, tile_sums, tiles, z_arrays
-from seriesloom.session import cut, stage
+from seriesloom.session import stage
 
 
 def kmeans(arrays: DataFrame, k: int, seed: int = 1, max_iter: int = 20) -> DataFrame:
@@ -60,11 +60,28 @@ def update(labelled: DataFrame, kernel: ds.Kernel, block: int = BLOCK) -> DataFr
     return scored.groupBy("label").agg(F.min_by(F.struct("id", "a"), F.struct(F.round("s", 9), "id")).alias("_m")).select("label", "_m.*")
 
 
+def spread_start(arrays: DataFrame, k: int, kernel: ds.Kernel, seed: int) -> list[tuple]:
+    """k start medoids far from each other: each next one is drawn with weight distance squared.
+
+    The draw is a seeded hash, so a rerun picks the same ones. One pass per medoid.
+    """
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    first = arrays.orderBy(F.xxhash64("id", F.lit(seed)), "id").first()
+    found = [(first["id"], first["a"])]
+    while len(found) < k:
+        near = assign(arrays, found, kernel).where("dist > 0")
+        pick = near.orderBy(-F.ln(u) / (F.col("dist") * F.col("dist")), "id").select("id").first()
+        if pick is None:
+            break
+        row = arrays.where(F.col("id") == F.lit(pick["id"])).first()
+        found.append((row["id"], row["a"]))
+    return found
+
+
 def kmedoids(arrays: DataFrame, k: int, kernel: ds.Kernel, seed: int = 1, max_iter: int = 20, block: int = BLOCK) -> DataFrame:
     """Partition around k medoids until they repeat: id, label, medoid, dist."""
     kept = stage(arrays.select("id", "a"))
-    start = kept.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
-    medoids = [(r["id"], r["a"]) for r in start]
+    medoids = spread_start(kept, k, kernel, seed)
     labels = assign(kept, medoids, kernel)
     for _ in range(max_iter):
         found = update(kept.join(labels.select("id", "label"), "id"), kernel, block).orderBy("label").collect()
@@ -88,12 +105,12 @@ def connected(edges: DataFrame, ids: DataFrame) -> DataFrame:
     ``edges`` is (id_a, id_b), ``ids`` is (id).
     """
     links = stage(edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).unionByName(edges.select(F.col("id_b").alias("u"), F.col("id_a").alias("v"))))
-    labels = cut(ids.select("id", F.col("id").alias("label")))
+    labels = stage(ids.select("id", F.col("id").alias("label")))
     while True:
         heard = links.join(labels, links.v == labels.id).groupBy("u").agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, labels.id == heard.u, "left").select("id", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
         jump = nearer.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        new = cut(nearer.join(jump, "label", "left").select("id", F.least("label", "root").alias("label"), "was"))
+        new = stage(nearer.join(jump, "label", "left").select("id", F.least("label", "root").alias("label"), "was"))
         changed = not new.where(F.col("label") != F.col("was")).isEmpty()
         labels = new.select("id", "label")
         if not changed:
@@ -217,19 +234,19 @@ def widest_gap(labelled: DataFrame, kernel: ds.Kernel, block: int = BLOCK) -> Da
     def emit(left: pd.DataFrame, right: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
         return pd.concat([cheapest(left, right, matrix), cheapest(right, left, matrix.T)])
 
-    comps = cut(base.select("id", F.col("id").alias("comp")))
+    comps = stage(base.select("id", F.col("id").alias("comp")))
     tree = None
     while True:
         found = tiles(base.join(comps, "id"), kernel, emit, schema, block, "label")
         # ties are broken by the ids, so that no cycle can close
         best = found.groupBy("comp", "label").agg(F.min_by(F.struct("other", "dist"), F.struct("dist", "id_a", "id_b")).alias("_e"))
-        best = cut(best.select("comp", "label", "_e.*"))
+        best = stage(best.select("comp", "label", "_e.*"))
         if best.isEmpty():
             break
         step = best.groupBy("label").agg(F.max("dist").alias("gap"))
         tree = step if tree is None else tree.unionByName(step)
         roots = connected(best.select(F.col("comp").alias("id_a"), F.col("other").alias("id_b")), comps.select(F.col("comp").alias("id")).distinct())
-        comps = cut(comps.join(roots.select(F.col("id").alias("comp"), F.col("label").alias("_root")), "comp").select("id", F.col("_root").alias("comp")))
+        comps = stage(comps.join(roots.select(F.col("id").alias("comp"), F.col("label").alias("_root")), "comp").select("id", F.col("_root").alias("comp")))
     sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     if tree is None:
         return sizes.select("label", F.lit(0.0).alias("widest_gap"))
@@ -271,12 +288,13 @@ def sync_test(group: DataFrame, window: int, B: int, seed: int) -> tuple[float,
     def statistics(v: np.ndarray) -> np.ndarray:
         e = v - level - slope * np.arange(len(v))
         e = e - e.mean()
-        var = e[:-1] @ e[:-1]
-        phi = (e[1:] @ e[:-1]) / var if var > 0 else 0.0
+        phi = ds.difference_ar1(e)
         white = e[1:] - phi * e[:-1]
+        # in units of its own noise, so that no series outweighs the others by its scale
+        white = white / (white.std() or 1.0)
         # draws are seeded by the series' values, so a rerun of the task repeats them
         rng = np.random.default_rng([seed, *np.abs(v[:4] * 1e6).astype(np.int64).tolist()])
-        noise = rng.normal(0.0, white.std() or 1.0, size=(B, len(white)))
+        noise = rng.normal(size=(B, len(white)))
         return ds.window_statistic(np.vstack([white[None, :], noise]), window)
 
     stats = stage(group.select("id", F.posexplode(per_row(statistics, "a")).alias("draw", "stat")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import fourier_pair, month_index
 from seriesloom.operators.features import FeaturePipeline
 from seriesloom.operators.series_models import fit_arima, forecast_rows, residual_rows, series_arrays
-from seriesloom.session import cut, stage
+from seriesloom.session import stage
 
 CALENDAR = ("index_num", "year", "half", "quarter", "month", "sin12_k1", "cos12_k1")
 
@@ -91,7 +91,7 @@ def recursive_forecast(
         scored = model.transform(state.withColumns(columns))
         state = scored.withColumn("_h", F.concat("_h", F.array("prediction"))).select(*keep)
         if step % 4 == 0 and step < h:
-            state = cut(state)
+            state = stage(state)
     return state.select(key, "_last", F.posexplode(F.slice("_h", -h, h)).alias("_k", "value")).select(
         F.col(key).alias("id"), F.add_months("_last", F.col("_k") + 1).alias("ds"), "value"
     )

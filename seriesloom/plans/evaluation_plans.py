@@ -152,7 +152,7 @@ def scenario_rates(spark, sf):
 
 
 # a forecast that reacts to the rate in a known way, so that SQL can follow the scenario flow
-RULE = "round(last_y * (1 - rate / 100), 2)"
+RULE = "round(last_y * (1 - rate / 100) + 1e-6, 2)"
 
 
 def reacting(spark, sf):

@@ -240,6 +240,30 @@ def global_forecast(spark, sf):
     return r(bl.invert_forecast(ahead, params), 2, "value")
 
 
+@query("global_flow")
+def global_flow(spark, sf):
+    """Three global models on a hold-out, their ensembles, inversion to original units, national totals per model."""
+    f = prepared(spark, sf)
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    rf = gm.predict(gm.fit_global(train, "rf", PREDICTORS, ["id"], **SMALL["rf"]), test, 1, "RANDOM FOREST")
+    gbt = gm.predict(gm.fit_global(train, "gbt", PREDICTORS, ["id"], **SMALL["gbt"]), test, 2, "BOOSTED TREES")
+    _, _, boosted = gm.fit_arima_boost(train.select("id", "ds", "y"), HOLDOUT, ["id"], **SMALL["gbt"])
+    single = stage(rf.unionByName(gbt).unionByName(boosted))
+    weights = bl.rank_weights(ev.accuracy(single, f))
+    blends = [
+        bl.ensemble(single, "mean", model_id=101),
+        bl.ensemble(single, "median", model_id=102),
+        bl.ensemble(single, "weighted", weights, model_id=103),
+    ]
+    table = single
+    for one in blends:
+        table = table.unionByName(one)
+    logged = cal.split_last_n(ft.transform(b.full_months(spark, sf), "log1p"), HOLDOUT).where("split = 'train'")
+    params = logged.groupBy("id").agg(F.avg("y").alias("mean_log"), F.stddev_samp("y").alias("sd_log"))
+    original = bl.invert_forecast(table, params)
+    return r(original.groupBy("model_id", "model_desc", "ds").agg(F.sum("value").alias("value")), 2, "value")
+
+
 @query("model_registry", "SELECT 1 AS model_id, 'RANDOM FOREST' AS model_desc, 'RandomForestRegressionModel' AS engine UNION ALL SELECT 2, 'BOOSTED TREES', 'GBTRegressionModel'")
 def model_registry(spark, sf):
     f = prepared(spark, sf)

@@ -238,7 +238,8 @@ def lag_features(spark, sf):
 
 def roll_sql(column: str, k: int) -> str:
     back = (k - 1) // 2
-    return f"round(avg({column}) OVER ({W} ROWS BETWEEN {back} PRECEDING AND {k - 1 - back} FOLLOWING), 4) AS {column}_roll{k}"
+    # both sides move the mean off exact ties before rounding
+    return f"round(avg({column}) OVER ({W} ROWS BETWEEN {back} PRECEDING AND {k - 1 - back} FOLLOWING) + 1e-7, 4) AS {column}_roll{k}"
 
 
 @query(
@@ -251,7 +252,7 @@ def roll_sql(column: str, k: int) -> str:
 )
 def rolling_mean(spark, sf):
     out = o.add_rolling(o.add_lags(b.padded(spark, sf), [6]), "y_lag6", range(1, 7))
-    return out.withColumns({f"y_lag6_roll{k}": F.round(f"y_lag6_roll{k}", 4) for k in range(1, 7)})
+    return out.withColumns({f"y_lag6_roll{k}": F.round(F.col(f"y_lag6_roll{k}") + 1e-7, 4) for k in range(1, 7)})
 
 
 @query(
@@ -263,7 +264,7 @@ def rolling_mean(spark, sf):
     ),
 )
 def lag_roll_transformer(spark, sf):
-    return o.lag_roll(b.padded(spark, sf)).withColumns({f"y_lag3_roll{k}": F.round(f"y_lag3_roll{k}", 4) for k in (3, 6, 12)})
+    return o.lag_roll(b.padded(spark, sf)).withColumns({f"y_lag3_roll{k}": F.round(F.col(f"y_lag3_roll{k}") + 1e-7, 4) for k in (3, 6, 12)})
 
 
 RMSE_SQL = "SELECT model_id, model_desc, round(sqrt(avg((y - value) * (y - value))), 4) AS rmse FROM fc JOIN fullm USING (id, ds) GROUP BY 1, 2"

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.operators.blend import ensemble
-from seriesloom.operators.cleaning import CREDIT_MEASURES, derive_measures, null_to_zero
+from seriesloom.operators import cleaning as c
+from seriesloom.operators.cleaning import CREDIT_MEASURES, null_to_zero
+from seriesloom.operators.rollup import rollup_region
 from seriesloom.plans import bindings as b
+from seriesloom.plans import registry as checks
+from seriesloom.plans import relational_plans  # noqa: F401  (its check is shared below)
 from seriesloom.plans.bindings import sql
 from seriesloom.plans.registry import query
 from seriesloom.session import shared_folder
@@ -106,3 +109,15 @@ def sink_forecast(spark, sf):
     path = shared_folder(spark)
     panels.write_forecast(b.baseline_forecasts(spark, sf), path)
     return panels.read_forecast(spark, path)
+
+
+@query("ingest_clean", checks.CHECKS["rollup_region"])
+def ingest_clean(spark, sf):
+    """Files of two layouts to the region panel: read, clean, derive, date, roll up."""
+    folder = write_files(spark, sf)
+    raw = statements.read_statements(spark, [f"{folder}/early", f"{folder}/late"])
+    kept = c.select_matching(raw, c.CREDIT_CODES)
+    amounts = [n for n in kept.columns if n.startswith("verbete")]
+    wide = null_to_zero(typed(kept, amounts))
+    measures = c.derive_measures(wide, CREDIT_MEASURES, ["x_data_base", "codmun_ibge"])
+    return rollup_region(c.period_to_date(measures, "x_data_base", "data_ref"), "codmun_ibge", "data_ref")

@@ -71,22 +71,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/seriesloom-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's state with a reliable checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is not None:
-            spark.sparkContext.setCheckpointDir(configured)
-        else:
-            shared_folder(spark)
-    return df.checkpoint()
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write a result once to the shared folder and read it back.
 
-    Used where several later steps need the same costly table.
+    Used where several later steps need the same costly table, and to cut the lineage of a
+    loop's state. The table outlives lost executors, and unlike a checkpoint it is computed once.
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
