@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions import distances as ds
 from seriesloom.operators.diagnostics import lag_products
+from seriesloom.session import stage
 
 BLOCK = 256
 
@@ -48,7 +49,15 @@ def per_row(fn: Callable[[np.ndarray], np.ndarray], column: str | Column) -> Col
 
 
 def feature_arrays(panel: DataFrame, how: str, p: float = 0.05, max_lag: int = 25, points: int = 100, order: int | None = None) -> tuple[DataFrame, ds.Kernel]:
-    """Per-series features of a distance and its kernel. ``panel`` is (id, ds, y) on a full calendar."""
+    """Per-series features of a distance and its kernel, written once since tiles read them twice.
+
+    ``panel`` is (id, ds, y) on a full calendar.
+    """
+    features, kernel = _features(panel, how, p, max_lag, points, order)
+    return stage(features), kernel
+
+
+def _features(panel: DataFrame, how: str, p: float, max_lag: int, points: int, order: int | None) -> tuple[DataFrame, ds.Kernel]:
     if how == "acf":
         sums = lag_products(panel, ["id"], "y", range(1, max_lag + 1)).where(F.col("_ss") > 0)
         weight = lambda k: F.sqrt(F.lit(p) * F.pow(F.lit(1 - p), k + 1))
@@ -70,7 +79,7 @@ def feature_arrays(panel: DataFrame, how: str, p: float = 0.05, max_lag: int = 2
 
 
 def dtw_arrays(panel: DataFrame, window: int | None = None, diagonal: float = 2.0) -> tuple[DataFrame, ds.Kernel]:
-    return z_arrays(panel), ds.dtw(window, diagonal)
+    return stage(z_arrays(panel)), ds.dtw(window, diagonal)
 
 
 # tiles
