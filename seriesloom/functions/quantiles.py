@@ -1,9 +1,9 @@
 """Exact quantiles of groups that may hold a large share of all rows.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task.
-Here each group's value range is cut into equal cells, the cells are counted with
-map-side combining, and only the cells that hold a wanted rank are ordered. Every
-row counts; nothing is sampled.
+Spark's exact ``percentile`` keeps every distinct value of a group in one task. Here each
+group's values are put into cells that follow their order, the cells are counted with map-side
+combining, and only the cells that hold a wanted rank are ordered. Every row counts; nothing is
+sampled.
 """
 
 from __future__ import annotations
@@ -14,13 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    cells: int = 2048,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], cells: int = 2048) -> DataFrame:
     """One row per group with ``n`` and one interpolated quantile column per entry of ``probs``.
 
     Interpolation between neighbours is linear, as in SQL's PERCENTILE_CONT. NULLs are left out.
@@ -35,12 +29,11 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    span = counts.groupBy(*by).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n")
-    )
-    placed = counts.join(span, by).withColumn("_cell", _cell(cells))
-    per_cell = placed.groupBy(*by, "_cell").agg(F.sum("_c").alias("_cc"), F.max("n").alias("n"))
-    running = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    key = [*by, "_cell", "_scale"]
+    placed = counts.join(span, by).select(*by, "_v", "_c", "n", _linear_cell(cells).alias("_cell"), _scale_cell().alias("_scale"))
+    per_cell = placed.groupBy(*key).agg(F.sum("_c").alias("_cc"), F.max("n").alias("n"))
+    running = Window.partitionBy(*by).orderBy("_cell", "_scale").rowsBetween(Window.unboundedPreceding, -1)
     ranks = F.array(
         *[
             rank
@@ -51,31 +44,45 @@ def exact_quantiles(
     wanted = (
         per_cell.withColumn("_before", F.coalesce(F.sum("_cc").over(running), F.lit(0)))
         .withColumn("_ranks", F.array_distinct(ranks))
-        .withColumn(
-            "_ranks",
-            F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_cc"))),
-        )
+        .withColumn("_ranks", _ranks_in("_before", "_cc"))
         .where(F.size("_ranks") > 0)
-        .select(*by, "_cell", "_before", "_ranks")
+        .select(*key, "_before", "_ranks")
     )
-    inside = placed.join(wanted, [*by, "_cell"])
-    order = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0))
+    order = Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     hits = (
-        inside.withColumn("_start", start)
-        .withColumn("_hit", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))))
+        placed.join(wanted, key)
+        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
+        .withColumn("_hit", F.explode(_ranks_in("_start", "_c")))
         .groupBy(*by)
         .agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_hit", "_v"))).alias("_at"))
     )
     return hits.select(*by, "n", *[_interpolate(p).alias(name) for name, p in probs.items()])
 
 
-def _cell(cells: int) -> Column:
-    width = F.col("_hi") - F.col("_lo")
-    share = F.when(width > 0, (F.col("_v") - F.col("_lo")) / width).otherwise(F.lit(0.0))
+def _ranks_in(start: str, count: str) -> Column:
+    return F.filter("_ranks", lambda r: (r >= F.col(start)) & (r < F.col(start) + F.col(count)))
+
+
+def _linear_cell(cells: int) -> Column:
+    """Equal parts of the group's range; fine where values fill their range."""
+    # halves, since the width of a range can exceed the largest double
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    share = F.when(width > 0, (F.col("_v") / 2 - F.col("_lo") / 2) / width).otherwise(F.lit(0.0))
     return F.least(F.floor(share * F.lit(cells)), F.lit(cells - 1)).cast("int")
 
 
+def _scale_cell(parts: int = 256) -> Column:
+    """Equal parts of each power of two; fine where far outliers stretch the range.
+
+    Both cells grow with the value, so pairs of them keep the order and there are no more
+    of them than the two counts together.
+    """
+    size = F.abs("_v")
+    power = F.floor(F.log2(size))
+    step = (power + 1075) * parts + F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * parts)
+    return F.when(F.col("_v") > 0, step + 1).when(F.col("_v") < 0, -step - 1).otherwise(F.lit(0)).cast("int")
+
+
 def _interpolate(p: float) -> Column:
     pos = (F.col("n") - 1) * F.lit(p)
     low = F.element_at("_at", F.floor(pos))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.session import stage
+
 
 def _edge_per_period(df: DataFrame, period: Column, when: str, keys: Sequence[str], pick) -> DataFrame:
     marked = df.withColumn("period", period)
@@ -53,10 +55,19 @@ def market_share(panel: DataFrame, value: str = "y", when: str = "ds", digits: i
 
 
 def reorder_category(df: DataFrame, category: str, value: str, out: str = "position") -> DataFrame:
-    """Sum per category and the category's position by that sum, largest first."""
+    """Sum per category and the category's position by that sum, largest first.
+
+    The sums are sorted by range; a category's position is its place in its range plus the
+    sizes of the ranges before it.
+    """
     sums = df.groupBy(category).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias(value))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(value), category)
-    return sums.withColumn(out, F.row_number().over(order))
+    ranged = stage(sums.repartitionByRange(F.desc(value), F.asc(category)).withColumn("_p", F.spark_partition_id()))
+    # one row per range
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(value), category))
+    return ranged.join(offsets, "_p").withColumn(out, (place + F.col("_o")).cast("int")).drop("_p", "_o")
 
 
 def add_lags(panel: DataFrame, lags: Sequence[int], value: str = "y", key: str = "id", when: str = "ds") -> DataFrame:

@@ -30,6 +30,12 @@ def test_hot_group_quantile(spark):
     assert rows == pdf.groupby("g")["v"].median().to_dict()
 
 
+def test_quantile_with_far_outliers(spark):
+    df = spark.range(20_001).select(F.lit(1).alias("g"), F.when(F.col("id") == 0, 1e300).otherwise(F.col("id") / 7.0).alias("v"))
+    row = exact_quantiles(df, ["g"], "v", {"m": 0.5, "top": 1.0}, 64).first()
+    assert row["m"] == pytest.approx(10_001 / 7.0) and row["top"] == 1e300
+
+
 def test_gaps_are_padded_before_lags(spark):
     p = spark.createDataFrame([(1, m, v) for m, v in zip([months(4)[i] for i in (0, 1, 3)], (1.0, 2.0, 4.0))], "id int, ds date, y double")
     full = calendar.pad_calendar(p)
@@ -66,6 +72,13 @@ def test_inverse_of_transform(spark):
         assert r["value"] == pytest.approx(r["y"])
 
 
+def test_positions_over_several_ranges(spark):
+    df = spark.range(500).select((F.col("id") % 100).alias("c"), F.pmod(F.xxhash64(F.col("id") % 100), F.lit(50)).cast("double").alias("y"))
+    rows = ordered.reorder_category(df, "c", "y").orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(1, 101))
+    assert [(-r["y"], r["c"]) for r in rows] == sorted((-r["y"], r["c"]) for r in rows)
+
+
 def test_top_k_keeps_ties(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([9, 7, 7, 7, 1])], "id int, y double")
     assert sorted((r["y"], r["rank"]) for r in ordered.top_k(df, 2).collect()) == [(7.0, 2), (7.0, 2), (7.0, 2), (9.0, 1)]
