@@ -32,12 +32,3 @@ def add_months(when: str | Column, months: int | Column) -> Column:
 def fourier_pair(index: Column, period: float, order: int) -> tuple[Column, Column]:
     angle = index * F.lit(2.0 * math.pi * order / period)
     return F.sin(angle), F.cos(angle)
-
-
-def dot(left: Column, right: Column) -> Column:
-    """Inner product of two arrays of doubles."""
-    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)

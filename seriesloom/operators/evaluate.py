@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from seriesloom.functions.quantiles import exact_quantiles
 
 
-def naive_scale(panel: DataFrame, by: Sequence[str] = (), key: str = "id", when: str = "ds", value: str = "y") -> DataFrame:
-    """Mean absolute one-step change, the denominator of MASE."""
-    step = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(when)))
-    return panel.withColumn("_step", step).groupBy(*by).agg(F.avg("_step").alias("_scale"))
-
-
 def accuracy(
     forecast: DataFrame,
     panel: DataFrame,

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from seriesloom.operators import blend as bl
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import evaluate as ev
-from seriesloom.operators import ordered as o
-from seriesloom.operators import reshape as rs
 from seriesloom.operators import rollup as u
 from seriesloom.plans import bindings as b
 from seriesloom.plans.bindings import sql
 from seriesloom.plans.registry import query
-from seriesloom.plans.relational_plans import FUTURE_SQL, SCEN_SQL, SHOCKS
+from seriesloom.plans.relational_plans import SCEN_SQL, SHOCKS
 
 r = lambda df, digits, *cols: df.withColumns({c: F.round(c, digits) for c in cols})
 METRICS = ["mae", "mape", "mase", "smape", "rmse", "rsq"]

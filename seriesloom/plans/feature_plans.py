@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import features as ft
 from seriesloom.operators import ordered as o
-from seriesloom.operators import rollup as u
 from seriesloom.plans import bindings as b
 from seriesloom.plans.bindings import HOLDOUT, HORIZON, sql
 from seriesloom.plans.registry import query

@@ -10,7 +10,6 @@ from seriesloom.operators import evaluate as ev
 from seriesloom.operators import explain as ex
 from seriesloom.operators import features as ft
 from seriesloom.operators import global_models as gm
-from seriesloom.operators import ordered as o
 from seriesloom.operators import rollup as u
 from seriesloom.operators import series_models as sm
 from seriesloom.operators import tuning as tn

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import month_of
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import ordered as o
 from seriesloom.operators import reshape as r
@@ -12,7 +11,7 @@ from seriesloom.operators import rollup as u
 from seriesloom.operators.cleaning import CREDIT_MEASURES, derive_measures, period_to_date
 from seriesloom.operators.evaluate import accuracy
 from seriesloom.plans import bindings as b
-from seriesloom.plans.bindings import HOLDOUT, MONTH, sql
+from seriesloom.plans.bindings import sql
 from seriesloom.plans.clean_plans import MEASURES_SQL
 from seriesloom.plans.registry import query
 
@@ -63,6 +62,12 @@ def join_future_exog(spark, sf):
     return u.attach_exog(future, b.rates(spark, sf)).select("id", "ds", "y", "rate")
 
 
+@query("uncovered_dates", sql("SELECT DISTINCT ds FROM ahead WHERE ds NOT IN (SELECT ds FROM rates)", "fullm", "rates", ahead=FUTURE_SQL))
+def uncovered_dates(spark, sf):
+    """Months of the horizon that the rate table does not reach."""
+    return u.uncovered_dates(cal.future_frame(b.full_months(spark, sf), b.HORIZON, bind=False), b.rates(spark, sf))
+
+
 @query(
     "join_group_params",
     sql(

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from conftest import months, panel
 from hypothesis import HealthCheck, given, settings
