@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.session import stage
 
-__all__ = ["batches_of", "crc_of_id", "lower_az", "slim", "stage", "table"]
+__all__ = ["batches_of", "crc_of_id", "lower_az", "slim", "sorted_runs", "stage", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,3 +48,22 @@ def batches_of(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole runs of equal keys of a partition that is sorted by them; as many runs at once as a batch has."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        last = [held.column(k)[-1] for k in keys]
+        start = held.num_rows
+        while start > 0 and all(held.column(k)[start - 1] == v for k, v in zip(keys, last)):
+            start -= 1
+        if start:
+            yield held.slice(0, start).combine_chunks()
+            held = held.slice(start).combine_chunks()
+    if held is not None:
+        yield held.combine_chunks()
