@@ -119,7 +119,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     flagged = stage(flag_repeats(stage(slim), **limits))
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     rest = flagged.where("maybe").select("doc_id", "sha")
-    groups = rest.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written before it is joined, so that the join shuffles both sides and Spark can split a hot text
+    groups = stage(rest.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     met = rest.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionAll(met)
 
