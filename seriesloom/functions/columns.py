@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,9 @@ def month_index(when: str | Column) -> Column:
     return F.year(col) * 12 + F.month(col) - 1
 
 
-def cents_sum(value: str | Column) -> Column:
-    """Sum of money that does not depend on the order of the rows."""
-    col = F.col(value) if isinstance(value, str) else value
-    return F.sum(col.cast("decimal(18,2)")).cast("double")
+def money(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns as decimals of two places, so that their sums do not depend on the order of the rows."""
+    return df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in columns})
 
 
 def add_months(when: str | Column, months: int | Column) -> Column:

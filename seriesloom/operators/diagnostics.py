@@ -103,9 +103,8 @@ def pacf(panel: DataFrame, max_lag: int = 12, value: str = "y", key: str = "id",
 
 def ts_regression(df: DataFrame, predictors: Sequence[str], value: str = "y") -> DataFrame:
     """Linear regression by normal equations: one row per coefficient with its error, t, p and the fit's R squared."""
-    rows = VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="skip").transform(
-        df.where(F.col(value).isNotNull())
-    )
+    known = df.select(*predictors, value).dropna()  # the usual rule: rows that lack a term or the outcome are left out
+    rows = VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="error").transform(known)
     model = LinearRegression(labelCol=value, solver="normal").fit(rows)
     s = model.summary
     names = [*predictors, "(Intercept)"]

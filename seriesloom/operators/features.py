@@ -134,7 +134,8 @@ def drop_zero_variance(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, float]]:
     """Pearson correlation of every pair of feature columns, from one pass over the rows."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(df).select("_x")
+    known = df.select(*columns).dropna()  # a correlation is of rows that have all the columns
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="error").transform(known).select("_x")
     m = Correlation.corr(vectors, "_x").first()[0].toArray()
     return [(a, b, float(m[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
 
@@ -189,7 +190,7 @@ class FeaturePipeline:
             )
         stages.append(
             VectorAssembler(
-                inputCols=[*self.predictors, *[f"{c}__v" for c in self.nominal]], outputCol="features", handleInvalid="skip"
+                inputCols=[*self.predictors, *[f"{c}__v" for c in self.nominal]], outputCol="features", handleInvalid="error"
             )
         )
         return stages

@@ -31,12 +31,18 @@ def fit_global(
     value: str = "y",
     **params,
 ) -> PipelineModel:
-    """Preprocessing and trees, fitted on training rows only."""
+    """Preprocessing and trees, fitted on training rows only; rows with an empty predictor are left out by ``complete``."""
+    train = complete(train, [*predictors, value])
     prepared = FeaturePipeline(predictors, nominal, value).fit(train)
     model = estimator(kind, value, **params).fit(prepared.transform(train))
     return PipelineModel(stages=[*prepared.stages, model])
 
 
+def complete(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a value in each of the columns, such as those after a series' first lags."""
+    return rows.dropna(subset=list(columns))
+
+
 def predict(model: PipelineModel, rows: DataFrame, model_id: int, model_desc: str, key: str = "id", when: str = "ds") -> DataFrame:
     """Predictions as a forecast table."""
     return model.transform(rows).select(
@@ -67,17 +73,25 @@ def recursive_forecast(
     key: str = "id",
     when: str = "ds",
     value: str = "y",
-    memory: int = 24,
+    status: bool = False,
 ) -> DataFrame:
     """Forecast h steps for all series together; each step sees the predictions before it.
 
-    A series is one row with its last ``memory`` values, so a step is a projection without a
-    shuffle. The lineage is cut every few steps.
+    A series is one row with the last values that lags and rolling means reach, so a step is a projection without a
+    shuffle. The lineage is cut every few steps. With ``status``, series that are too short for the lags get a row of
+    their own that says so, instead of h rows with the status ``ok``; without it they raise an error.
     """
+    reach = [roll_lag + (n - 1) // 2 for n in periods]
+    memory, least = max([1, *lags, *reach]), max([1, *lags, *[roll_lag - (n - (n - 1) // 2 - 1) for n in periods]])
     ordered = F.array_sort(F.collect_list(F.struct(F.col(when).alias("t"), F.col(value).alias("v"))))
     state = history.groupBy(key).agg(ordered.alias("_p")).select(
         key, F.element_at("_p", -1)["t"].alias("_last"), F.slice("_p", -F.least(F.size("_p"), F.lit(memory)), memory)["v"].alias("_h")
     )
+    state = stage(state)
+    short = state.where(F.size("_h") < least).select(key, F.size("_h").alias("_n"))
+    if not status and (first := short.first()) is not None:
+        raise ValueError(f"series {first[0]} has {first[1]} months; the lags need {least}")
+    state = state.where(F.size("_h") >= least)
     past = lambda k: F.try_element_at("_h", F.lit(-k))
     keep = state.columns
     for step in range(1, h + 1):
@@ -87,14 +101,18 @@ def recursive_forecast(
         for n in periods:
             back = (n - 1) // 2
             cells = F.array_compact(F.array(*[past(roll_lag - offset) for offset in range(-back, n - back)]))
-            columns[f"{value}_lag{roll_lag}_roll{n}"] = F.aggregate(cells, F.lit(0.0), lambda s, v: s + v) / F.size(cells)
+            columns[f"{value}_lag{roll_lag}_roll{n}"] = F.try_divide(F.aggregate(cells, F.lit(0.0), lambda s, v: s + v), F.size(cells))
         scored = model.transform(state.withColumns(columns))
         state = scored.withColumn("_h", F.concat("_h", F.array("prediction"))).select(*keep)
         if step % 4 == 0 and step < h:
             state = stage(state)
-    return state.select(key, "_last", F.posexplode(F.slice("_h", -h, h)).alias("_k", "value")).select(
+    rows = state.select(key, "_last", F.posexplode(F.slice("_h", -h, h)).alias("_k", "value")).select(
         F.col(key).alias("id"), F.add_months("_last", F.col("_k") + 1).alias("ds"), "value"
     )
+    if not status:
+        return rows
+    why = short.select(F.col(key).alias("id"), F.concat_ws(" ", F.lit("too short:"), "_n", F.lit(f"of {least} months")).alias("status"))
+    return rows.withColumn("status", F.lit("ok")).unionByName(why, allowMissingColumns=True)
 
 
 def fit_arima_boost(

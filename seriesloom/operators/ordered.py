@@ -60,7 +60,7 @@ def reorder_category(df: DataFrame, category: str, value: str, out: str = "posit
     The sums are sorted by range; a category's position is its place in its range plus the
     sizes of the ranges before it.
     """
-    sums = df.groupBy(category).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias(value))
+    sums = df.groupBy(category).agg(F.sum(value).cast("double").alias(value))
     ranged = stage(sums.repartitionByRange(F.desc(value), F.asc(category)).withColumn("_p", F.spark_partition_id()))
     # one row per range
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
@@ -135,14 +135,14 @@ def interpolate(panel: DataFrame, column: str, key: str = "id", when: str = "ds"
 
 
 def extend_with_anchor(
-    rates: DataFrame, anchor: DataFrame, end: str, column: str = "rate", key: str = "id", when: str = "ds"
+    rates: DataFrame, anchor: DataFrame, end: str | Column, column: str = "rate", key: str = "id", when: str = "ds"
 ) -> DataFrame:
     """Append empty months up to ``end`` (exclusive) and the anchor value at ``end``.
 
     ``anchor`` has one ``(id, value)`` row per series.
     """
     last = rates.groupBy(key).agg(F.max(when).alias("_last"))
-    stop = F.lit(end).cast("date")
+    stop = F.lit(end).cast("date") if isinstance(end, str) else end
     months = F.sequence(F.add_months("_last", 1), F.add_months(stop, -1), F.expr("interval 1 month"))
     open_months = F.when(F.add_months("_last", 1) < stop, months)
     empty = last.select(key, F.explode(open_months).alias(when), F.lit(None).cast("double").alias(column))

@@ -7,14 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import cents_sum
 from seriesloom.functions.quantiles import exact_quantiles
 from seriesloom.operators.cleaning import numeric_columns, with_region
 
 
 def agg_panel(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Sum measures per key. Rows meet in the map stage, so a key with most of the rows sends few."""
-    return df.groupBy(*keys).agg(*[cents_sum(m).alias(m) for m in measures])
+    """Sum measures per key, in the precision they have: decimals exactly, doubles as they are.
+
+    Rows meet in the map stage, so a key with most of the rows sends few.
+    """
+    return df.groupBy(*keys).agg(*[F.sum(m).cast("double").alias(m) for m in measures])
 
 
 def rollup_region(df: DataFrame, code: str, when: str, measures: Sequence[str] | None = None, region: str = "uf") -> DataFrame:
@@ -99,4 +101,4 @@ def uncovered_dates(future: DataFrame, rates: DataFrame, on: str = "ds") -> Data
 
 def conditional_sum(value: str, cases: Mapping[str, Column]) -> list[Column]:
     """One sum per named condition, in one pass."""
-    return [cents_sum(F.when(cond, F.col(value)).otherwise(F.lit(0))).alias(name) for name, cond in cases.items()]
+    return [F.sum(F.when(cond, F.col(value)).otherwise(F.lit(0))).cast("double").alias(name) for name, cond in cases.items()]

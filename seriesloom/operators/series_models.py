@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import kernels
+from seriesloom.functions.columns import month_index
 
 FIT = "model_id int, model_desc string, form string, aicc double, params array<double>, ahead array<double>, resid array<double>, status string, message string"
 MODELS = {1: "TREND-SEASON", 2: "ARIMA", 3: "ETS", 4: "TBATS"}
@@ -31,18 +32,32 @@ def series_arrays(
     key: str = "id",
     when: str = "ds",
     value: str = "y",
+    h: int | None = None,
 ) -> DataFrame:
-    """One row per series with history and known future regressors. Rows with a NULL value are left out."""
-    points = F.array_sort(F.collect_list(F.struct(F.col(when).alias("t"), F.col(value).alias("v"), *regressors)))
+    """One row per series with history and known future regressors, laid out by month.
+
+    A month without a value between the first and the last stays NULL, and ``y`` is NULL as a whole where months repeat: the fits
+    report both as errors. Future regressors cover the ``h`` months after the last value, or as many as are known;
+    months that are not known are NULL.
+    """
+    points = F.array_sort(F.collect_list(F.struct(month_index(when).alias("t"), F.col(when).alias("ds"), F.col(value).alias("v"), *regressors)))
     nested = train.where(F.col(value).isNotNull()).groupBy(key).agg(points.alias("_p"))
-    start = F.add_months(F.element_at("_p", -1)["t"], 1)
-    x = F.array(*[F.col(f"_p.{c}") for c in regressors]) if regressors else F.array().cast("array<array<double>>")
-    out = nested.select(F.col(key).alias("id"), start.alias("start"), F.col("_p.v").alias("y"), x.alias("x"))
+    first, last = F.element_at("_p", 1)["t"], F.element_at("_p", -1)["t"]
+    single = F.size(F.array_distinct("_p.t")) == F.size("_p")
+    by_month = F.map_from_arrays("_p.t", "_p")
+    cells = F.when(single & (last - first + 1 == F.size("_p")), F.col("_p")).when(single, F.transform(F.sequence(first, last), lambda i: F.try_element_at(by_month, i)))
+    laid = nested.withColumn("_c", cells)
+    x = F.array(*[F.col(f"_c.{c}") for c in regressors]) if regressors else F.array().cast("array<array<double>>")
+    start = F.add_months(F.element_at("_p", -1)["ds"], 1)
+    out = laid.select(F.col(key).alias("id"), start.alias("start"), F.col("_c.v").alias("y"), x.alias("x"), last.alias("_last"))
     if not regressors:
-        return out.withColumn("x_ahead", F.array().cast("array<array<double>>"))
-    ahead = future.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(when, *regressors))).alias("_f"))
-    known = F.array(*[F.col(f"_f.{c}") for c in regressors])
-    return out.join(ahead.withColumnRenamed(key, "id"), "id").withColumn("x_ahead", known).drop("_f")
+        return out.withColumn("x_ahead", F.array().cast("array<array<double>>")).drop("_last")
+    rows = future.groupBy(F.col(key).alias("id"), month_index(when).alias("t")).agg(*[F.max(c).alias(c) for c in regressors])
+    ahead = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct(*regressors)))).alias("_f"), F.max("t").alias("_to"))
+    end = F.col("_last") + h if h else F.greatest("_to", F.col("_last") + 1)
+    months = F.transform(F.sequence(F.col("_last") + 1, end), lambda i: F.try_element_at("_f", i))
+    known = out.join(ahead, "id", "left").withColumn("_m", F.when(F.col("_f").isNotNull(), months))
+    return known.withColumn("x_ahead", F.when(F.col("_m").isNotNull(), F.array(*[F.col(f"_m.{c}") for c in regressors]))).select("id", "start", "y", "x", "x_ahead")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -62,14 +77,17 @@ def _score(candidates: DataFrame, fit: Callable[[pd.DataFrame, int], list], mode
         for batch in batches:
             for begin in range(0, len(batch), 512):
                 part = batch.iloc[begin : begin + 512].reset_index(drop=True)
-                try:
-                    found = fit(part, h)
-                except Exception:
-                    found = [_one(fit, part.iloc[[i]].reset_index(drop=True), h) for i in range(len(part))]
-                rows = [
-                    (model_id, name, *_clean(f), "ok", None) if not isinstance(f, str) else (model_id, name, None, None, None, None, None, "error", f)
-                    for f in found
-                ]
+                found = [_broken(part, i, h) for i in range(len(part))]
+                sound = [i for i, problem in enumerate(found) if problem is None]
+                if sound:
+                    whole = part.iloc[sound].reset_index(drop=True)
+                    try:
+                        fits = fit(whole, h)
+                    except Exception:
+                        fits = [_one(fit, whole.iloc[[i]].reset_index(drop=True), h) for i in range(len(whole))]
+                    for i, one in zip(sound, fits):
+                        found[i] = one if isinstance(one, str) else _clean(one)
+                rows = [(model_id, name, *f, "ok", None) if not isinstance(f, str) else (model_id, name, None, None, None, None, None, "error", f) for f in found]
                 cols = [c.split(" ")[0] for c in FIT.split(", ")]
                 scored = pd.DataFrame(rows, columns=cols)
                 yield pd.concat([part[carried], scored], axis=1)
@@ -84,10 +102,29 @@ def _one(fit, row: pd.DataFrame, h: int):
         return f"{type(err).__name__}: {err}"
 
 
-def _clean(found) -> tuple:
+def _broken(part: pd.DataFrame, i: int, h: int) -> str | None:
+    """Why a series cannot be fitted as it is, if so."""
+    y = part["y"].iat[i]
+    if y is None:
+        return "ValueError: months repeat"
+    missing = int(pd.isna(np.asarray(y, dtype=object)).sum())
+    if missing:
+        return f"ValueError: {missing} months have no value; pad or interpolate the series first"
+    if "x" in part and len(part["x"].iat[i]):
+        ahead = part["x_ahead"].iat[i]
+        if ahead is None:
+            return "ValueError: no future regressors"
+        known = _matrix(ahead, h)
+        if known.shape[1] < h or not np.isfinite(known[:, :h]).all() or not np.isfinite(_matrix(part["x"].iat[i], len(y))).all():
+            return "ValueError: regressors do not cover the history and all months of the horizon"
+    return None
+
+
+def _clean(found) -> tuple | str:
     form, score, params, ahead, resid = found
-    ok = np.all(np.isfinite(ahead))
-    return (form, float(score) if ok and np.isfinite(score) else kernels.PENALTY, list(map(float, params)), list(map(float, ahead)), list(map(float, resid)))
+    if not np.all(np.isfinite(ahead)):
+        return "ArithmeticError: the forecast is not finite"
+    return (form, float(score) if np.isfinite(score) else kernels.PENALTY, list(map(float, params)), list(map(float, ahead)), list(map(float, resid)))
 
 
 def _best(scored: DataFrame) -> DataFrame:
@@ -234,7 +271,7 @@ def fit_arima(arrays: DataFrame, h: int, m: int = 12, max_pq: int = 3, max_PQ: i
             score = np.where(bad, kernels.PENALTY, score)
             for r, i in enumerate(at):
                 known = _matrix(part["x_ahead"].iat[i], h)
-                steps = known.shape[1] if k else h
+                known, steps = known[:, :h], h
                 whole = np.hstack([raw[r][1:], known]) if k else np.zeros((0, n + steps))
                 x_ahead = np.vstack([kernels.difference(row, d, D, m)[-steps:] for row in whole]) if k else np.zeros((0, steps))
                 ahead = kernels.arma_forecast(w[r], e[r], theta[r], x[r], x_ahead, m, steps)
@@ -260,8 +297,7 @@ def fit_trend_season(arrays: DataFrame, h: int, m: int = 12) -> DataFrame:
             if len(y) < 2:
                 out.append("ValueError: series too short")
                 continue
-            ahead = _matrix(known, h)
-            steps = ahead.shape[1] if len(x) else h
+            ahead, steps = _matrix(known, h)[:, :h], h
             both = np.hstack([_matrix(x, len(y)), ahead]) if len(x) else np.zeros((0, len(y) + h))
             fc, resid, beta = kernels.trend_season_fit(y, both, steps, m)
             deviance = len(y) * np.log(float(resid @ resid) / len(y) + 1e-12)
@@ -322,9 +358,15 @@ FAMILIES: dict[str, tuple[int, Callable]] = {
 def nested_fit(arrays: DataFrame, models: Sequence[str] = ("trend_season", "arima", "ets"), h: int = 12, chosen: DataFrame | None = None) -> DataFrame:
     """Fit several models to every series, with the error of each failed fit.
 
-    ``chosen`` (id, model_id) limits the fits to given pairs, as for a refit of the winners.
+    ``chosen`` (id, model_id) limits the fits to given pairs, as for a refit of the winners. A winner that is
+    no model of this list is an ensemble: its members are all fitted again and averaged.
     """
     fits = None
+    if chosen is not None:
+        families = [FAMILIES[name][0] for name in models]
+        blended = chosen.where(~F.col("model_id").isin(families)).select("id", F.col("model_id").alias("_model"))
+        members = nested_fit(arrays.join(blended.select("id").distinct(), "id", "left_semi"), models, h)
+        fits = blend_fits(members).join(blended, "id").withColumn("model_id", F.col("_model").cast("int")).drop("_model")
     for name in models:
         model_id, fit = FAMILIES[name]
         todo = arrays
@@ -335,6 +377,23 @@ def nested_fit(arrays: DataFrame, models: Sequence[str] = ("trend_season", "arim
     return fits
 
 
+def blend_fits(fits: DataFrame) -> DataFrame:
+    """The mean of each series' fitted models as a fit of its own; it fails only where all of them have failed."""
+    # a row per model and series: the lists hold a few arrays
+    fine = F.col("status") == "ok"
+    lists = fits.groupBy("id", "start").agg(*[F.collect_list(F.when(fine, F.col(c))).alias(c) for c in ("ahead", "resid")], F.max("message").alias("_why"))
+    n = F.size("ahead")
+    mean = lambda c, size: F.transform(F.sequence(F.lit(1), size), lambda i: F.aggregate(c, F.lit(0.0), lambda s, a: s + F.element_at(a, i - size - 1)) / n)
+    shortest = lambda c: F.array_min(F.transform(c, F.size))
+    done = n > 0
+    return lists.select(
+        "id", "start", F.lit(100).alias("model_id"), F.lit("ENSEMBLE (MEAN)").alias("model_desc"), F.when(done, F.lit("ENSEMBLE (MEAN)")).alias("form"),
+        F.lit(None).cast("double").alias("aicc"), F.when(done, F.array().cast("array<double>")).alias("params"),
+        F.when(done, mean("ahead", shortest("ahead"))).alias("ahead"), F.when(done, mean("resid", shortest("resid"))).alias("resid"),
+        F.when(done, "ok").otherwise("error").alias("status"), F.when(~done, F.col("_why")).alias("message"),
+    )
+
+
 def error_report(fits: DataFrame) -> DataFrame:
     """Which fits failed and why."""
     return fits.where("status = 'error'").select("id", "model_id", "model_desc", "message")

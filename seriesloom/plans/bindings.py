@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import month_of
+from seriesloom.functions.columns import money, month_of
 from seriesloom.operators.calendar import pad_calendar, split_last_n
-from seriesloom.operators.rollup import conditional_sum
+from seriesloom.operators.ordered import extend_with_anchor, interpolate
+from seriesloom.operators.rollup import conditional_sum, median_by
 
-# last month with full volume in the order table
-CUTOFF = "2001-07-01"
 HOLDOUT = 12
 HORIZON = 12
 
@@ -38,12 +37,10 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("id", "ds").agg(F.sum("y").cast("double").alias("y"), F.sum("n_orders").alias("n"))
 
 
-def bounds(spark: SparkSession, sf: str, cutoff: str | None = None) -> tuple[Column, Column]:
+def bounds(spark: SparkSession, sf: str) -> tuple[Column, Column]:
     """First and last order month, read from one column of the table."""
     dates = table(spark, sf, "orders").select(month_of("o_orderdate").alias("ds"))
-    low = dates.agg(F.min("ds")).scalar()
-    high = F.lit(cutoff).cast("date") if cutoff else dates.agg(F.max("ds")).scalar()
-    return low, high
+    return dates.agg(F.min("ds")).scalar(), dates.agg(F.max("ds")).scalar()
 
 
 def padded(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,11 +49,8 @@ def padded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_months(spark: SparkSession, sf: str) -> DataFrame:
-    """The padded panel without its under-reported end."""
-    return pad_calendar(
-        panel(spark, sf).select("id", "ds", "y").where(F.col("ds") <= F.lit(CUTOFF).cast("date")),
-        bounds=bounds(spark, sf, CUTOFF),
-    )
+    """The padded panel, whole: its last month is reported in part and is left in, as any other month."""
+    return padded(spark, sf)
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +61,14 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rates_ahead(spark: SparkSession, sf: str) -> DataFrame:
+    """The rates up to the end of the horizon: their median as the anchor at its last month, interpolated up to there."""
+    known = rates(spark, sf).withColumn("id", F.lit(0))
+    last = table(spark, sf, "orders").select(month_of("o_orderdate").alias("ds")).agg(F.max("ds")).scalar()
+    whole = extend_with_anchor(known, median_by(known, ["id"], "rate"), F.add_months(last, HORIZON))
+    return interpolate(whole, "rate").select("ds", F.round("rate", 6).alias("rate"))
+
+
 def baseline_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """Hold-out values of three simple rules, a forecast table that SQL can rebuild.
 
@@ -118,7 +120,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
 
     The code is the nation in two digits followed by the customer in nine.
     """
-    orders = table(spark, sf, "orders").withColumn("period", F.date_format("o_orderdate", "yyyyMM").cast("int"))
+    orders = money(table(spark, sf, "orders"), "o_totalprice").withColumn("period", F.date_format("o_orderdate", "yyyyMM").cast("int"))
     sums = orders.groupBy("o_custkey", F.col("period").alias("x_data_base")).agg(
         *conditional_sum("o_totalprice", {n: F.expr(c) for n, c in STATEMENT_CASES.items()})
     )
@@ -149,7 +151,7 @@ CTES = {
         """SELECT i.id, m.ds, coalesce(p.y, 0.0) AS y FROM (SELECT DISTINCT id FROM panel) i, months m
            LEFT JOIN panel p ON p.id = i.id AND p.ds = m.ds""",
     ),
-    "fullm": (("padded",), f"SELECT * FROM padded WHERE ds <= DATE '{CUTOFF}'"),
+    "fullm": (("padded",), "SELECT * FROM padded"),
     "split": (
         ("fullm",),
         f"""SELECT id, ds, y, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY ds DESC) <= {HOLDOUT}
@@ -161,6 +163,14 @@ CTES = {
             round(CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(l_discount) * 100, 6) AS rate
             FROM lineitem GROUP BY 1""",
     ),
+    "ratesx": (
+        ("rates", "fullm"),
+        f"""SELECT ds, rate FROM rates UNION ALL
+            SELECT CAST(l + to_months(CAST(k AS INTEGER)) AS DATE), round(CASE WHEN k = n THEN a ELSE v + (a - v) * k / n END, 6) FROM
+            (SELECT l, v, a, (year(e) - year(l)) * 12 + month(e) - month(l) AS n FROM
+             (SELECT max(ds) AS l, arg_max(rate, ds) AS v, quantile_cont(rate, 0.5) AS a FROM rates),
+             (SELECT CAST(max(ds) + INTERVAL {HORIZON} MONTH AS DATE) AS e FROM fullm)), LATERAL (SELECT unnest(generate_series(1, n)) AS k)""",
+    ),
     "tailed": (
         ("split",),
         """SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds DESC) AS r FROM split WHERE split = 'train'""",

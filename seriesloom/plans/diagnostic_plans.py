@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesloom.functions.columns import money
 from seriesloom.operators import diagnostics as dg
 from seriesloom.operators import features as ft
 from seriesloom.operators import ordered as o
@@ -100,7 +101,7 @@ def pacf_12(spark, sf):
 
 @query("ts_regression")
 def ts_regression(spark, sf):
-    total = u.agg_total(b.full_months(spark, sf)).withColumn("id", F.lit(0))
+    total = u.agg_total(money(b.full_months(spark, sf), "y")).withColumn("id", F.lit(0))
     f = o.add_rolling(o.add_lags(ft.add_calendar(total), (3, 6)), "y_lag3", [3])
     return dg.ts_regression(f, ["index_num", "quarter", "month", "y_lag3", "y_lag6", "y_lag3_roll3"])
 

@@ -144,9 +144,9 @@ def invert_forecast(spark, sf):
     return r(bl.invert_forecast(scaled, params), 2, "value")
 
 
-@query("scenario_rates", sql("SELECT * FROM scen", "rates", scen=SCEN_SQL))
+@query("scenario_rates", sql("SELECT * FROM scen", "ratesx", scen=SCEN_SQL))
 def scenario_rates(spark, sf):
-    return r(bl.scenario_rates(b.rates(spark, sf), "2001-09-01", SHOCKS), 6, "rate")
+    return r(bl.scenario_rates(b.rates_ahead(spark, sf), "2001-09-01", SHOCKS), 6, "rate")
 
 
 # a forecast that reacts to the rate in a known way, so that SQL can follow the scenario flow
@@ -157,7 +157,7 @@ def reacting(spark, sf):
     p = b.full_months(spark, sf)
     future = cal.future_frame(p, b.HORIZON, bind=False)
     last = p.groupBy("id").agg(F.max_by("y", "ds").alias("last_y"))
-    scen = r(bl.scenario_rates(b.rates(spark, sf), "2001-09-01", SHOCKS), 6, "rate")
+    scen = r(bl.scenario_rates(b.rates_ahead(spark, sf), "2001-09-01", SHOCKS), 6, "rate")
     fanned = u.attach_params(u.attach_scenarios(future, scen), last)
     return p, fanned.select("id", "ds", "scenario", F.expr(RULE).alias("value"))
 
@@ -166,7 +166,7 @@ SC = f"""SELECT id, ds, scenario, {RULE} AS value FROM (SELECT id, CAST(last + t
     (SELECT id, max(ds) AS last, arg_max(y, ds) AS last_y FROM fullm GROUP BY id), generate_series(1, 12) g(k)) JOIN scen USING (ds)"""
 
 
-@query("scenario_labels", sql("SELECT * FROM sc UNION ALL SELECT id, ds, 'history', y FROM fullm", "fullm", "rates", scen=SCEN_SQL, sc=SC))
+@query("scenario_labels", sql("SELECT * FROM sc UNION ALL SELECT id, ds, 'history', y FROM fullm", "ratesx", scen=SCEN_SQL, sc=SC))
 def scenario_labels(spark, sf):
     p, predicted = reacting(spark, sf)
     return bl.scenario_history(predicted, p.withColumnRenamed("y", "value"))
@@ -176,8 +176,7 @@ def scenario_labels(spark, sf):
     "scenario_compare",
     sql(
         f"SELECT id, ds, {', '.join(f'max(CASE WHEN scenario = {chr(39)}{s}{chr(39)} THEN value END) AS {s}' for s in SHOCKS)} FROM sc GROUP BY id, ds",
-        "fullm",
-        "rates",
+        "ratesx",
         scen=SCEN_SQL,
         sc=SC,
     ),

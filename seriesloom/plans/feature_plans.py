@@ -224,7 +224,8 @@ PREDICTORS = ["index_num", "year", "half", "quarter", "month", "sin12_k1", "cos1
 def feature_prep(spark, sf):
     from seriesloom.session import stage
 
-    f = stage(cal.split_last_n(model_features(spark, sf).where("y IS NOT NULL"), HOLDOUT))
+    # the first months of a series have no lags yet
+    f = stage(cal.split_last_n(model_features(spark, sf).where("y IS NOT NULL"), HOLDOUT).dropna(subset=PREDICTORS))
     pipe = ft.FeaturePipeline(PREDICTORS, ["id"], indicator=["ds"])
     fitted = pipe.fit(f.where("split = 'train'"))
     return ft.as_array(fitted.transform(f)).select("id", "ds", "split", "y", F.array_join(F.transform("x", lambda v: F.round(v, 4).cast("string")), " ").alias("x"))

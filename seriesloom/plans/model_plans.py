@@ -118,12 +118,13 @@ def nested_fit_accuracy(spark, sf):
 
 @query(
     "error_report",
-    """WITH m AS (SELECT o_custkey, count(DISTINCT date_trunc('month', o_orderdate)) AS n_months FROM orders GROUP BY 1)
-       SELECT CAST(n_months AS BIGINT) AS n_months, CASE WHEN n_months = 1 THEN 'TREND-SEASON' END AS model_desc,
-       CASE WHEN n_months = 1 THEN 'ValueError: series too short' END AS message, CAST(count(*) AS BIGINT) AS n_series FROM m GROUP BY n_months""",
+    """WITH m AS (SELECT o_custkey, count(DISTINCT date_trunc('month', o_orderdate)) AS n_months, date_diff('month', min(o_orderdate), max(o_orderdate)) + 1 AS n_span FROM orders GROUP BY 1),
+       e AS (SELECT n_months, CASE WHEN n_span > n_months THEN 'ValueError: ' || (n_span - n_months) || ' months have no value; pad or interpolate the series first'
+         WHEN n_months = 1 THEN 'ValueError: series too short' END AS message FROM m)
+       SELECT CAST(n_months AS BIGINT) AS n_months, CASE WHEN message IS NOT NULL THEN 'TREND-SEASON' END AS model_desc, message, CAST(count(*) AS BIGINT) AS n_series FROM e GROUP BY n_months, message""",
 )
 def error_report(spark, sf):
-    """Customers as series: those with a single month cannot be fitted."""
+    """Customers as series, not padded: those with a single month or with gaps cannot be fitted."""
     months = b.order_months(spark, sf).select(F.col("o_custkey").alias("id"), "ds", F.col("y").cast("double").alias("y"))
     fits = sm.nested_fit(sm.series_arrays(months), ("trend_season",), HORIZON)
     lonely = sm.error_report(fits)
@@ -171,18 +172,18 @@ def future_forecast(spark, sf):
 
 @query("scenario_forecast")
 def scenario_forecast(spark, sf):
-    """ARIMA with the rate as regressor, once per scenario of the future rates, with the history."""
+    """Models with the rate as regressor, once per scenario of the future rates, over the whole horizon, with the history."""
     p = stage(u.attach_exog(b.full_months(spark, sf), b.rates(spark, sf)).select("id", "ds", "y", "rate"))
-    scen = bl.scenario_rates(b.rates(spark, sf), "2001-09-01", SHOCKS)
+    scen = bl.scenario_rates(b.rates_ahead(spark, sf), "2001-09-01", SHOCKS)
     future = stage(u.attach_scenarios(cal.future_frame(p.select("id", "ds", "y"), HORIZON, bind=False), scen))
     # each (series, scenario) is one row to fit, known by a joint key
     names = F.array(*[F.lit(s) for s in SHOCKS])
     history = p.withColumn("scenario", F.explode(names)).withColumn("key", F.concat_ws("|", "id", "scenario"))
-    arrays = sm.series_arrays(history, ["rate"], future.withColumn("key", F.concat_ws("|", "id", "scenario")), key="key")
-    rows = sm.forecast_rows(sm.fit_arima(arrays, HORIZON))
+    arrays = stage(sm.series_arrays(history, ["rate"], future.withColumn("key", F.concat_ws("|", "id", "scenario")), key="key", h=HORIZON))
+    rows = sm.forecast_rows(sm.nested_fit(arrays, ("trend_season", "arima"), HORIZON))
     parts = F.split("id", "\\|")
-    labelled = rows.select(parts[0].cast("int").alias("id"), "ds", parts[1].alias("scenario"), F.round("value", 2).alias("value"))
-    return bl.scenario_history(labelled, p.select("id", "ds", F.round("y", 2).alias("value")))
+    labelled = rows.select(parts[0].cast("int").alias("id"), "ds", "model_desc", parts[1].alias("scenario"), F.round("value", 2).alias("value"))
+    return bl.scenario_history(labelled, p.select("id", "ds", F.lit("ACTUAL").alias("model_desc"), F.round("y", 2).alias("value")))
 
 
 # over all series
@@ -196,7 +197,8 @@ SMALL = {"rf": {"numTrees": 20, "maxDepth": 5}, "gbt": {"maxIter": 10, "maxDepth
 def prepared(spark, sf):
     """Feature rows of the known months with their split, written once."""
     f = model_features(spark, sf).where("y IS NOT NULL")
-    return stage(ft_split(f).select("id", "ds", "y", "split", *PREDICTORS))
+    # the first months of a series have no lags yet
+    return stage(gm.complete(ft_split(f).select("id", "ds", "y", "split", *PREDICTORS), PREDICTORS))
 
 
 def ft_split(f):

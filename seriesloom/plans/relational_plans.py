@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesloom.functions.columns import money
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import ordered as o
 from seriesloom.operators import reshape as r
@@ -37,29 +38,29 @@ SHOCKS = {"base": 0.0, "pessimistic": 5.0, "optimistic": -5.0}
 FUTURE_SQL = """SELECT id, CAST(last + to_months(CAST(k AS INTEGER)) AS DATE) AS ds FROM
     (SELECT id, max(ds) AS last FROM fullm GROUP BY id), generate_series(1, 12) g(k)"""
 SCEN_SQL = """SELECT scenario, ds, round(CASE WHEN ds > DATE '2001-09-01' THEN rate + shock ELSE rate END, 6) AS rate
-    FROM rates, (VALUES ('base', 0.0), ('pessimistic', 5.0), ('optimistic', -5.0)) s(scenario, shock)"""
+    FROM ratesx, (VALUES ('base', 0.0), ('pessimistic', 5.0), ('optimistic', -5.0)) s(scenario, shock)"""
 
 
 @query(
     "join_future_scenarios",
-    sql("SELECT id, ds, scenario, rate FROM ahead JOIN scen USING (ds)", "fullm", "rates", ahead=FUTURE_SQL, scen=SCEN_SQL),
+    sql("SELECT id, ds, scenario, rate FROM ahead JOIN scen USING (ds)", "ratesx", ahead=FUTURE_SQL, scen=SCEN_SQL),
 )
 def join_future_scenarios(spark, sf):
     from seriesloom.operators.blend import scenario_rates
 
     future = cal.future_frame(b.full_months(spark, sf), b.HORIZON, bind=False)
-    scen = scenario_rates(b.rates(spark, sf), "2001-09-01", SHOCKS)
+    scen = scenario_rates(b.rates_ahead(spark, sf), "2001-09-01", SHOCKS)
     return u.attach_scenarios(future, scen).select("id", "ds", "scenario", F.round("rate", 6).alias("rate"))
 
 
 @query(
     "join_future_exog",
-    sql("SELECT id, ds, CAST(NULL AS DOUBLE) AS y, rate FROM ahead JOIN rates USING (ds)", "fullm", "rates", ahead=FUTURE_SQL),
+    sql("SELECT id, ds, CAST(NULL AS DOUBLE) AS y, rate FROM ahead JOIN ratesx USING (ds)", "ratesx", ahead=FUTURE_SQL),
 )
 def join_future_exog(spark, sf):
     marked = cal.mark_future(b.full_months(spark, sf), b.HORIZON)
     future = u.future_keys(marked.where("split = 'future'"))
-    return u.attach_exog(future, b.rates(spark, sf)).select("id", "ds", "y", "rate")
+    return u.attach_exog(future, b.rates_ahead(spark, sf)).select("id", "ds", "y", "rate")
 
 
 @query("uncovered_dates", sql("SELECT DISTINCT ds FROM ahead WHERE ds NOT IN (SELECT ds FROM rates)", "fullm", "rates", ahead=FUTURE_SQL))
@@ -95,7 +96,7 @@ def join_group_params(spark, sf):
 )
 def rollup_region(spark, sf):
     clean = derive_measures(b.statements(spark, sf), CREDIT_MEASURES, ["x_data_base", "codmun_ibge"])
-    return u.rollup_region(period_to_date(clean, "x_data_base", "data_ref"), "codmun_ibge", "data_ref")
+    return u.rollup_region(money(period_to_date(clean, "x_data_base", "data_ref"), *CREDIT_MEASURES), "codmun_ibge", "data_ref", list(CREDIT_MEASURES))
 
 
 @query(
@@ -109,12 +110,12 @@ def rollup_region(spark, sf):
 def agg_municipality(spark, sf):
     clean = derive_measures(b.statements(spark, sf), CREDIT_MEASURES, ["x_data_base", "codmun_ibge"])
     dated = period_to_date(clean, "x_data_base", "data_ref").withColumnRenamed("captacao", "deposito")
-    return u.agg_panel(dated, ["data_ref", "codmun_ibge"], ["credito", "deposito"])
+    return u.agg_panel(money(dated, "credito", "deposito"), ["data_ref", "codmun_ibge"], ["credito", "deposito"])
 
 
 @query("agg_national", sql(f"SELECT ds, {DEC.format('y', 'y')} FROM panel GROUP BY ds", "panel"))
 def agg_national(spark, sf):
-    return u.agg_total(b.panel(spark, sf))
+    return u.agg_total(money(b.panel(spark, sf), "y"))
 
 
 @query(
@@ -129,7 +130,7 @@ def agg_forecast_total(spark, sf):
     from seriesloom.operators.evaluate import test_forecast
 
     both = test_forecast(b.baseline_forecasts(spark, sf), b.full_months(spark, sf))
-    return u.total_forecast(both, ["ACTUAL", "SNAIVE"])
+    return u.total_forecast(money(both, "value"), ["ACTUAL", "SNAIVE"])
 
 
 @query(
@@ -230,7 +231,7 @@ def market_share(spark, sf):
     sql(f"SELECT *, CAST(row_number() OVER (ORDER BY y DESC, id) AS INTEGER) AS position FROM (SELECT id, {DEC.format('y', 'y')} FROM panel GROUP BY id)", "panel"),
 )
 def reorder_category(spark, sf):
-    return o.reorder_category(b.panel(spark, sf), "id", "y")
+    return o.reorder_category(money(b.panel(spark, sf), "y"), "id", "y")
 
 
 W = "PARTITION BY id ORDER BY ds"

@@ -3,57 +3,79 @@
 from __future__ import annotations
 
 import io
+import itertools
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.cleaning import snake_case
+from seriesloom.session import stage
 
-LINES = "file string, line string"
+LINES = "file string, pos struct<block: bigint, row: bigint>, line string"
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Raw lines of many text files with the file each came from; large files are split."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    """Raw lines of many text files with their file and place; large files are split."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("pos"), F.col("value").alias("line"))
+
+
+def file_heads(lines: DataFrame, sep: str, header_pattern: str, skip: int) -> DataFrame:
+    """One row for each file: the first line after ``skip`` lines that looks like a header, its place, its fields."""
+    opening = lines.where("pos.block = 0")
+    first = opening.groupBy("file").agg(F.min("pos.row").alias("_top"))
+    like = lines.where(F.col("line").rlike(header_pattern) & F.col("line").contains(sep))
+    if skip:
+        like = like.join(first, "file").where((F.col("pos.block") > 0) | (F.col("pos.row") - F.col("_top") >= skip))
+    return stage(like.groupBy("file").agg(F.min(F.struct("pos", "line")).alias("h")).select("file", F.col("h.pos").alias("_at"), F.col("h.line").alias("_header")))
+
+
+def _body(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Lines after the header of their file that are not blank."""
+    return lines.join(heads, "file").where((F.col("pos") > F.col("_at")) & (F.trim("line") != ""))
 
 
 def parse_lines(
     lines: DataFrame,
     sep: str = ";",
     columns: Sequence[str] | None = None,
-    row_pattern: str = r"^[0-9]{6}",
-    header_pattern: str = r"^#?[A-Za-z_]+.*",
+    row_pattern: str = r'^"?[0-9]{6}',
+    header_pattern: str = r'^"?#?[A-Za-z_]+.*',
+    skip: int = 0,
 ) -> DataFrame:
     """Turn lines into one wide table, whatever column layout each file has.
 
-    Preamble lines match neither pattern (a preamble has no separator). Each file's header
-    names its own fields, so a column that a file lacks is NULL there. ``columns`` gives
-    the cleaned names to keep; without it all names found in the headers are used.
+    A file's header is its first line, after ``skip`` lines, that looks like one; what precedes it is preamble. The header
+    names the file's own fields, so a column that a file lacks is NULL there, as are the last fields of
+    a row that has fewer. Fields may be quoted, but not hold line breaks. ``columns`` gives the cleaned names to keep; without it all
+    names found in the headers are used. Lines after the header that do not match ``row_pattern`` are left to ``rejected_lines``.
     """
-    split = F.split("line", _literal(sep))
-    has_sep = F.col("line").contains(sep)
-    headers = (
-        lines.where(F.col("line").rlike(header_pattern) & has_sep)
-        .groupBy("file")
-        .agg(F.min("line").alias("_header"))
-    )
+    heads = file_heads(lines, sep, header_pattern, skip)
+    # a handful of layouts, not data
+    layouts = {r["_header"]: [n.strip().strip('"') for n in r["_header"].split(sep)] for r in heads.select("_header").distinct().collect()}
     if columns is None:
-        # a handful of layouts, not data
-        layouts = [r["_header"] for r in headers.select("_header").distinct().collect()]
-        columns = list(dict.fromkeys(snake_case(n) for h in sorted(layouts) for n in h.split(sep)))
-    keep = dict.fromkeys(columns)
-    rows = lines.where(F.col("line").rlike(row_pattern) & has_sep).select("file", split.alias("_fields"))
-    named = headers.select(
-        "file", F.transform(F.split("_header", _literal(sep)), _snake_column).alias("_names")
-    )
-    cells = F.map_from_arrays("_names", F.slice("_fields", 1, F.size("_names")))
-    joined = rows.join(named, "file").where(F.size("_fields") >= F.size("_names")).withColumn("_cells", cells)
+        columns = list(dict.fromkeys(snake_case(n) for h in sorted(layouts) for n in layouts[h]))
+    width = max(map(len, layouts.values()), default=1)
+    names = F.transform(F.split("_header", _literal(sep)), lambda n: _snake_column(F.trim(F.trim(n), F.lit('"'))))
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "quote": '"', "mode": "PERMISSIVE"})
+    rows = _body(lines, heads).where(F.col("line").rlike(row_pattern)).select("file", names.alias("_names"), fields.alias("_row"))
+    cells = F.map_from_arrays("_names", F.slice(F.array(*[F.col(f"_row.c{i}") for i in range(width)]), 1, F.size("_names")))
     value = lambda name: F.nullif(F.trim(F.try_element_at("_cells", F.lit(name))), F.lit(""))
-    return joined.select("file", *[value(name).alias(name) for name in keep])
+    return rows.withColumn("_cells", cells).select("file", *[value(name).alias(name) for name in dict.fromkeys(columns)])
+
+
+def rejected_lines(lines: DataFrame, sep: str = ";", row_pattern: str = r'^"?[0-9]{6}', header_pattern: str = r'^"?#?[A-Za-z_]+.*', skip: int = 0) -> DataFrame:
+    """Lines after the header that are no rows, and all lines of files without a header, with their file."""
+    heads = file_heads(lines, sep, header_pattern, skip)
+    odd = _body(lines, heads).where(~F.col("line").rlike(row_pattern)).select("file", "line")
+    return odd.unionByName(lines.join(heads, "file", "left_anti").where(F.trim("line") != "").select("file", "line"))
 
 
 def read_statements(spark: SparkSession, path: str | Sequence[str], sep: str = ";", **kw) -> DataFrame:
@@ -68,31 +90,31 @@ def unzip_lines(archives: DataFrame, suffix: str = ".csv", batch_lines: int = 50
     leave in batches and never sit in memory together.
     """
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
                     members = [m for m in archive.namelist() if m.lower().endswith(suffix)]
                     for member in members:
                         yield from _member_lines(archive, path, member, batch_lines)
 
-    return archives.select("path", "content").mapInPandas(expand, LINES)
+    return archives.select("path", "content").mapInArrow(expand, LINES)
 
 
-def _member_lines(archive, path: str, member: str, batch_lines: int) -> Iterator[pd.DataFrame]:
+def _member_lines(archive, path: str, member: str, batch_lines: int) -> Iterator[pa.RecordBatch]:
     name = f"{path}!{member}"
     with archive.open(member) as raw:
-        pending: list[str] = []
-        for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"):
-            pending.append(line.rstrip("\r\n"))
-            if len(pending) >= batch_lines:
-                yield pd.DataFrame({"file": name, "line": pending})
-                pending = []
-        if pending:
-            yield pd.DataFrame({"file": name, "line": pending})
+        start, pending = 0, []
+        for line in itertools.chain(io.TextIOWrapper(raw, encoding="utf-8", errors="replace"), [None]):
+            if line is not None:
+                pending.append(line.rstrip("\r\n"))
+            if pending and (line is None or len(pending) >= batch_lines):
+                place = [{"block": 0, "row": start + i} for i in range(len(pending))]
+                yield pa.record_batch({"file": pa.array([name] * len(pending)), "pos": pa.array(place, pa.struct([("block", pa.int64()), ("row", pa.int64())])), "line": pa.array(pending)})
+                start, pending = start + len(pending), []
 
 
-def read_zipped(spark: SparkSession, path: str, sep: str = ";", **kw) -> DataFrame:
+def read_zipped(spark: SparkSession, path: str | Sequence[str], sep: str = ";", **kw) -> DataFrame:
     """Read statement files inside the ZIP archives that match ``path``."""
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
     return parse_lines(unzip_lines(archives), sep, **kw)
@@ -106,8 +128,10 @@ def union_drift(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def statement_lines(df: DataFrame, preamble: Sequence[str], sep: str = ";") -> DataFrame:
-    """Format rows as statement text: every task writes its own preamble and header.
+def statement_lines(df: DataFrame, preamble: Sequence[str], sep: str = ";", quoted: Sequence[str] = (), short: bool = False, trailer: str | None = None) -> DataFrame:
+    """Format rows as statement text: every task writes its own preamble and header, and its own trailer line if given.
+
+    The columns of ``quoted`` are put in quotes; with ``short`` a last amount of zero is left out together with its separator.
 
     The result has one ``value`` column for ``write.text``. Tasks map to files, so the
     number of files follows the data.
@@ -122,8 +146,15 @@ def statement_lines(df: DataFrame, preamble: Sequence[str], sep: str = ";") -> D
             if body:
                 yield pd.DataFrame({"value": [*head, *body] if first else body})
                 first = False
-
-    body = df.select(F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]).alias("value"))
+        if trailer and not first:
+            yield pd.DataFrame({"value": [trailer]})
+
+    text = lambda n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(""))
+    cells = [F.concat(F.lit('"'), text(n), F.lit('"')) if n in quoted else text(n) for n in names]
+    line = F.concat_ws(sep, *cells)
+    if short:
+        line = F.when(F.col(f"`{names[-1]}`") == 0, F.concat_ws(sep, *cells[:-1])).otherwise(line)
+    body = df.select(line.alias("value"))
     return body.mapInPandas(with_head, "value string")
 
 
@@ -150,6 +181,23 @@ def pack_archives(lines: DataFrame, head_lines: int = 3, lines_per_archive: int
     return lines.mapInPandas(pack, "path string, content binary")
 
 
+def write_archives(archives: DataFrame, folder: str) -> int:
+    """Write ``(path, content)`` rows as files below ``folder``; returns their number. A task that runs again replaces its files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                system, place = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+                system.create_dir(place, recursive=True)
+                draft = f"{place}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(content.as_buffer())
+                system.move(draft, f"{place}/{name}")
+            yield batch.select(["path"])
+
+    return archives.mapInArrow(write, "path string").count()
+
+
 def _archive(head: list[str], body: list[str]) -> pd.DataFrame:
     text = "\n".join([*head, *body]) + "\n"
     blob = io.BytesIO()
