@@ -12,6 +12,7 @@ content. Any file system that pyarrow knows will do; local ones are memory-mappe
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -28,9 +29,16 @@ from pyspark.sql import functions as F
 from seriesloom.llm.tables import batches_of, slim, stage
 from seriesloom.session import shared_folder
 
+#: separators for Python's split, not for the vocabulary's pattern
+SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(r"[ \t\r\n]+")
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut at white space."""
+    return [p for p in SPACES.split(text) if p] if SEPARATORS.search(text) else text.split()
+
+
 def store(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path inside it, of a URI or a plain path."""
     return fs.FileSystem.from_uri(path) if urlparse(path).scheme else (fs.LocalFileSystem(), path)
@@ -66,25 +74,51 @@ class WordEncoder:
     """Encode texts with a tokenizers file whose tokens never cross white space.
 
     The vocabulary drops white space and merges inside words only, so a text's ids are those of its
-    space-separated pieces, one after the other. Pieces are remembered up to ``most`` of them.
+    space-separated pieces, one after the other. New pieces are encoded many at a time, parted by a mark that has one token of
+    its own. Pieces are remembered in two generations of at most ``most`` each, so that frequent ones stay.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    MARK = "|"
+
+    def __init__(self, path: str, kind: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.most, self.known = Tokenizer.from_file(path), kind, most, {}
+        self.tokenizer, self.kind, self.most, self.young, self.old = Tokenizer.from_file(path), kind, most, {}, {}
+        (self.mark,) = self.ids([self.MARK])[0]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [got.ids for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = pieces - self.young.keys()
+        again = new & self.old.keys()
+        self.young.update((p, self.old[p]) for p in again)
+        new -= again
+        alone = [p for p in new if self.MARK in p]
+        for piece, got in zip(alone, self.ids(alone)):
+            self.young[piece] = np.array(got, self.kind).tobytes()
+        rest = [p for p in new if self.MARK not in p]
+        groups = [rest[k : k + 500] for k in range(0, len(rest), 500)]
+        for group, got in zip(groups, self.ids([f" {self.MARK} ".join(g) for g in groups])):
+            row = np.array(got, self.kind)
+            edges = np.concatenate([[-1], np.flatnonzero(row == self.mark), [len(row)]])
+            size = row.itemsize
+            flat = row.tobytes()
+            for piece, a, b in zip(group, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                self.young[piece] = flat[(a + 1) * size : b * size]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [[p for p in SPACES.split(t) if p] for t in texts]
-        new = list({p for one in pieces for p in one} - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list({p for one in pieces for p in one})
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[piece] = np.array(got.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, one)) for one in pieces]
+        pieces = [pieces_of(t) for t in texts]
+        self.learn(set().union(*pieces))
+        return [b"".join(map(self.young.__getitem__, one)) for one in pieces]
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str, kind: str) -> WordEncoder:
+    """One encoder for each Python worker, kept from task to task."""
+    return WordEncoder(path, kind)
 
 
 def write_tokens(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int, wide: bool = False, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:
@@ -188,5 +222,5 @@ def read_tokens(spark: SparkSession, folder: str, index: dict) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Write ``docs`` with a tokenizers file and read the files back."""
     folder = folder or shared_folder(docs.sparkSession)
-    index = write_tokens(docs, folder, lambda: WordEncoder(tokenizer, "<u2"), end_id)
+    index = write_tokens(docs, folder, lambda: word_encoder(tokenizer, "<u2"), end_id)
     return read_tokens(docs.sparkSession, folder, index)
