@@ -112,14 +112,10 @@ class WordTable:
         """Make sure that all ``words`` are remembered in the young generation."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        new = []
-        for word in words:
-            if word not in self.young:
-                got = self.old.get(word)
-                if got is None:
-                    new.append(word)
-                else:
-                    self.young[word] = got
+        missing = words - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        new = list(missing - again)
         coded = [w.encode() for w in new]
         short = [i for i, c in enumerate(coded) if len(c) <= LONG_WORD]
         for k in range(0, len(short), WORDS_AT_ONCE):
@@ -174,7 +170,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_
         cut, known = regex.compile(pattern), word_table(ranks)
         for batch in batches_of(batches, "text"):
             words = [cut.findall(t or "") for t in batch.column("text").to_pylist()]
-            known.learn({w for one in words for w in one})
+            known.learn(set().union(*words))
             got = [[known.young[w] for w in one] for one in words]
             yield pa.record_batch(
                 {
