@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from seriesloom.llm.tables import slim, sorted_runs, stage
 
@@ -169,13 +171,15 @@ def _matrix(x: bytes) -> np.ndarray:
 def _chunks(rows: DataFrame, work, schema: str) -> DataFrame:
     """Apply ``work(conv, chunk, table)`` to each chunk of rows that are sorted by conversation, chunk and turn."""
 
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["conv", "chunk"]):
             names = list(zip(table.column("conv").to_pylist(), table.column("chunk").to_pylist()))
             edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
             out = [row for a, b in zip(edges[:-1], edges[1:]) for row in work(*names[a], table.slice(a, b - a))]
             if out:
-                yield from pa.Table.from_pylist(out).to_batches()
+                yield from pa.Table.from_pylist(out, kinds).to_batches()
 
     return rows.mapInArrow(run, schema)
 
@@ -195,10 +199,10 @@ def _boundaries(nodes: DataFrame, levels: int) -> DataFrame:
             total = scores[0]
             for own in scores[1:]:
                 total = best(total, own[: len(STATES)])
-            yield pa.record_batch({"conv": [key[0].as_py()], "idx": [key[1].as_py()], "scores": [_pack(total)]})
+            return pa.table({"conv": [key[0].as_py()], "idx": [key[1].as_py()], "scores": [_pack(total)]})
 
         grouped = ladder[-1].withColumn("up", F.floor(F.col("idx") / FAN)).groupBy("conv", "up")
-        ladder.append(stage(grouped.applyInArrow(lambda key, batches, up=up: up(key, pa.Table.from_batches(list(batches))), group)))
+        ladder.append(stage(grouped.applyInArrow(up, group)))
     found = ladder[-1].select("conv", "idx", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
     for level in reversed(ladder[:-1]):
 
@@ -215,11 +219,11 @@ def _boundaries(nodes: DataFrame, levels: int) -> DataFrame:
                 after.append(now)
                 now = (own[: len(STATES)] + (0 if now is None else now)).max(axis=1)
             pack = lambda xs: pa.array([None if x is None else _pack(x) for x in xs], pa.binary())
-            yield pa.record_batch({"conv": table.column("conv").combine_chunks(), "idx": table.column("idx").combine_chunks(), "before": pack(before), "after": pack(after[::-1])})
+            return pa.table({"conv": table.column("conv"), "idx": table.column("idx"), "before": pack(before), "after": pack(after[::-1])})
 
         above = found.select("conv", F.col("idx").alias("up"), "before", "after")
         joined = level.withColumn("up", F.floor(F.col("idx") / FAN)).join(above, ["conv", "up"])
-        found = stage(joined.groupBy("conv", "up").applyInArrow(lambda key, batches, down=down: down(key, pa.Table.from_batches(list(batches))), "conv long, idx long, before binary, after binary"))
+        found = stage(joined.groupBy("conv", "up").applyInArrow(down, "conv long, idx long, before binary, after binary"))
     return found
 
 

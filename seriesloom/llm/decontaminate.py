@@ -161,10 +161,17 @@ class Items:
         spans = [np.arange(d - k, d + k + 1) for d in np.unique(diagonals)]
         starts = np.unique(np.concatenate(spans))
         count = np.searchsorted(diagonals, starts + k, "right") - np.searchsorted(diagonals, starts - k, "left")
-        starts = np.unique(np.clip(starts[count >= need], 0, len(coded) - 1))
+        inside = (count >= need) & (starts >= 0) & (starts < len(coded))
+        if (count[starts < 0] >= need).any():  # windows that would begin before the text begin with it
+            inside |= starts == 0
+        starts, count = starts[inside], count[inside]
+        # those that share the most first; none is better than an exact one
+        starts = starts[np.lexsort((starts, -count))]
         best = None
-        for a in range(0, len(starts), 2000):
-            some = starts[a : a + 2000]
+        for a in range(0, len(starts), 16):
+            if best is not None and best[1] == 0:
+                break
+            some = starts[a : a + 16]
             where = some[:, None] + np.arange(n)[None, :]
             windows = np.where(where < len(coded), coded[np.minimum(where, len(coded) - 1)], -1)
             lengths = np.minimum(n, len(coded) - some)

@@ -5,8 +5,8 @@ toxic rows, one with counts of ordinary rows. Both back off to the same lower or
 counts over the whole corpus: how many different letters precede a sequence. Rare and new expressions are so
 smoothed alike in both models, and only what a class has shown by itself tells them apart. A text's evidence is the
 difference of its log-likelihoods in the two models, normalised by its length and, for toxic passages
-in long texts, that of its highest stretch of ``STRETCH`` words. A logistic curve, fitted on labelled rows that the counts leave
-out, turns both into a score.
+in long texts, that of its highest stretches of a few words. A logistic curve, fitted on labelled rows that the counts leave
+out, turns them into a score.
 
 Counts are sums of Spark over all rows. The model that is broadcast holds at most ``most_grams`` sequences, those with the highest
 counts; where a corpus has more, the rare ones back off.
@@ -29,7 +29,7 @@ from seriesloom.llm.tables import batches_of, crc_of_id, slim, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, BITS, END = 5, 12, 4095
-STRETCH = 12
+STRETCHES = (1, 3, 12)
 DISCOUNT = 0.75
 
 
@@ -141,8 +141,8 @@ class Model:
 
 
 def shaped(evidence: np.ndarray) -> np.ndarray:
-    mean, top, words = evidence[:, 0], evidence[:, 1], evidence[:, 2]
-    return np.stack([np.ones(len(mean)), mean, top, mean * np.log1p(words), np.log1p(words)], axis=1)
+    mean, words, tops = evidence[:, 0], np.log1p(evidence[:, 1]), evidence[:, 2:]
+    return np.column_stack([np.ones(len(mean)), mean, mean * words, words, tops])
 
 
 class Reader:
@@ -152,7 +152,7 @@ class Reader:
         self.model, self.most, self.known = model, most, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """(mean by word, highest mean of a stretch, words) of each text; zeros without words."""
+        """(mean by word, words, highest means of stretches) of each text; zeros without words."""
         split = [words_of(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
@@ -160,13 +160,15 @@ class Reader:
         for a in range(0, len(new), 50_000):
             some = new[a : a + 50_000]
             self.known.update(zip(some, self.model.of_words(some).tolist()))
-        out = np.zeros((len(texts), 3))
+        out = np.zeros((len(texts), 2 + len(STRETCHES)))
         for i, words in enumerate(split):
             if words:
                 ratio = np.fromiter(map(self.known.__getitem__, words), float, len(words))
                 total = np.concatenate([[0], np.cumsum(ratio)])
-                n = min(STRETCH, len(words))
-                out[i] = ratio.mean(), ((total[n:] - total[:-n]) / n).max(), len(words)
+                out[i, :2] = ratio.mean(), len(words)
+                for k, n in enumerate(STRETCHES, 2):
+                    n = min(n, len(words))
+                    out[i, k] = (total[n:] - total[:-n]).max() / n
         return out
 
 
@@ -246,25 +248,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     model.base = sum(ones) / len(ones) if ones else 0.5
     if calibrate:
         rows = evidence(own.join(F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for r in calibrate], "doc_id long, label int")), "doc_id"), model, ["label"]).collect()
-        x, y = np.array([[r.mean, r.top, r.words] for r in rows]).reshape(-1, 3), np.array([r.label for r in rows], float)
+        x, y = np.array([r.evidence for r in rows]), np.array([r.label for r in rows], float)
         if 0 < y.sum() < len(y):
-            order = np.lexsort((x[:, 2], x[:, 1], x[:, 0]))  # rows come in any order; sums should not
+            order = np.lexsort(x.T)  # rows come in any order; sums should not
             model.curve = logistic(shaped(x[order]), y[order])
     return model
 
 
 def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """mean, top and words of each row's whole text, with the columns of ``keep``."""
+    """Evidence and score of each row's whole text, with the columns of ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(shared.value)
         for batch in batches_of(batches, "text"):
             got = read(batch.column("text").to_pylist())
-            yield pa.record_batch({c: batch.column(c) for c in keep} | {"mean": pa.array(got[:, 0]), "top": pa.array(got[:, 1]), "words": pa.array(got[:, 2]), "score": pa.array(shared.value.score(got))})
+            yield pa.record_batch({c: batch.column(c) for c in keep} | {"evidence": pa.array(got.tolist(), pa.list_(pa.float64())), "score": pa.array(shared.value.score(got))})
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, mean double, top double, words double, score double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, evidence array<double>, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held_fold: int = 1, **options) -> DataFrame:
