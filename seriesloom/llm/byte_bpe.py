@@ -27,24 +27,26 @@ from seriesloom.llm.tables import batches_of, slim
 LONG_WORD = 400
 WORDS_AT_ONCE = 40_000
 
+#: A row is a token: its first byte, the byte after it, its id and the id of the token after it. A contraction keeps the row
+#: of the right token, which takes over the left one's first byte, and tells the row before it. Rank and places are packed in one number.
 CONTRACT = """
 CREATE OR REPLACE TEMP TABLE contracted AS
-WITH RECURSIVE state(word, pos, id, step) AS (
-    SELECT word, pos, id, 0 FROM starts
+WITH RECURSIVE state(word, pos, stop, id, next, step) AS (
+    SELECT word, pos, stop, id, next, 0 FROM starts
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = best % 1024 THEN best // 1024 ELSE id END, step + 1
-    FROM (
-        SELECT p.word, p.pos, p.id, p.step, p.before,
-               min(m.rank::BIGINT * 1024 + p.pos) OVER (PARTITION BY p.word) AS best
+    SELECT s.word, CASE WHEN s.pos = b.stop THEN b.pos ELSE s.pos END, s.stop,
+           CASE WHEN s.pos = b.stop THEN b.rank ELSE s.id END, CASE WHEN s.stop = b.pos THEN b.rank ELSE s.next END, s.step + 1
+    FROM state s
+    JOIN (
+        SELECT word, (best // 1048576)::INTEGER AS rank, (best // 1024 % 1024)::INTEGER AS pos, (best % 1024)::INTEGER AS stop
         FROM (
-            SELECT word, pos, id, step, lead(id) OVER w AS next, lag(pos) OVER w AS before
-            FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ) p
-        LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next
-    )
-    WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 1024
+            SELECT t.word, min((m.rank::BIGINT * 1024 + t.pos) * 1024 + t.stop) AS best
+            FROM state t JOIN merges m ON m.left_id = t.id AND m.right_id = t.next GROUP BY t.word
+        )
+    ) b ON b.word = s.word
+    WHERE s.pos <> b.pos
 )
-SELECT word, pos, id FROM state QUALIFY step = max(step) OVER (PARTITION BY word)
+SELECT word, pos, id FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
 """
 
 DECODE = """
@@ -132,13 +134,11 @@ class WordTable:
             return []
         size = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(size)
-        starts = pa.table(  # noqa: F841
-            {
-                "word": np.repeat(np.arange(len(words), dtype=np.int32), size),
-                "pos": (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32),
-                "id": self.first[np.frombuffer(b"".join(words), np.uint8)],
-            }
-        )
+        first = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        place = (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32)
+        after = np.append(first[1:], -1).astype(np.int32)
+        after[ends - 1] = -1
+        starts = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": place, "stop": place + 1, "id": first, "next": after})  # noqa: F841
         self.con.execute(CONTRACT)
         got = self.con.sql(DECODE).to_arrow_table()
         ids, offsets = got.column("ids").combine_chunks(), None
@@ -168,7 +168,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_
         import regex
 
         cut, known = regex.compile(pattern), word_table(ranks)
-        for batch in batches_of(batches, "text"):
+        for batch in batches_of(batches, "text", 8_000_000):
             words = [cut.findall(t or "") for t in batch.column("text").to_pylist()]
             known.learn(set().union(*words))
             got = [[known.young[w] for w in one] for one in words]
