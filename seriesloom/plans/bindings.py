@@ -13,6 +13,7 @@ from seriesloom.functions.columns import money, month_of
 from seriesloom.operators.calendar import pad_calendar, split_last_n
 from seriesloom.operators.ordered import extend_with_anchor, interpolate
 from seriesloom.operators.rollup import conditional_sum, median_by
+from seriesloom.session import stage
 
 HOLDOUT = 12
 HORIZON = 12
@@ -44,8 +45,11 @@ def bounds(spark: SparkSession, sf: str) -> tuple[Column, Column]:
 
 
 def padded(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel on a full calendar, missing months as 0."""
-    return pad_calendar(panel(spark, sf).select("id", "ds", "y"), bounds=bounds(spark, sf))
+    """The panel on a full calendar, missing months as 0.
+
+    The panel is written once: its limits and every branch of a query read it from there, and orders are scanned a single time.
+    """
+    return pad_calendar(stage(panel(spark, sf).select("id", "ds", "y")))
 
 
 def full_months(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +67,7 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def rates_ahead(spark: SparkSession, sf: str) -> DataFrame:
     """The rates up to the end of the horizon: their median as the anchor at its last month, interpolated up to there."""
-    known = rates(spark, sf).withColumn("id", F.lit(0))
+    known = stage(rates(spark, sf).withColumn("id", F.lit(0)))
     last = table(spark, sf, "orders").select(month_of("o_orderdate").alias("ds")).agg(F.max("ds")).scalar()
     whole = extend_with_anchor(known, median_by(known, ["id"], "rate"), F.add_months(last, HORIZON))
     return interpolate(whole, "rate").select("ds", F.round("rate", 6).alias("rate"))

@@ -231,6 +231,16 @@ def feature_prep(spark, sf):
     return ft.as_array(fitted.transform(f)).select("id", "ds", "split", "y", F.array_join(F.transform("x", lambda v: F.round(v, 4).cast("string")), " ").alias("x"))
 
 
-@query("feature_roles", " UNION ALL ".join([f"SELECT '{c}' AS variable, 'double' AS type, 'predictor' AS role" for c in ("y_lag1", "sin12_k1")] + ["SELECT 'id', 'int', 'predictor'", "SELECT 'y', 'double', 'outcome'", "SELECT 'ds', 'date', 'indicator'"]))
+ROLES_SQL = """SELECT variable, type, role, CASE WHEN variable IN ('y', 'y_lag1') THEN known ELSE known + ahead END AS n_known FROM
+    (SELECT CAST(count(*) AS BIGINT) AS known, CAST(count(DISTINCT id) * 12 AS BIGINT) AS ahead FROM fullm),
+    (VALUES ('y_lag1', 'double', 'predictor'), ('sin12_k1', 'double', 'predictor'), ('id', 'int', 'predictor'), ('y', 'double', 'outcome'), ('ds', 'date', 'indicator')) v(variable, type, role)"""
+
+
+@query("feature_roles", sql(ROLES_SQL, "fullm"))
 def feature_roles(spark, sf):
-    return ft.FeaturePipeline(["y_lag1", "sin12_k1"], ["id"], indicator=["ds"]).roles(model_features(spark, sf))
+    """Roles and types of the features, with the number of rows that have each."""
+    f = model_features(spark, sf)
+    roles = ft.FeaturePipeline(["y_lag1", "sin12_k1"], ["id"], indicator=["ds"]).roles(f)
+    names = [r.variable for r in roles.collect()]
+    known = f.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "variable", "n_known")
+    return roles.join(known, "variable")
