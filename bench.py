@@ -20,6 +20,7 @@ from seriesloom.session import local_session  # noqa: E402
 HEADLINE = [
     "nested_fit_accuracy",
     "nested_forecast",
+    "customer_forecast",
     "scenario_forecast",
     "rollup_region",
     "agg_municipality",

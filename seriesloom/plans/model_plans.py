@@ -132,6 +132,14 @@ def error_report(spark, sf):
     return ids.join(lonely, "id", "left").groupBy("n_months", "model_desc", "message").agg(F.count(F.lit(1)).alias("n_series"))
 
 
+@query("customer_forecast")
+def customer_forecast(spark, sf):
+    """Every customer as a series on a full calendar: the axis that grows with the data."""
+    months = stage(b.order_months(spark, sf).select(F.col("o_custkey").alias("id"), "ds", F.col("y").cast("double").alias("y")))
+    fits = sm.fit_trend_season(sm.series_arrays(cal.pad_calendar(months)), HORIZON)
+    return r(sm.forecast_rows(fits), 2, "value")
+
+
 def tournament(spark, sf, models=("trend_season", "arima", "ets"), blend=False):
     """Hold-out fit, accuracy and winner per series."""
     p = split_panel(spark, sf)
