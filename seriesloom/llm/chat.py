@@ -94,13 +94,25 @@ def normal(counts: np.ndarray) -> np.ndarray:
 
 
 def learn(rows: DataFrame) -> Speakers:
-    """Counts over ``rows`` (conv, chunk, turn, role, text): of features by role, and of roles that follow each other."""
+    """Counts over ``rows`` (conv, chunk, turn, role, text): of features by role, and of roles that follow each other.
+
+    Features are counted where the rows are read; only roles are brought together by conversation.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown, moves, first = np.zeros((len(STATES), FEATURES), np.int64), np.zeros((len(STATES), len(STATES)), np.int64), np.zeros(len(STATES), np.int64)
+        shown = np.zeros((len(STATES), FEATURES), np.int64)
+        for batch in batches:
+            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
+                if (state := given_role(role)) >= 0:
+                    for _, _, kind, _ in lines_of(role, text):
+                        shown[state, kind] += 1
+        yield counted(shown=shown)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves, first = np.zeros((len(STATES), len(STATES)), np.int64), np.zeros(len(STATES), np.int64)
         for table in sorted_runs(batches, ["conv", "chunk"]):
             before = None
-            for conv, chunk, role, text in zip(*(table.column(c).to_pylist() for c in ("conv", "chunk", "role", "text"))):
+            for conv, chunk, role in zip(*(table.column(c).to_pylist() for c in ("conv", "chunk", "role"))):
                 state = given_role(role)
                 if before is None or before[:2] != (conv, chunk):
                     if state >= 0 and chunk == 0:
@@ -108,12 +120,14 @@ def learn(rows: DataFrame) -> Speakers:
                 elif state >= 0 and before[2] >= 0:
                     moves[before[2], state] += 1
                 before = (conv, chunk, state)
-                if state >= 0:
-                    for _, _, kind, _ in lines_of(role, text):
-                        shown[state, kind] += 1
-        yield pa.record_batch({"name": pa.array(["shown", "moves", "first"]), "counts": pa.array([x.ravel().tolist() for x in (shown, moves, first)], pa.list_(pa.int64()))})
+        yield counted(moves=moves, first=first)
+
+    def counted(**sums: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"name": pa.array(list(sums)), "counts": pa.array([x.ravel().tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
-    parts = rows.mapInArrow(count, "name string, counts array<long>")
+    schema = "name string, counts array<long>"
+    roles = rows.select("conv", "chunk", "turn", "role").repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", F.col("turn").asc_nulls_last(), "role")
+    parts = rows.select("role", "text").mapInArrow(count, schema).unionAll(roles.mapInArrow(follow, schema))
     # one row of at most a few hundred sums for each name and place
     sums = parts.select("name", F.posexplode("counts").alias("at", "n")).groupBy("name", "at").agg(F.sum("n").alias("n")).collect()
     found = {"shown": np.zeros(len(STATES) * FEATURES), "moves": np.zeros(len(STATES) ** 2), "first": np.zeros(len(STATES))}
@@ -246,20 +260,20 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     last, rows of a null conversation are conversations of their own. A null or empty text is an empty line. Roles that are null or
     unknown are left to the model. An empty table gives no rows.
     """
-    own = slim(rows, conv_id=conv_id, turn=turn, role=role, text=text).distinct()
+    own = slim(rows, conv_id=conv_id, turn=turn, role=role, text=text)
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     # conversations as longs, so that ids of any type work; a null one is named by its row
     own = own.withColumn("conv", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.lit(1))).otherwise(F.xxhash64("conv_id")))
-    lowest = stage(own.groupBy("conv").agg(F.min("turn").alias("lowest")))
-    cut = own.join(lowest, "conv").withColumn("chunk", F.floor((F.coalesce(F.col("turn").cast("long"), F.lit(2**62)) - F.coalesce(F.col("lowest").cast("long"), F.lit(2**62))) / CHUNK))
+    # chunks by the turn's number, null turns in one of their own at the end
+    own = own.withColumn("chunk", F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(2**62)) / CHUNK))
+    # rows that are repeated very often are thinned out where they are read, and the rest of them where they meet
+    dealt = own.mapInArrow(_thinned, own.schema)
     order = [F.col("conv"), F.col("chunk"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    dealt = stage(cut.drop("lowest").repartition("conv", "chunk").sortWithinPartitions(*order))
-    # the staged files may be read in pieces, so a chunk is brought together again where it is used
     together = lambda df: df.repartition("conv", "chunk").sortWithinPartitions(*order)
-    model = learn(together(dealt))
+    model = learn(dealt)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    sizes = dealt.select("conv", "chunk").distinct().groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = own.select("conv", "chunk").distinct().groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     long = stage(sizes)
     biggest = long.agg(F.max("n")).first()[0]
     framed = dealt.withColumn("before", F.lit(None).cast("binary")).withColumn("after", F.lit(None).cast("binary"))
@@ -267,7 +281,8 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         parted = together(dealt.join(long.select("conv"), "conv", "left_semi"))
 
         def one(conv, chunk, table):
-            lines = [x for r, t in zip(table.column("role").to_pylist(), table.column("text").to_pylist()) for x in lines_of(r, t)]
+            rows = _single(table)
+            lines = [x for r, t in zip(rows[2], rows[3]) for x in lines_of(r, t)]
             yield {"conv": conv, "chunk": chunk, "scores": _pack(summary(shared.value, lines))}
 
         nodes = _chunks(parted, one, "conv long, chunk long, scores binary")
@@ -281,7 +296,7 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         framed = dealt.join(bounds, ["conv", "chunk"], "left")
 
     def turns(conv, chunk, table):
-        rows = [table.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")]
+        rows = _single(table)
         lines = [lines_of(r, t) for r, t in zip(rows[2], rows[3])]
         ends = [None if x is None else _matrix(x)[0] for x in (table.column("before")[0].as_py(), table.column("after")[0].as_py())]
         states = decode(shared.value, [x for one in lines for x in one], *ends)
@@ -301,6 +316,19 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     return _chunks(together(framed), turns, schema)
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch without its repeated rows."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield from table.group_by(table.column_names, use_threads=False).aggregate([]).select(table.column_names).combine_chunks().to_batches()
+
+
+def _single(table: pa.Table) -> list[tuple]:
+    """conv_id, turn, role and text of a sorted chunk's rows, repeated rows once."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))))
+    return list(zip(*[row for i, row in enumerate(rows) if i == 0 or row != rows[i - 1]]))
+
+
 def _number(nodes: DataFrame) -> DataFrame:
     """``idx``: gapless numbers of a conversation's chunks, counted by blocks of chunks so that no task holds a long conversation."""
     from pyspark.sql import Window
