@@ -5,10 +5,11 @@ in [j, j+1), and a slot keeps its least value. Ranks are worked through in order
 once and stop as soon as every slot has a value below the next rank, so long documents need very few of them.
 
 Links. Documents with equal shingle sets become one representative first. A representative meets others where a
-band of its signature is equal. Each is compared with one partner of its buckets first, which joins
-most of a group of copies without listing its pairs. What still lies in one bucket but in different components is compared
-in tiles of bounded size by whole signatures; only pairs that may be similar enough leave a tile, once. Every link is
-confirmed on the full sets of both texts.
+band of its signature is equal. In a few rounds each is compared with one partner of its buckets, another in each round, which
+joins most of a group of copies without listing its pairs. What still lies in one bucket but in different components is compared
+in tiles of bounded size by whole signatures. Rows that have a partner which may be similar enough get their full sets, and
+their tile confirms the pairs and joins components as it goes, most similar pairs first: only links leave it, no pairs. Every link
+is confirmed on the full sets of both texts.
 
 ``BANDS`` x ``ROWS`` slots miss a pair at the threshold of 0.8 with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7; the
 filter in the tiles, four and a half standard errors below the threshold, with 3e-6 at most.
@@ -42,10 +43,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """64-bit hashes of words, remembered up to a million of them."""
+    """64-bit hashes of words, remembered up to a number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -157,27 +158,29 @@ def _unfold(reps: DataFrame) -> DataFrame:
     return reps.select("id", "bands").mapInArrow(run, "key long, id long")
 
 
+def alike(p: np.ndarray, q: np.ndarray, share: int) -> bool:
+    """100 * intersection >= share * union of two sorted sets."""
+    if 100 * min(len(p), len(q)) < share * max(len(p), len(q)):
+        return False
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= share * (len(p) + len(q) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs ``a``, ``b`` with 100 * intersection >= share * union of their full sets (``id``, ``items``)."""
+    """The pairs ``a``, ``b`` and whether their full sets (``id``, ``items``) are alike."""
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = 0
-                if 100 * min(len(p), len(q)) >= share * max(len(p), len(q)):
-                    both = np.sort(np.concatenate([p, q]), kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= share * (len(p) + len(q) - common))
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in zip(batch.column("x"), batch.column("y"))]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(keep, pa.bool_())})
 
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def _tiles(members: DataFrame, share: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures allow a link, each pair once.
+def _tile_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links between different components that share a bucket: enough of them to join all that are linked.
 
     ``members``: key, id, component, n, bands, short. The largest component of a bucket is not compared with itself.
     The others and it are cut into blocks by hash, and a tile is a pair of blocks: at most about 2 x TILE rows each.
@@ -198,37 +201,69 @@ def _tiles(members: DataFrame, share: int) -> DataFrame:
     dealt = dealt.select("key", "t1", "t2", "block", "id", "component", "n", "bands", "short")
     least = share / 100 - 4.5 * (share / 100 * (1 - share / 100) / SLOTS) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_runs(batches, ["key", "t1", "t2"]):
-            key, t1, t2 = (table.column(c).to_numpy() for c in ("key", "t1", "t2"))
-            block, ids, comp, n = (table.column(c).to_numpy() for c in ("block", "id", "component", "n"))
-            bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
-            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint16).reshape(-1, SLOTS)
-            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]), True])
+    def pairs_of(table: pa.Table) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each tile the rows with the partners whose signatures allow a link, and the share of equal slots."""
+        key, t1, t2, block, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "t1", "t2", "block", "id", "component", "n"))
+        bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+        short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]), True])
+        for a, b in zip(edges[:-1], edges[1:]):
+            own = block[a:b] == t1[a]
+            left = a + np.flatnonzero(own)
+            right = left if t1[a] == t2[a] else a + np.flatnonzero(~own)
             found = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                own = block[a:b] == t1[a]
-                left = a + np.flatnonzero(own)
-                right = left if t1[a] == t2[a] else a + np.flatnonzero(~own)
-                for i in left:
-                    j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= share * np.maximum(n[right], n[i]))]
-                    if t1[a] == t2[a]:
-                        j = j[ids[j] > ids[i]]
-                    if len(j):
-                        j = j[(short[j] == short[i]).mean(axis=1) >= least]
-                    if len(j):
-                        # a pair belongs to the first bucket that it shares
-                        first = (bands[j] == bands[i]).argmax(axis=1)
-                        j = j[bands[j, first] == key[a]]
-                        found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-            if found:
-                pairs = np.concatenate(found, axis=1)
-                yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    return dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(run, "a long, b long")
-
-
-def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
+            for i in left:
+                j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= share * np.maximum(n[right], n[i]))]
+                if t1[a] == t2[a]:
+                    j = j[ids[j] > ids[i]]
+                if len(j):
+                    # a pair belongs to the first bucket that it shares
+                    first = (bands[j] == bands[i]).argmax(axis=1)
+                    j = j[bands[j, first] == key[a]]
+                if len(j):
+                    same = (short[j] == short[i]).mean(axis=1)
+                    j, same = j[same >= least], same[same >= least]
+                if len(j):
+                    found.append((i, j, same))
+            yield found
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["key", "t1", "t2"]):
+            rows = [x for found in pairs_of(table) for i, j, _ in found for x in (np.array([i]), j)]
+            if rows:
+                yield from table.take(np.unique(np.concatenate(rows))).combine_chunks().to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["key", "t1", "t2"]):
+            ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+            items = table.column("items").combine_chunks()
+            full = lambda i: np.frombuffer(items[int(i)].as_buffer(), np.uint64)  # noqa: B023, E731
+            links = []
+            for found in pairs_of(table):
+                root: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while root.setdefault(c, c) != c:  # noqa: B023
+                        root[c] = root[root[c]]  # noqa: B023
+                        c = root[c]  # noqa: B023
+                    return c
+
+                tried = sorted(((-s, int(i), int(k)) for i, j, same in found for k, s in zip(j, same.tolist())))
+                for _, i, k in tried:
+                    p, q = find(int(comp[i])), find(int(comp[k]))
+                    if p != q and alike(full(i), full(k), share):
+                        root[p] = q
+                        links.append((max(int(ids[i]), int(ids[k])), min(int(ids[i]), int(ids[k]))))
+            if links:
+                a, b = zip(*links)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tiled = lambda df: df.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    flagged = stage(tiled(dealt).mapInArrow(near, dealt.schema))
+    return tiled(flagged.join(sets.select("id", "items"), "id").select(*dealt.columns, "items")).mapInArrow(link, "a long, b long")
+
+
+def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row.
 
     Texts are linked when 100 * intersection >= ``share`` * union of their sets of ``size``-word shingles. Rows that share
@@ -241,7 +276,7 @@ def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "
     # one representative for each set: the smallest id
     reps = stage(full.groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands", "short")).alias("r")).select("same", F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.short"))
     # an id may stand for several sets, or belong to the set of another id; both are links of their own
-    alike = full.select("doc_id", "same").join(reps.select("same", F.col("id").alias("rep")), "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    alike_ids = full.select("doc_id", "same").join(reps.select("same", F.col("id").alias("rep")), "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     keyed = _unfold(reps)
     # written before it is joined, here and below: then the join shuffles both sides and Spark can split a hot key
@@ -258,26 +293,32 @@ def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "
     # ids with several texts give several sets; a link of any of them is a link of the document
     sets = stage(own.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(take, "id long, items binary").distinct())
 
-    links, tried = None, None
+    tried = None
     labels = candidates.select("id", F.col("id").alias("component"))
-    for _ in range(star_rounds):
-        # one partner for each member: the component's partner with which it shares the most buckets
+    for k in range(star_rounds):
+        # one partner for each member: of the partners that its buckets name, the one that most of them do; a bucket names its
+        # smallest id, in later rounds its smallest by another hash
         now = met.join(labels, "id")
-        partner = stage(now.groupBy("key").agg(F.min(F.struct("component", "id")).alias("p")))
+        order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
+        partner = stage(now.groupBy("key").agg(F.min_by(F.struct("component", "id"), order).alias("p")))
         pairs = now.join(partner, "key").where(F.col("component") != F.col("p.component")).groupBy("id", F.col("p.id").alias("partner")).agg(F.count(F.lit(1)).alias("n"))
-        best = pairs.groupBy("id").agg(F.max(F.struct("n", "partner")).alias("best")).select(F.greatest("id", "best.partner").alias("a"), F.least("id", "best.partner").alias("b")).distinct()
+        pairs = pairs.select("id", "partner", "n", F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b"))
         if tried is not None:
-            best = best.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        best = stage(pairs.groupBy("id").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
+        if best.isEmpty():
+            break
         seen = stage(confirmed(best, sets, share))
         tried = seen if tried is None else tried.unionAll(seen)
-        links = tried.where("ok").select("a", "b")
-        labels = _label(candidates, links)
-    members = met.join(labels, "id")
-    mixed = stage(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    left = members.join(mixed, "key").join(reps.groupBy("id").agg(F.min(F.struct("n", "bands", "short")).alias("r")).select("id", "r.*"), "id")
-    pairs = stage(_tiles(left, share).distinct().join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    more = confirmed(pairs, sets, share).where("ok").select("a", "b")
-    labels = stage(components(links.unionAll(more).unionAll(alike)))
+        labels = _label(candidates, tried.where("ok").select("a", "b"))
+    links = alike_ids
+    if tried is not None:
+        looks = reps.groupBy("id").agg(F.min(F.struct("n", "bands", "short")).alias("r")).select("id", "r.*")
+        members = met.join(labels, "id")
+        mixed = stage(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+        more = stage(_tile_links(members.join(mixed, "key").join(looks, "id"), sets, share))
+        links = links.unionAll(tried.where("ok").select("a", "b")).unionAll(more)
+    labels = stage(components(links))
     named = signed.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     found = F.coalesce("component", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), found.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -291,7 +332,7 @@ def _label(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are no near copy of a document with a smaller id, with all their columns.
 
-    Of rows that repeat an id, the one with the smallest text stays.
+    All rows of an id that stays are kept, and rows of a null id always are.
     """
     found = link_groups(docs, size, share, doc_id, text, **options)
     dropped = found.where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
