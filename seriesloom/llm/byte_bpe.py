@@ -13,7 +13,6 @@ rank files mean. The recursion needs a step for each merge of the longest word,
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 from collections.abc import Iterator
 
@@ -97,7 +96,7 @@ class WordTable:
     Words are remembered in two generations of at most ``most`` each, so that frequent ones stay.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         import duckdb
 
         self.ranks = read_ranks(path)
@@ -150,12 +149,6 @@ class WordTable:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def word_table(path: str) -> WordTable:
-    """One table for each Python worker, kept from task to task."""
-    return WordTable(path)
-
-
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (binary) for each row.
 
@@ -167,8 +160,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut, known = regex.compile(pattern), word_table(ranks)
-        for batch in batches_of(batches, "text", 8_000_000):
+        cut, known = regex.compile(pattern), WordTable(ranks)
+        for batch in batches_of(batches, "text"):
             words = [cut.findall(t or "") for t in batch.column("text").to_pylist()]
             known.learn(set().union(*words))
             got = [[known.young[w] for w in one] for one in words]

@@ -37,7 +37,7 @@ def shape(word: str) -> str:
 class Terms:
     """Column numbers of words, remembered up to a number of words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.known, self.most = {}, most
 
     def of(self, word: str) -> tuple[int, int]:
