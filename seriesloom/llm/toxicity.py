@@ -8,13 +8,14 @@ difference of its log-likelihoods in the two models, normalised by its length an
 in long texts, that of its highest stretches of a few words. A logistic curve, fitted on labelled rows that the counts leave
 out, turns them into a score.
 
-Counts are sums of Spark over all rows. The model that is broadcast holds at most ``most_grams`` sequences, those with the highest
-counts; where a corpus has more, the rare ones back off.
+Counts are sums of Spark over all rows, and no sequence is left out for being rare. The model that is broadcast holds every sequence
+that a labelled class has seen, which the sample of labelled rows bounds. After a context that neither class has seen both models
+back off to the same number, so that such letters are no evidence; of the lower orders the broadcast model therefore holds the
+counts after suffixes of the classes' contexts, and these are counted over the whole corpus.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -102,13 +103,27 @@ class Shared:
     """Lower orders from continuation counts of all rows."""
 
     def __init__(self, keys: np.ndarray):
-        self.orders = []
+        found = []
         distinct = np.unique(keys)
         for order in range(ORDER - 1, 0, -1):
             # each distinct longer sequence is one letter that precedes its suffix
-            self.orders.append(Counts(*np.unique(suffix(distinct, order), return_counts=True)))
-            distinct = np.unique(suffix(distinct, order))
-        self.uniform = 1 / max(2, len(distinct) + 1)
+            found.append(np.unique(suffix(distinct, order), return_counts=True))
+            distinct = found[-1][0]
+        self._hold(found)
+
+    @classmethod
+    def counted(cls, found: list[tuple[np.ndarray, np.ndarray]]) -> Shared:
+        """Of (keys, continuation counts) of the orders, from the longest down to single letters.
+
+        A context has all of its letters or none; single letters are all there.
+        """
+        own = cls.__new__(cls)
+        own._hold(found)
+        return own
+
+    def _hold(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.orders = [Counts(*one) for one in found]
+        self.uniform = 1 / max(2, len(found[-1][0]) + 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         p = np.full(len(keys), self.uniform)
@@ -189,7 +204,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     return own
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, most_labels: int = 100_000, most_calibrate: int = 10_000, most_grams: int = 1_500_000, doc_id: str = "doc_id", text: str = "text") -> Model:
+def lower_orders(grams: DataFrame, seen: np.ndarray) -> Shared:
+    """Continuation counts of all ``grams``, of each letter that follows a suffix of a context in ``seen``."""
+    spark = grams.sparkSession
+    wanted = spark.sparkContext.broadcast([np.unique(suffix(context(seen), order - 1)) for order in range(1, ORDER)])
+
+    def after_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, order = batch.column("gram").to_numpy(), batch.column("order").to_numpy()
+            kept = order == 1  # their number is that of all letters
+            for k in range(2, ORDER):
+                kept |= (order == k) & np.isin(context(key), wanted.value[k - 1])
+            yield batch.filter(pa.array(kept))
+
+    longer, orders = grams.select("gram"), []
+    for order in range(ORDER - 1, 0, -1):
+        # each distinct longer sequence is one letter that precedes its suffix
+        longer = stage(longer.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        orders.append(longer.select("gram", "n", F.lit(order).alias("order")))
+        longer = longer.select("gram")
+    every = orders[0]
+    for one in orders[1:]:
+        every = every.unionAll(one)
+    got = every.mapInArrow(after_seen, "gram long, n long, order int").toArrow()
+    keys, n, order = (got.column(c).to_numpy() for c in ("gram", "n", "order"))
+    return Shared.counted([(keys[order == k], n[order == k]) for k in range(ORDER - 1, 0, -1)])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, most_labels: int = 100_000, most_calibrate: int = 10_000, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Count all documents, by class where they are labelled, and fit the curve.
 
     At most ``most_labels`` labelled rows outside the held-out fold, by a hash of the id, give class counts, but for a fifth of them
@@ -233,17 +275,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     parts = own.mapInArrow(count, "gram long, ordinary long, toxic long, other long")
     grams = stage(parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
-    size, least = grams.count(), 0
-    if size > most_grams:
-        # the least count, by powers of 1.25, that at most most_grams sequences reach
-        step = F.floor(F.log(F.col("ordinary") + F.col("toxic") + F.col("other")) / math.log(1.25)).cast("int")
-        for r in sorted(grams.groupBy(step.alias("s")).count().collect(), key=lambda r: r.s):
-            if size <= most_grams:
-                break
-            size, least = size - r["count"], 1.25 ** (r.s + 1)
-    got = grams.where(F.col("ordinary") + F.col("toxic") + F.col("other") >= least).toArrow()
+    got = grams.where(F.col("ordinary") + F.col("toxic") > 0).select("gram", "ordinary", "toxic").toArrow()
     keys = got.column("gram").to_numpy()
-    model = Model(Counts(keys, got.column("toxic").to_numpy()), Counts(keys, got.column("ordinary").to_numpy()), Shared(keys))
+    model = Model(Counts(keys, got.column("toxic").to_numpy()), Counts(keys, got.column("ordinary").to_numpy()), lower_orders(grams, keys))
     ones = [r.label for r in sample]
     model.base = sum(ones) / len(ones) if ones else 0.5
     if calibrate:

@@ -387,6 +387,26 @@ def test_kneser_ney_sums_to_one():
         assert abs(own.smoothed(every, lower).sum() + rest * (1 - own.smoothed(every, lower * 0).sum()) - 1) < 1e-9
 
 
+def test_rare_toxic_words_count_in_noise(spark):
+    """However many sequences of junk there are, a word seen once in a toxic row is evidence, and the model is that of all sequences."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzабвгдежзиклмнопрстуфхцчшщъыьэюя"))
+    junk = [(1000 + i, " ".join("".join(w) for w in rng.choice(letters, (500, 9)))) for i in range(420)]
+    common = [(i, "the plain words of a common text are here again " * 3) for i in range(60)]
+    greek = np.array(list("αβγδεζηθικλμνξοπρστυφχψω"))
+    toxic = [(i, "".join(rng.choice(greek, 6))) for i in range(60, 99) if not held(i, 3, 1)]  # each word is there once
+    rows = common + [(i, f"the {word} of a common text") for i, word in toxic] + junk
+    classes = [(i, 0) for i, _ in common] + [(i, 1) for i, _ in toxic]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(classes, "doc_id long, toxic int")
+    words = [word for _, word in toxic] + ["plain", "theqk", "common", *junk[0][1].split()[:50]]
+    every = np.unique(np.concatenate([toxicity.gram_keys(toxicity.words_of(t))[1] for _, t in rows]))
+    assert len(every) > 1_500_000
+    model = toxicity.train(docs, known)
+    got = model.of_words(words)
+    assert np.allclose(got, toxicity.Model(model.toxic, model.ordinary, toxicity.Shared(every)).of_words(words), atol=1e-12)
+    assert (got[: len(toxic)] > 5).sum() >= len(toxic) // 2  # a fifth of the labelled rows fit the curve and give no counts
+
+
 def test_quality(spark, sf):
     got = run(spark, "/root/testdata/sf0.01", "op10_quality")
     known = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
