@@ -94,9 +94,10 @@ def normal(counts: np.ndarray) -> np.ndarray:
 
 
 def learn(rows: DataFrame) -> Speakers:
-    """Counts over ``rows`` (conv, chunk, turn, role, text): of features by role, and of roles that follow each other.
+    """Counts over ``rows`` (conv, chunk, turn, role, text; no two equal): of features by role, and of roles that follow each other.
 
-    Features are counted where the rows are read; only roles are brought together by conversation.
+    Features are counted where the rows are read; only roles are brought together by conversation, and of each chunk its
+    first and last role, for the moves between chunks.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,30 +110,41 @@ def learn(rows: DataFrame) -> Speakers:
         yield counted(shown=shown)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moves, first = np.zeros((len(STATES), len(STATES)), np.int64), np.zeros(len(STATES), np.int64)
+        moves = np.zeros((len(STATES), len(STATES)), np.int64)
         for table in sorted_runs(batches, ["conv", "chunk"]):
-            before = None
+            edges: list[list[int]] = []  # conv, chunk, first and last state
             for conv, chunk, role in zip(*(table.column(c).to_pylist() for c in ("conv", "chunk", "role"))):
                 state = given_role(role)
-                if before is None or before[:2] != (conv, chunk):
-                    if state >= 0 and chunk == 0:
-                        first[state] += 1
-                elif state >= 0 and before[2] >= 0:
-                    moves[before[2], state] += 1
-                before = (conv, chunk, state)
-        yield counted(moves=moves, first=first)
+                if not edges or edges[-1][:2] != [conv, chunk]:
+                    edges.append([conv, chunk, state, state])
+                    continue
+                if state >= 0 and edges[-1][3] >= 0:
+                    moves[edges[-1][3], state] += 1
+                edges[-1][3] = state
+            yield pa.record_batch({"name": pa.array(["edge"] * len(edges)), "counts": pa.array(edges, pa.list_(pa.int64()))})
+        yield counted(moves=moves)
 
     def counted(**sums: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch({"name": pa.array(list(sums)), "counts": pa.array([x.ravel().tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
     schema = "name string, counts array<long>"
     roles = rows.select("conv", "chunk", "turn", "role").repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", F.col("turn").asc_nulls_last(), "role")
-    parts = rows.select("role", "text").mapInArrow(count, schema).unionAll(roles.mapInArrow(follow, schema))
+    parts = stage(rows.select("role", "text").mapInArrow(count, schema).unionAll(roles.mapInArrow(follow, schema)))
+    edges = parts.where("name = 'edge'").select(*[F.col("counts")[i].alias(c) for i, c in enumerate(("conv", "chunk", "start", "end"))])
+    numbered = _number(edges)
+    # the first chunk's first role, and moves from a chunk's last role to the first of the next
+    firsts = numbered.where("idx = 0 AND start >= 0").groupBy("start").count().collect()
+    nexts = numbered.select("conv", (F.col("idx") - 1).alias("idx"), F.col("start").alias("to")).where("to >= 0 AND idx >= 0")
+    borders = numbered.where("end >= 0").join(nexts, ["conv", "idx"]).groupBy("end", "to").count().collect()
     # one row of at most a few hundred sums for each name and place
-    sums = parts.select("name", F.posexplode("counts").alias("at", "n")).groupBy("name", "at").agg(F.sum("n").alias("n")).collect()
+    sums = parts.where("name <> 'edge'").select("name", F.posexplode("counts").alias("at", "n")).groupBy("name", "at").agg(F.sum("n").alias("n")).collect()
     found = {"shown": np.zeros(len(STATES) * FEATURES), "moves": np.zeros(len(STATES) ** 2), "first": np.zeros(len(STATES))}
     for r in sums:
         found[r.name][r["at"]] = r.n
+    for r in firsts:
+        found["first"][r["start"]] = r["count"]
+    for r in borders:
+        found["moves"][r["end"] * len(STATES) + r["to"]] += r["count"]
     stay = np.full((len(STATES), len(STATES)), 0.02 / (len(STATES) - 1))
     np.fill_diagonal(stay, 0.98)
     return Speakers(normal(found["first"]), normal(found["moves"].reshape(len(STATES), -1)), whole_log(stay), normal(found["shown"].reshape(len(STATES), -1)))
@@ -252,11 +264,12 @@ def render(turns: list[tuple[int, list[str]]]) -> tuple[list[str], list[str], st
     return roles, texts, "".join(f"<|im_start|>{r}\n{plain(t)}<|im_end|>\n" for r, t in zip(roles, texts))
 
 
-def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", distinct: bool = True) -> DataFrame:
     """conv_id, turn, given_role, roles, texts and rendered for each row.
 
     A row gives one turn, or several where its text changes speaker; a row's ``rendered`` texts in order of turn are the
-    conversation. Rows that are equal in all four columns count once. Equal turns are ordered by role and text, a null turn comes
+    conversation. Rows that are equal in all four columns count once in what is learnt and decoded; with ``distinct`` they also give
+    one result, else as many as there are rows. Equal turns are ordered by role and text, a null turn comes
     last, rows of a null conversation are conversations of their own. A null or empty text is an empty line. Roles that are null or
     unknown are left to the model. An empty table gives no rows.
     """
@@ -266,14 +279,14 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     own = own.withColumn("conv", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.lit(1))).otherwise(F.xxhash64("conv_id")))
     # chunks by the turn's number, null turns in one of their own at the end
     own = own.withColumn("chunk", F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(2**62)) / CHUNK))
-    # rows that are repeated very often are thinned out where they are read, and the rest of them where they meet
-    dealt = own.mapInArrow(_thinned, own.schema)
+    # equal rows are one row with their number, whatever files and batches they lie in
+    dealt = stage(own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("n")))
     order = [F.col("conv"), F.col("chunk"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     together = lambda df: df.repartition("conv", "chunk").sortWithinPartitions(*order)
     model = learn(dealt)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    sizes = own.select("conv", "chunk").distinct().groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = dealt.select("conv", "chunk").distinct().groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     long = stage(sizes)
     biggest = long.agg(F.max("n")).first()[0]
     framed = dealt.withColumn("before", F.lit(None).cast("binary")).withColumn("after", F.lit(None).cast("binary"))
@@ -281,8 +294,7 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         parted = together(dealt.join(long.select("conv"), "conv", "left_semi"))
 
         def one(conv, chunk, table):
-            rows = _single(table)
-            lines = [x for r, t in zip(rows[2], rows[3]) for x in lines_of(r, t)]
+            lines = [x for r, t in zip(table.column("role").to_pylist(), table.column("text").to_pylist()) for x in lines_of(r, t)]
             yield {"conv": conv, "chunk": chunk, "scores": _pack(summary(shared.value, lines))}
 
         nodes = _chunks(parted, one, "conv long, chunk long, scores binary")
@@ -296,12 +308,12 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         framed = dealt.join(bounds, ["conv", "chunk"], "left")
 
     def turns(conv, chunk, table):
-        rows = _single(table)
+        rows = [table.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "n")]
         lines = [lines_of(r, t) for r, t in zip(rows[2], rows[3])]
         ends = [None if x is None else _matrix(x)[0] for x in (table.column("before")[0].as_py(), table.column("after")[0].as_py())]
         states = decode(shared.value, [x for one in lines for x in one], *ends)
         at = 0
-        for conv_id, turn, role, own in zip(rows[0], rows[1], rows[2], lines):
+        for conv_id, turn, role, n, own in zip(rows[0], rows[1], rows[2], rows[4], lines):
             spoken: list[tuple[int, list[str]]] = []
             for line, marker, _, _ in own:
                 if spoken and spoken[-1][0] == states[at] and (marker < 0 or not spoken[-1][1]):
@@ -310,23 +322,23 @@ def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                     spoken.append((states[at], [line]))
                 at += 1
             roles, texts, rendered = render(spoken)
-            yield {"conv_id": conv_id, "turn": turn, "given_role": role, "roles": roles, "texts": texts, "rendered": rendered}
+            yield {"conv_id": conv_id, "turn": turn, "given_role": role, "roles": roles, "texts": texts, "rendered": rendered, "n": n}
 
     schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, given_role string, roles array<string>, texts array<string>, rendered string"
-    return _chunks(together(framed), turns, schema)
+    found = _chunks(together(framed), turns, schema + ", n long")
+    return found.drop("n") if distinct else found.mapInArrow(_repeated, schema)
 
 
-def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch without its repeated rows."""
+def _repeated(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """Each row ``n`` times, a few at once, without ``n``."""
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        yield from table.group_by(table.column_names, use_threads=False).aggregate([]).select(table.column_names).combine_chunks().to_batches()
-
-
-def _single(table: pa.Table) -> list[tuple]:
-    """conv_id, turn, role and text of a sorted chunk's rows, repeated rows once."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))))
-    return list(zip(*[row for i, row in enumerate(rows) if i == 0 or row != rows[i - 1]]))
+        ends = np.cumsum(batch.column("n").to_numpy())
+        own = batch.select([c for c in batch.schema.names if c != "n"])
+        if len(ends) and ends[-1] == len(ends):
+            yield own
+            continue
+        for start in range(0, int(ends[-1]) if len(ends) else 0, most):
+            yield own.take(pa.array(np.searchsorted(ends, np.arange(start, min(start + most, ends[-1])), side="right")))
 
 
 def _number(nodes: DataFrame) -> DataFrame:
@@ -336,6 +348,6 @@ def _number(nodes: DataFrame) -> DataFrame:
     blocked = nodes.withColumn("block", F.floor(F.col("chunk") / 10_000))
     counts = blocked.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("conv", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    starts = counts.select("conv", "block", F.coalesce(before, F.lit(0)).alias("earlier"))
     inside = F.row_number().over(Window.partitionBy("conv", "block").orderBy("chunk")) - 1
-    return stage(blocked.withColumn("inside", inside).join(starts, ["conv", "block"]).select("conv", "chunk", (F.col("start") + F.col("inside")).cast("long").alias("idx"), "scores"))
+    return stage(blocked.withColumn("inside", inside).join(starts, ["conv", "block"]).select("conv", "chunk", (F.col("earlier") + F.col("inside")).cast("long").alias("idx"), *[c for c in nodes.columns if c not in ("conv", "chunk")]))

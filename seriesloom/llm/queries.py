@@ -40,7 +40,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_turns(table(spark, sf_dir, "conversations"))
+    return chat.format_turns(table(spark, sf_dir, "conversations"), distinct=False)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

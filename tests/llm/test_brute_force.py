@@ -514,3 +514,39 @@ def test_rendering(spark):
     got = sorted(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect(), key=lambda r: r.turn)
     assert [r.roles for r in got] == [["system"], ["user", "assistant"]]
     assert "".join(r.rendered for r in got) == "<|im_start|>system\nBe kind.< |im_end| ><|im_end|>\n<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\nhello\nthere<|im_end|>\n"
+
+
+CHAT = "conv_id long, turn int, role string, text string"
+
+
+def test_repeated_rows_all_come_back(spark):
+    """A transcript without turn numbers keeps its second 'ok', and a row that is there 700 times is given 700 times."""
+    rows = [(1, None, "user", "ok"), (1, None, "assistant", "go on"), (1, None, "user", "ok")] + [(2, 0, "user", "again")] * 700 + [(None, None, None, "x")] * 3
+    got = chat.format_turns(spark.createDataFrame(rows, CHAT).repartition(5), distinct=False).collect()
+    assert Counter((r.conv_id, r.turn, r.given_role) for r in got) == Counter(r[:3] for r in rows)
+    assert {(r.conv_id, *r.texts) for r in got} == {(1, "ok"), (1, "go on"), (2, "again"), (None, "x")}
+
+
+def learnt(monkeypatch, table):
+    seen, keep = [], chat.learn
+    with monkeypatch.context() as patch:
+        patch.setattr(chat, "learn", lambda rows: seen.append(keep(rows)) or seen[-1])
+        chat.format_turns(table)
+    return seen[0]
+
+
+def test_what_is_learnt_counts_equal_rows_once_in_any_layout(spark, monkeypatch):
+    rows = [(c, t, role, "text?" * (t + 1)) for c in range(20) for t, role in enumerate(["system", "user", "assistant", "user"])]
+    once = learnt(monkeypatch, spark.createDataFrame(rows, CHAT))
+    for parts in (1, 7):
+        many = learnt(monkeypatch, spark.createDataFrame(rows * 3, CHAT).repartition(parts))
+        assert all(np.array_equal(getattr(once, f), getattr(many, f)) for f in ("first", "rows", "inside", "shown"))
+
+
+def test_moves_between_chunks_are_learnt(spark, monkeypatch):
+    rows = [(1, t + 1000, ["user", "assistant"][t % 2], "x") for t in range(40)]
+    whole = learnt(monkeypatch, spark.createDataFrame(rows, CHAT))
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    cut = learnt(monkeypatch, spark.createDataFrame(rows, CHAT))
+    assert np.array_equal(whole.rows, cut.rows) and np.array_equal(whole.first, cut.first)
+    assert np.array_equal(whole.rows, chat.normal([[0, 0, 0], [0, 0, 20], [0, 19, 0]])) and np.array_equal(whole.first, chat.normal([0, 1, 0]))
