@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
-Elements that never belong to an article (scripts, forms, menus, page headers and footers, sidebars, notices, adverts, reader
-comments, by tag, role or words of class and id) are cut off the DOM tree first. Every node then has its characters per
-tag, adjusted for the share of link text, and the sum of its children's densities. The node of the largest sum is
+Elements that never belong to an article by tag or role (scripts, forms, menus, page headers and footers, asides) or that are hidden
+are cut off the DOM tree first. Every node then has its characters per
+tag, adjusted for the share of link text, and the sum of its children's densities. Elements whose class or id has a word
+of ``NOT_ARTICLE`` (sidebars, notices, adverts, reader comments) take part in this; they are cut off afterwards, unless the node of the largest sum lies
+in them (of the largest in an ``article`` or ``main`` element, where there is one), and the rest is weighed anew. The node of the largest sum is
 the article; the least density on its path to the body is the threshold above which other subtrees add their
 own node of the largest sum. Where the article lies in an ``article`` or ``main`` element, that element is taken whole.
 """
@@ -53,30 +55,32 @@ _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "listed")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.marked = False
+        self.marked = self.listed = False
 
 
-def not_article(tag: str, attributes: str) -> bool:
+def not_article(tag: str, attributes: str) -> str:
+    """"cut" for what never belongs to an article, "listed" for what words of class and id speak against, else empty."""
     if tag in CUT:
-        return True
+        return "cut"
     if not attributes or attributes.isspace():
-        return False
+        return ""
+    found = ""
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
             if any(w.lower() in NOT_ARTICLE for w in _NAMES.findall(value)):
-                return True
+                found = "listed"
         elif name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "cut"
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return "cut"
+    return found
 
 
 def parse(page: str) -> Node:
@@ -150,7 +154,8 @@ def parse(page: str) -> Node:
             now = _close(now, {"p"}, {"td", "th", "button", "article", "section", "div"})
         if tag in ENDS:
             now = _close(now, *ENDS[tag])
-        if not_article(tag, attributes):
+        against = not_article(tag, attributes)
+        if against == "cut" or against and (tag in RAW or tag in VOID or closed):
             if tag in RAW:
                 at = _after(page, at, tag)
             elif tag not in VOID and not closed:
@@ -164,6 +169,7 @@ def parse(page: str) -> Node:
             now.children.append(Node(tag, now))
         else:
             now = _open(now, tag)
+            now.listed = against == "listed"
     return root
 
 
@@ -206,6 +212,8 @@ def weigh(body: Node) -> list[Node]:
     """Fill in counts, densities and sums below ``body``."""
     nodes = nodes_of(body)
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
         for child in node.children:
             if isinstance(child, str):
                 node.chars += len(child) - child.count(" ") - child.count("\n")
@@ -228,9 +236,27 @@ def weigh(body: Node) -> list[Node]:
     return nodes
 
 
+def without_listed(body: Node, nodes: list[Node]) -> list[Node]:
+    """The weighed nodes once listed elements are cut off in which the article does not lie."""
+    if not any(n.listed for n in nodes):
+        return nodes
+    within: dict[int, bool] = {}
+    for node in nodes:  # parents first
+        within[id(node)] = node is not body and (node.tag in ("article", "main") or within[id(node.parent)])
+    article = max([n for n in nodes if within[id(n)] and n.chars] or nodes, key=lambda n: n.total)
+    while article is not body:
+        article.listed = False
+        article = article.parent
+    for node in nodes:
+        if any(isinstance(c, Node) and c.listed for c in node.children):
+            rest = (Node("br", node) if isinstance(c, Node) and c.listed and c.tag in BLOCK else c for c in node.children)
+            node.children = [c for c in rest if isinstance(c, str) or not c.listed]
+    return weigh(body)
+
+
 def mark(body: Node) -> None:
     """Mark the nodes that are content."""
-    nodes = weigh(body)
+    nodes = without_listed(body, weigh(body))
     best = max(nodes, key=lambda n: n.total)
     if best.chars == 0:
         return

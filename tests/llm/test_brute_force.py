@@ -323,6 +323,20 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "a long line of the article, which goes on and on. " * 20
+WRAPPED = [
+    f"<div class='content has-sidebar'><p>{LONG}</p><p>{LONG}</p><div class=sidebar>other</div></div>",
+    f"<div id='page' class='no-sidebar'><nav>menu</nav><article><p>{LONG}</p><p>{LONG}</p><div class=share>other</div></article><div class=comments><p>other</p></div></div>",
+    f"<div class='widget'><main><p>{LONG}</p><p>{LONG}</p></main></div><div class='related'>other</div>",
+    f"<section id='legal'><div><p>{LONG}</p><p>{LONG}</p></div></section><div class='social'>other</div>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_names_of_wrappers_do_not_cut_the_article(page):
+    assert html_text.main_text(page) == " ".join([LONG.strip()] * 2)
+
+
 def test_deep_pages():
     assert html_text.main_text("<div>" * 20_000 + "deep") == "deep"
 
