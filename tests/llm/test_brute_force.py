@@ -84,6 +84,15 @@ def test_shards(spark, sf, documents):
     assert max(sizes.values()) == got[0].capacity
 
 
+def test_a_third_of_copies_leaves_shards_near_equal(spark):
+    rows = [(i, "copied text " * 5 if i % 3 == 0 else f"text {i} " * 8) for i in range(6000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert len(got) == len(rows) and max(sizes.values()) == got[0].capacity < 1.1 * sum(sizes.values()) / 24
+
+
 # --- exact dedup
 
 
