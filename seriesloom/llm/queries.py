@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import byte_bpe, chat, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, token_files, toxicity, vector_codes
+from seriesloom.llm import byte_bpe, chat, decontaminate, exact_dedup, html_text, near_dedup, periodic_runs, quality, sharding, token_files, toxicity, url_filter, vector_codes
 from seriesloom.llm.tables import table
 from seriesloom.session import ship
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+# Rules of the URL filter, as (host and path, verdict)
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True, texts=False)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
