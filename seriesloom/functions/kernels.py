@@ -168,104 +168,6 @@ def difference(y: np.ndarray, d: int, D: int, m: int) -> np.ndarray:
     return y
 
 
-# ARMA by conditional least squares, a batch of (series, order) rows at once
-
-
-def lag_polynomials(theta: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lag weights of the AR and MA sides from (ar1-3, ma1-3, sar, sma), one row per candidate."""
-    ar, ma = np.zeros((len(theta), m + 4)), np.zeros((len(theta), m + 4))
-    ar[:, 1:4], ma[:, 1:4] = theta[:, 0:3], theta[:, 3:6]
-    ar[:, m] += theta[:, 6]
-    ma[:, m] += theta[:, 7]
-    for j in range(3):
-        ar[:, m + 1 + j] -= theta[:, 6] * theta[:, j]
-        ma[:, m + 1 + j] += theta[:, 7] * theta[:, 3 + j]
-    return ar, ma
-
-
-def arma_errors(w: np.ndarray, x: np.ndarray, theta: np.ndarray, m: int) -> np.ndarray:
-    """One-step errors for rows of equal length; values before the start count as zero."""
-    u = w - theta[:, 8:9] - np.einsum("rk,rkt->rt", theta[:, 9:], x)
-    ar, ma = lag_polynomials(theta, m)
-    n = w.shape[1]
-    v = u.copy()
-    for j in range(1, ar.shape[1]):
-        if j < n and np.any(ar[:, j]):
-            v[:, j:] -= ar[:, j : j + 1] * u[:, : n - j]
-    used = [j for j in range(1, ma.shape[1]) if j < n and np.any(ma[:, j])]
-    if not used:
-        return v
-    e = np.zeros((n + m + 4, len(w)))
-    back = np.array(used)
-    weights = ma[:, used].T
-    vt = v.T
-    for t in range(n):
-        e[t + m + 4] = vt[t] - (weights * e[t + m + 4 - back]).sum(axis=0)
-    return e[m + 4 :].T
-
-
-def arma_fit(w: np.ndarray, x: np.ndarray, active: np.ndarray, m: int, rounds: int = 12):
-    """Damped Gauss-Newton from zero for every row; ``active`` marks the parameters of its order."""
-    rows, n = w.shape
-    k = active.shape[1]
-    theta = np.zeros((rows, k))
-    theta[:, 8] = np.where(active[:, 8], w.mean(axis=1), 0.0)
-    damp = np.full(rows, 1e-3)
-    eps = 1e-5
-    with np.errstate(all="ignore"):
-        e = arma_errors(w, x, theta, m)
-        sse = (e * e).sum(axis=1)
-        for _ in range(rounds):
-            jac = np.zeros((rows, n, k))
-            for j in range(k):
-                on = active[:, j]
-                if on.any():
-                    moved = theta[on].copy()
-                    moved[:, j] += eps
-                    jac[on, :, j] = (arma_errors(w[on], x[on], moved, m) - e[on]) / eps
-            jac = np.nan_to_num(jac, nan=0.0, posinf=0.0, neginf=0.0)
-            gram = np.einsum("rti,rtj->rij", jac, jac)
-            diag = np.einsum("rii->ri", gram)
-            ridge = np.where(active, damp[:, None] * diag + 1e-10 * (1 + diag), 1.0)
-            step = np.linalg.solve(gram + ridge[:, :, None] * np.eye(k), -np.einsum("rti,rt->ri", jac, e)[:, :, None])[:, :, 0]
-            step = np.where(active, step, 0.0)
-            step[:, :8] = np.clip(step[:, :8], -0.5, 0.5)
-            trial = theta + step
-            trial[:, :8] = np.clip(trial[:, :8], -1.98, 1.98)
-            te = arma_errors(w, x, trial, m)
-            tsse = np.nan_to_num((te * te).sum(axis=1), nan=np.inf)
-            better = tsse < sse
-            gain = np.max(np.where(better, (sse - tsse) / np.maximum(sse, 1e-12), 0.0), initial=0.0)
-            theta[better], e[better], sse[better] = trial[better], te[better], tsse[better]
-            damp = np.where(better, damp * 0.2, damp * 8)
-            if gain < 1e-7 and damp.min() > 1e-2:
-                break
-    return theta, e, sse
-
-
-def outside_unit(coefs: np.ndarray, seasonal: np.ndarray) -> np.ndarray:
-    """Rows whose recursion is not stable: a root on or inside the unit circle."""
-    companion = np.zeros((len(coefs), 3, 3))
-    companion[:, 0, :] = coefs
-    companion[:, 1, 0] = companion[:, 2, 1] = 1.0
-    return (np.abs(np.linalg.eigvals(companion)).max(axis=1) >= 0.995) | (np.abs(seasonal) >= 0.995)
-
-
-def arma_forecast(w: np.ndarray, e: np.ndarray, theta: np.ndarray, x: np.ndarray, x_ahead: np.ndarray, m: int, h: int) -> np.ndarray:
-    """Forecast one differenced series h steps ahead."""
-    ar, ma = (p[0] for p in lag_polynomials(theta[None, :], m))
-    u = list(w - theta[8] - theta[9:] @ x)
-    err = list(e)
-    for _ in range(h):
-        t = len(u)
-        nxt = sum(ar[j] * u[t - j] for j in range(1, len(ar)) if j <= t) + sum(
-            ma[j] * err[t - j] for j in range(1, len(ma)) if j <= t
-        )
-        u.append(nxt)
-        err.append(0.0)
-    return np.array(u[len(w) :]) + theta[8] + theta[9:] @ x_ahead
-
-
 def undifference(y: np.ndarray, ahead: np.ndarray, d: int, D: int, m: int) -> np.ndarray:
     """Add the differences back, starting from the end of the series."""
     levels = [y]

@@ -1,9 +1,10 @@
 """Exact quantiles of groups that may hold a large share of all rows.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task. Here each
-group's values are put into cells that follow their order, the cells are counted with map-side
-combining, and only the cells that hold a wanted rank are ordered. Every row counts; nothing is
-sampled.
+Spark's exact ``percentile`` keeps every distinct value of a group in one task. Here equal values meet in the map stage, and
+their counts are written once. Groups of few distinct values are ordered as they are. In the others, values get a whole
+number that keeps their order (exponent and leading bits of the double); its leading bits form cells, the cells are counted
+with map-side combining, and the cells that hold a wanted rank are divided by the next bits until they have few distinct
+values. Only those are ordered. Every row counts; nothing is sampled, and far outliers do not make a cell large.
 """
 
 from __future__ import annotations
@@ -13,74 +14,109 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.session import stage
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], cells: int = 2048) -> DataFrame:
+#: distinct values that one task may order
+SMALL = 20_000
+#: bits below a cell, after each division
+SHIFTS = (52, 40, 28, 16, 4, 0)
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL) -> DataFrame:
     """One row per group with ``n`` and one interpolated quantile column per entry of ``probs``.
 
-    Interpolation between neighbours is linear, as in SQL's PERCENTILE_CONT. NULLs are left out.
+    Interpolation between neighbours is linear, as in SQL's PERCENTILE_CONT. NULLs are left out, NaN is the largest value.
     """
     by = list(by)
     if not by:
-        whole = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, cells)
-        return whole.drop("_all")
-    # one row per distinct value: equal values meet before the shuffle
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
-    key = [*by, "_cell", "_scale"]
-    placed = counts.join(span, by).select(*by, "_v", "_c", "n", _linear_cell(cells).alias("_cell"), _scale_cell().alias("_scale"))
-    per_cell = placed.groupBy(*key).agg(F.sum("_c").alias("_cc"), F.max("n").alias("n"))
-    running = Window.partitionBy(*by).orderBy("_cell", "_scale").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = F.array(
-        *[
-            rank
-            for p in probs.values()
-            for rank in (F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p)))
-        ]
-    )
-    wanted = (
-        per_cell.withColumn("_before", F.coalesce(F.sum("_cc").over(running), F.lit(0)))
-        .withColumn("_ranks", F.array_distinct(ranks))
-        .withColumn("_ranks", _ranks_in("_before", "_cc"))
-        .where(F.size("_ranks") > 0)
-        .select(*key, "_before", "_ranks")
-    )
-    order = Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    hits = (
-        placed.join(wanted, key)
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
-        .withColumn("_hit", F.explode(_ranks_in("_start", "_c")))
-        .groupBy(*by)
-        .agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_hit", "_v"))).alias("_at"))
-    )
-    return hits.select(*by, "n", *[_interpolate(p).alias(name) for name, p in probs.items()])
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, small).drop("_all")
+    return quantiles_of_counts(value_counts(df, by, value), by, probs, small)
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Number ``_c`` of each distinct value ``_v`` of each group, NULL among them, written once."""
+    return stage(df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], probs: dict[str, float], small: int = SMALL) -> DataFrame:
+    by = list(by)
+    # one spelling of the group's columns, so that NULL keys meet as well
+    counts = counts.where(F.col("_v").isNotNull()).withColumn("_g", F.struct(*by))
+    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"))
+    if not (sizes.agg(F.max("_d")).first()[0] or 0) > small:
+        whole = counts.withColumn("n", F.sum("_c").over(Window.partitionBy("_g")))
+        return _read(_hits(whole.select("_g", "n", "_v", "_c", F.lit(0).alias("_before"), _ranks(probs).alias("_ranks")), ["_g"]), by, probs)
+    sizes = stage(sizes)
+    keyed = _with_key(counts)
+    open_cells = sizes.select("_g", "n", F.lit(0).cast("long").alias("_before"), _ranks(probs).alias("_ranks"), "_d", F.lit(None).cast("long").alias("_cell"), F.lit(0).alias("_shift"))
+    done = [open_cells.where(F.col("_d") <= small)]
+    open_cells, above = open_cells.where(F.col("_d") > small), None
+    for shift in SHIFTS:
+        inside = _rows_of(keyed, open_cells, above)
+        cells = inside.groupBy("_g", "n", "_start", "_ranks", F.shiftright("_key", shift).alias("_cell")).agg(F.sum("_c").alias("_cc"), F.count(F.lit(1)).alias("_d"))
+        running = Window.partitionBy("_g", "_start").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_cc").over(running), F.lit(0)))
+        cells = cells.withColumn("_ranks", _ranks_in("_before", "_cc")).where(F.size("_ranks") > 0)
+        cells = stage(cells.select("_g", "n", "_before", "_ranks", "_d", "_cell", F.lit(shift).alias("_shift")))
+        last = shift == SHIFTS[-1]
+        done.append(cells if last else cells.where(F.col("_d") <= small))
+        open_cells, above = cells.where(F.col("_d") > small), shift
+        if last or open_cells.isEmpty():
+            break
+    parts = [_rows_of(keyed, cells, None if k == 0 else SHIFTS[k - 1]) for k, cells in enumerate(done)]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.select("_g", "n", "_v", "_c", F.col("_start").alias("_before"), "_ranks")
+    return _read(_hits(rows, ["_g", "_before"]), by, probs)
+
+
+def _rows_of(keyed: DataFrame, cells: DataFrame, shift: int | None) -> DataFrame:
+    """The values inside the cells, with the cell's ranks and the number of rows before it."""
+    cells = cells.select("_g", "n", F.col("_before").alias("_start"), "_ranks", F.col("_cell").alias("_in"))
+    if shift is None:
+        return keyed.join(cells.drop("_in"), "_g")
+    return keyed.withColumn("_in", F.shiftright("_key", shift)).join(cells, ["_g", "_in"]).drop("_in")
+
+
+def _ranks(probs: dict[str, float]) -> Column:
+    ranks = [r for p in probs.values() for r in (F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p)))]
+    return F.array_distinct(F.array(*ranks))
 
 
 def _ranks_in(start: str, count: str) -> Column:
     return F.filter("_ranks", lambda r: (r >= F.col(start)) & (r < F.col(start) + F.col(count)))
 
 
-def _linear_cell(cells: int) -> Column:
-    """Equal parts of the group's range; fine where values fill their range."""
-    # halves, since the width of a range can exceed the largest double
-    width = F.col("_hi") / 2 - F.col("_lo") / 2
-    share = F.when(width > 0, (F.col("_v") / 2 - F.col("_lo") / 2) / width).otherwise(F.lit(0.0))
-    return F.least(F.floor(share * F.lit(cells)), F.lit(cells - 1)).cast("int")
+def _hits(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """The values at the wanted ranks of each cell."""
+    order = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    return placed.withColumn("_hit", F.explode(_ranks_in("_start", "_c")))
+
+
+def _read(hits: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    found = hits.groupBy("_g").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_hit", "_v"))).alias("_at"))
+    return found.select(*[F.col("_g")[c].alias(c) for c in by], "n", *[_interpolate(p).alias(name) for name, p in probs.items()])
 
 
-def _scale_cell(parts: int = 256) -> Column:
-    """Equal parts of each power of two; fine where far outliers stretch the range.
+def _with_key(counts: DataFrame) -> DataFrame:
+    """A long that keeps the order of doubles: the exponent above 51 bits of the fraction.
 
-    Both cells grow with the value, so pairs of them keep the order and there are no more
-    of them than the two counts together.
+    Two neighbouring doubles may share a key, so the last cells have two values at most.
     """
-    size = F.abs("_v")
-    power = F.floor(F.log2(size))
-    step = (power + 1075) * parts + F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * parts)
-    return F.when(F.col("_v") > 0, step + 1).when(F.col("_v") < 0, -step - 1).otherwise(F.lit(0)).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    size = F.col("_size")
+    finite = (size > 0) & (size < F.lit(float("inf")))
+    sized = counts.withColumn("_size", F.abs("_v"))
+    # the logarithm may be off by one beside a power of two
+    sized = sized.withColumn("_e", F.when(finite, F.floor(F.log2("_size"))).otherwise(F.lit(0)).cast("long"))
+    sized = sized.withColumn("_e", F.col("_e") - (power(F.col("_e")) > size).cast("long"))
+    sized = sized.withColumn("_e", F.col("_e") + (power(F.col("_e") + 1) <= size).cast("long"))
+    unit = 1 << 51
+    step = (F.col("_e") + 1074) * F.lit(unit) + F.floor((size / power(F.col("_e")) - 1) * F.lit(float(unit))) + 1
+    key = F.when(F.isnan("_v"), F.lit(2100 * unit)).when(size == 0, F.lit(0)).when(finite, step).otherwise(F.lit(2099 * unit))
+    return sized.withColumn("_key", F.when(F.col("_v") < 0, -key).otherwise(key)).drop("_size", "_e")
 
 
 def _interpolate(p: float) -> Column:
@@ -88,3 +124,11 @@ def _interpolate(p: float) -> Column:
     low = F.element_at("_at", F.floor(pos))
     high = F.element_at("_at", F.ceil(pos))
     return low + (high - low) * (pos - F.floor(pos))
+
+
+def array_quantile(values: Column, p: float) -> Column:
+    """The interpolated quantile of an array of bounded length; NULLs are left out, an empty array gives NULL."""
+    kept = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    pos = (F.size(kept) - 1) * F.lit(p)
+    at = lambda place: F.get(kept, place.cast("int"))
+    return at(F.floor(pos)) + (at(F.ceil(pos)) - at(F.floor(pos))) * (pos - F.floor(pos))

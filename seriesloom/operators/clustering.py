@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import distances as ds
 from seriesloom.operators.similarity import BLOCK, per_row, tile_sums, tiles, z_arrays
-from seriesloom.session import stage
+from seriesloom.session import stage, unstage
 
 
 def kmeans(arrays: DataFrame, k: int, seed: int = 1, max_iter: int = 20) -> DataFrame:
@@ -78,20 +78,138 @@ def spread_start(arrays: DataFrame, k: int, kernel: ds.Kernel, seed: int) -> lis
     return found
 
 
-def kmedoids(arrays: DataFrame, k: int, kernel: ds.Kernel, seed: int = 1, max_iter: int = 20, block: int = BLOCK) -> DataFrame:
-    """Partition around k medoids until they repeat: id, label, medoid, dist."""
-    kept = stage(arrays.select("id", "a"))
+RINGS = 16
+
+
+def with_medoids(arrays: DataFrame, medoids: Sequence[tuple], kernel: ds.Kernel, name: str = "d") -> DataFrame:
+    """The rows with their distances to these series as an array. No shuffle."""
+    centres = np.array([m[1] for m in medoids], dtype=float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(**{name: list(kernel(np.vstack(batch["a"].to_numpy()).astype(float), centres))})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema.fields)
+    return arrays.mapInPandas(run, f"{schema}, {name} array<double>")
+
+
+def _near(d: Column) -> list[Column]:
+    """Place of the nearest medoid, the distance to it, and to the second nearest."""
+    least = F.array_min(d)
+    place = F.array_position(d, least).cast("int") - 1
+    others = F.filter(d, lambda x, i: i != place)
+    return [place.alias("m"), least.alias("d1"), F.coalesce(F.array_min(others), F.lit(float("inf"))).alias("d2")]
+
+
+def best_swaps(seen: DataFrame, k: int, kernel: ds.Kernel, block: int = BLOCK, metric: bool = True, width: float | None = None) -> dict:
+    """For each medoid, the series whose exchange with it lowers the summed distance most, among all series.
+
+    ``seen`` is (id, a, d). A candidate x changes what a series o costs only where it is nearer to o than o's second medoid.
+    Series are kept in rings around their medoid, finer near it than at ``width``; by the triangle inequality, a candidate's
+    distance to that medoid rules out whole rings. The remaining tiles leave as one row per candidate, with what the exchange
+    changes in all cases and what it changes beyond that if the ring's own medoid goes. Without ``metric`` no ring is ruled out.
+    """
+    kind = seen.schema["id"].dataType.simpleString()
+    rows = seen.select("id", "a", "d", *_near(F.col("d")))
+    width = width or float(rows.agg(F.max("d1")).first()[0] or 1.0)
+    # half powers of two below the width; any division into rings is right, since their limits are measured
+    ring = F.when(F.col("d1") > 0, F.greatest(F.lit(0), F.least(F.lit(RINGS - 1), F.lit(RINGS - 1) + F.ceil(2 * F.log2(F.col("d1") / width))))).otherwise(F.lit(0)).cast("int")
+    rows = rows.withColumn("g", F.col("m") * RINGS + (ring if metric else F.lit(0)))
+    stats = rows.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("d2").alias("far"), F.sum("d1").alias("cost"), F.sum(F.col("d2") - F.col("d1")).alias("loss"),
+        F.array(*[F.min(F.col("d")[m]) for m in range(k)]).alias("from"), F.array(*[F.max(F.col("d")[m]) for m in range(k)]).alias("to"),
+    ).orderBy("g").collect()  # at most k * RINGS rows
+    group = np.array([r.g for r in stats])
+    medoid, lo, hi, far = group // RINGS, *(np.array([r[c] for r in stats], float) for c in ("lo", "hi", "far"))
+    pieces = np.array([-(-r.n // block) for r in stats])
+    offset = np.cumsum(pieces) - pieces
+    cost = sum(r.cost for r in stats)
+    loss = [sum(r.loss for r in stats if r.g // RINGS == m) for m in range(k)]
+    # groups of candidates (rows) that can reach into groups of series (columns)
+    least, most = (np.array([r[c] for r in stats], float)[:, medoid] for c in ("from", "to"))
+    slack = 1e-9 * (1 + hi + np.where(np.isfinite(far), far, 0))
+    reach = (least - hi < far + slack) & (lo - most < far + slack) if metric else np.ones((len(stats), len(stats)), bool)
+    number = {int(g): i for i, g in enumerate(group)}
+    place = lambda g: np.array([number[int(x)] for x in g], dtype=int)
+    spread = lambda i: np.arange(offset[i], offset[i] + pieces[i])
+
+    @F.pandas_udf("int")
+    def own_piece(g: pd.Series, h: pd.Series) -> pd.Series:
+        i = place(g)
+        return pd.Series(offset[i] + h.to_numpy() % pieces[i])
+
+    @F.pandas_udf("array<int>")
+    def reached(g: pd.Series, d: pd.Series) -> pd.Series:
+        to = np.vstack(d.to_numpy())[:, medoid]
+        on = (to - hi < far + slack) & (lo - to < far + slack) if metric else np.ones(to.shape, bool)
+        return pd.Series([np.concatenate([np.zeros(0, int), *[spread(j) for j in np.nonzero(o)[0]]]) for o in on])
+
+    @F.pandas_udf("array<int>")
+    def reached_by(g: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate([spread(i) for i in np.nonzero(reach[:, j])[0]]) for j in place(g)])
+
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    rows = rows.withColumn("piece", own_piece("g", hashed))
+    candidates = rows.select("id", "a", F.col("piece").alias("_x"), F.explode(reached("g", "d")).alias("_o"))
+    objects = rows.select(F.col("a").alias("a"), "m", "d1", "d2", F.explode(reached_by("g")).alias("_x"), F.col("piece").alias("_o"))
+    columns = ["id", "m", "every", "own", "compared"]
+
+    def gains(x: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(o):
+            return pd.DataFrame(columns=columns)
+        d = kernel(np.vstack(x["a"].to_numpy()).astype(float), np.vstack(o["a"].to_numpy()).astype(float))
+        d1, d2 = o["d1"].to_numpy()[None, :], o["d2"].to_numpy()[None, :]
+        every = np.where(d < d1, d - d1, 0.0).sum(1)
+        # with one medoid there is no second; whatever goes, the candidate takes over
+        own = np.where(d < d2, d - (d2 if np.isfinite(d2).all() else d1), 0.0).sum(1) - every
+        return pd.DataFrame({"id": x["id"], "m": int(o["m"].iat[0]), "every": every, "own": own, "compared": len(o)})
+
+    tiles_ = candidates.groupBy("_x", "_o").cogroup(objects.groupBy("_x", "_o")).applyInPandas(gains, f"id {kind}, m int, every double, own double, compared bigint")
+    per = tiles_.groupBy("id", "m").agg(F.sum("every").alias("every"), F.sum("own").alias("own"), F.sum("compared").alias("compared"))
+    per = per.groupBy("id").agg(F.sum("every").alias("every"), F.map_from_entries(F.collect_list(F.struct("m", "own"))).alias("own"), F.sum("compared").alias("compared"))
+    losses = [x if np.isfinite(x) else 0.0 for x in loss]
+    change = lambda m: F.round(F.lit(losses[m]) + F.coalesce(F.try_element_at("own", F.lit(m)), F.lit(0.0)) + F.col("every"), 9)
+    best = per.agg(*[F.min(F.struct(change(m).alias("change"), "id")).alias(f"m{m}") for m in range(k)], F.sum("compared").alias("compared")).first()
+    return {"cost": cost, "swaps": sorted((best[m].change, best[m].id, m) for m in range(k)), "compared": best.compared}
+
+
+def kmedoids(arrays: DataFrame, k: int, kernel: ds.Kernel, seed: int = 1, max_passes: int = 100, block: int = BLOCK, metric: bool = True) -> DataFrame:
+    """Partition around k medoids: id, label, medoid, dist, converged.
+
+    From medoids that lie far apart, a pass finds the best exchange for each medoid among all series and makes as many of
+    them, the best one first, as lower the summed distance most together. It ends where no exchange of a medoid for any
+    series lowers it; ``converged`` is false if ``max_passes`` came before that. Set ``metric`` to False for distances
+    without the triangle inequality.
+    """
+    kept = stage(arrays.select("id", F.col("a").cast("array<double>").alias("a")))
     medoids = spread_start(kept, k, kernel, seed)
-    labels = assign(kept, medoids, kernel)
-    for _ in range(max_iter):
-        found = update(kept.join(labels.select("id", "label"), "id"), kernel, block).orderBy("label").collect()
-        # k rows, one per cluster
-        new = [(r["id"], r["a"]) for r in found]
-        if [m[0] for m in new] == [m[0] for m in medoids]:
+    k = len(medoids)
+    state = stage(with_medoids(kept, medoids, kernel))
+    seen, converged, width = state, False, None
+    for _ in range(max_passes):
+        width = width or float(seen.agg(F.max(F.array_min("d"))).first()[0] or 1.0)
+        found = best_swaps(seen, k, kernel, block, metric, width)
+        least = -1e-9 * max(1.0, abs(found["cost"]))
+        swaps = [s for s in found["swaps"] if s[0] < least]
+        if not swaps:
+            converged = True
             break
-        medoids = new
-        labels = assign(kept, medoids, kernel)
-    return labels
+        # at most k rows
+        rows = {r["id"]: r["a"] for r in kept.where(F.col("id").isin([s[1] for s in swaps])).collect()}
+        tried = stage(with_medoids(seen, [(i, rows[i]) for _, i, _ in swaps], kernel, "e"))
+        places = [m for *_, m in swaps]
+        after = lambda n: F.array(*[F.col("e")[places.index(m)] if m in places[:n] else F.col("d")[m] for m in range(k)])
+        costs = tried.agg(*[F.sum(F.array_min(after(n))).alias(f"c{n}") for n in range(1, len(swaps) + 1)]).first()
+        made = int(np.argmin(np.round(costs, 9))) + 1
+        for _, i, m in swaps[:made]:
+            medoids[m] = (i, rows[i])
+        seen = tried.select("id", "a", after(made).alias("d"))
+        unstage(state)
+        state = tried
+    labelled = seen.select("id", *_near(F.col("d")))
+    names = F.array(*[F.lit(m[0]) for m in medoids])
+    return labelled.select("id", (F.col("m") + 1).alias("label"), F.element_at(names, F.col("m") + 1).alias("medoid"), F.col("d1").alias("dist"), F.lit(converged).alias("converged"))
 
 
 def cluster_info(labels: DataFrame) -> DataFrame:
@@ -99,27 +217,83 @@ def cluster_info(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.avg("dist").alias("av_dist"))
 
 
-def connected(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Smallest reachable id per id: labels spread over the edges and jump over known labels until nothing changes.
+def connected(edges: DataFrame, ids: DataFrame, few: int = 200_000) -> DataFrame:
+    """Smallest reachable id per id, by contracting stars.
 
-    ``edges`` is (id_a, id_b), ``ids`` is (id).
+    ``edges`` is (id_a, id_b), ``ids`` is (id). A round hangs each node's larger neighbours on the least of its neighbourhood,
+    then its smaller ones; edges that say the same meet, and only they are joined. All ids come in once, at the end.
     """
-    links = stage(edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).unionByName(edges.select(F.col("id_b").alias("u"), F.col("id_a").alias("v"))))
-    labels = stage(ids.select("id", F.col("id").alias("label")))
-    while True:
-        heard = links.join(labels, links.v == labels.id).groupBy("u").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, labels.id == heard.u, "left").select("id", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
-        jump = nearer.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        new = stage(nearer.join(jump, "label", "left").select("id", F.least("label", "root").alias("label"), "was"))
-        changed = not new.where(F.col("label") != F.col("was")).isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
-
-
-def cluster_pvalue(pairs: DataFrame, ids: DataFrame, alpha: float) -> DataFrame:
-    """Groups of series that are not significantly different: p-values above alpha link them."""
-    return connected(pairs.where(F.col("dist") > alpha).select("id_a", "id_b"), ids)
+    links = stage(edges.where("id_a <> id_b").select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct())
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before, now = None, mark(links)
+    while now != before and now[0] > few:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # written before the join, so that both sides are shuffled and Spark can split a hot node
+        low = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low")))
+        large = stage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        low = stage(large.groupBy("u").agg(F.min("v").alias("low")))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
+        former, links = links, stage(small.where("u <> v").distinct())
+        unstage(former)
+        before, now = now, mark(links)
+    kind = links.schema["u"].dataType.simpleString()
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+
+        def top(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+                a, b = top(u), top(v)
+                root[max(a, b)] = min(a, b)
+        if root:
+            yield pd.DataFrame({"id": list(root), "root": [top(x) for x in root]})
+
+    roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    if now[0] <= few:
+        roots = links.coalesce(1).mapInPandas(finish, f"id {kind}, root {kind}")
+    return ids.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+
+
+def forest(arrays: DataFrame, kernel: ds.Kernel, keep: Callable[[np.ndarray], np.ndarray], block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b): links whose distance passes ``keep``, of each tile only a spanning forest.
+
+    It connects what all links connect, and has at most one link less than the tile has series.
+    """
+    kind = arrays.schema["id"].dataType.simpleString()
+
+    def emit(left: pd.DataFrame, right: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+        linked = ~np.isnan(matrix) & keep(matrix)
+        names, n = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()]), len(left)
+        if left["id"].equals(right["id"]):
+            names, beside = names[:n], linked | linked.T
+            around = lambda i: beside[i]
+        else:
+            around = lambda i: np.concatenate([np.zeros(n, bool), linked[i]]) if i < n else np.concatenate([linked[:, i - n], np.zeros(len(right), bool)])
+        fresh, found = np.ones(len(names), bool), []
+        for start in range(len(names)):
+            walk = [start] if fresh[start] else []
+            fresh[start] = False
+            while walk:
+                i = walk.pop()
+                new = np.nonzero(around(i) & fresh)[0]
+                fresh[new] = False
+                found += [(i, j) for j in new]
+                walk += new.tolist()
+        a, b = (names[[e[s] for e in found]] if found else names[:0] for s in (0, 1))
+        return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a)})
+
+    return tiles(arrays, kernel, emit, f"id_a {kind}, id_b {kind}", block)
+
+
+def cluster_pvalue(arrays: DataFrame, kernel: ds.Kernel, alpha: float, block: int = BLOCK) -> DataFrame:
+    """Groups of series that are not significantly different: p-values above alpha link them. No pair leaves its tile
+    that a spanning forest does not need."""
+    return connected(forest(arrays, kernel, lambda p: p > alpha, block), arrays.select("id"))
 
 
 def agreement(left: DataFrame, right: DataFrame) -> DataFrame:

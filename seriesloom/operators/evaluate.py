@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.quantiles import exact_quantiles
+from seriesloom.functions.quantiles import array_quantile, exact_quantiles
 
 
 def accuracy(
@@ -90,9 +90,15 @@ def best_report(accuracy_table: DataFrame, best: DataFrame, key: str = "id") ->
 def with_interval(
     forecast: DataFrame, calibration: DataFrame, level: float = 0.95, by: Sequence[str] = ("model_id",)
 ) -> DataFrame:
-    """Limits at plus and minus the residual quantile of the hold-out, per model or per series and model."""
+    """Limits at plus and minus the residual quantile of the hold-out, per model or per series and model.
+
+    With ``id`` among the columns a group has no more rows than the hold-out has months, and is sorted as an array.
+    """
     size = calibration.select(*by, F.abs("resid").alias("_e"))
-    width = exact_quantiles(size, by, "_e", {"_w": level}).drop("n")
+    if "id" in by:
+        width = size.groupBy(*by).agg(F.collect_list("_e").alias("_e")).select(*by, array_quantile(F.col("_e"), level).alias("_w"))
+    else:
+        width = exact_quantiles(size, by, "_e", {"_w": level}).drop("n")
     out = forecast.join(width, list(by), "left")
     return out.withColumn("lo", F.col("value") - F.col("_w")).withColumn("hi", F.col("value") + F.col("_w")).drop("_w")
 

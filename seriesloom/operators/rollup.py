@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.quantiles import exact_quantiles
+from seriesloom.functions.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from seriesloom.operators.cleaning import numeric_columns, with_region
 
 
@@ -61,17 +61,19 @@ def distinct_ids(panel: DataFrame, key: str = "id") -> DataFrame:
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: counts, mean, deviation and five quantiles."""
     columns = list(columns or numeric_columns(df))
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column", "value") if columns else df
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column", "value")
+    # the table is read once; moments and quantiles come from the counts of its distinct values
+    counts = value_counts(long, ["column"], "value")
+    moments = counts.groupBy("column").agg(
+        F.sum("_c").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("n_missing"),
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))).alias("mean"),
     )
-    quantiles = exact_quantiles(
-        long, ["column"], "value", {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
-    ).drop("n")
-    return moments.join(quantiles, "column", "left")
+    around = counts.join(moments, "column").groupBy("column").agg(F.sum(F.col("_c") * F.pow(F.col("_v") - F.col("mean"), F.lit(2.0))).alias("_s"))
+    deviation = F.sqrt(F.col("_s") / F.nullif(F.col("n_rows") - F.col("n_missing") - 1, F.lit(0)))
+    quantiles = quantiles_of_counts(counts, ["column"], {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}).drop("n")
+    out = moments.join(around, "column", "left").withColumn("sd", deviation).drop("_s")
+    return out.join(quantiles, "column", "left")
 
 
 def attach_exog(panel: DataFrame, rates: DataFrame, on: str = "ds", how: str = "inner") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions import kernels
+from seriesloom.functions import arima, kernels
 from seriesloom.functions.columns import month_index
 
 FIT = "model_id int, model_desc string, form string, aicc double, params array<double>, ahead array<double>, resid array<double>, status string, message string"
@@ -67,8 +67,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def _score(candidates: DataFrame, fit: Callable[[pd.DataFrame, int], list], model_id: int, h: int, keep: str) -> DataFrame:
-    """Score candidate rows in batches. A failing row reports its error and does not stop the others."""
+def _score(candidates: DataFrame, fit: Callable[[pd.DataFrame, int], list], model_id: int, h: int, keep: str, gaps: bool = False) -> DataFrame:
+    """Score candidate rows in batches. A failing row reports its error and does not stop the others; so does a series with
+    missing months, unless the model takes ``gaps``."""
     name = MODELS[model_id]
     schema = f"{keep}, {FIT}"
     carried = [c.strip().split(" ")[0] for c in keep.split(",")]
@@ -77,7 +78,7 @@ def _score(candidates: DataFrame, fit: Callable[[pd.DataFrame, int], list], mode
         for batch in batches:
             for begin in range(0, len(batch), 512):
                 part = batch.iloc[begin : begin + 512].reset_index(drop=True)
-                found = [_broken(part, i, h) for i in range(len(part))]
+                found = [_broken(part, i, h, gaps) for i in range(len(part))]
                 sound = [i for i, problem in enumerate(found) if problem is None]
                 if sound:
                     whole = part.iloc[sound].reset_index(drop=True)
@@ -102,13 +103,13 @@ def _one(fit, row: pd.DataFrame, h: int):
         return f"{type(err).__name__}: {err}"
 
 
-def _broken(part: pd.DataFrame, i: int, h: int) -> str | None:
+def _broken(part: pd.DataFrame, i: int, h: int, gaps: bool = False) -> str | None:
     """Why a series cannot be fitted as it is, if so."""
     y = part["y"].iat[i]
     if y is None:
         return "ValueError: months repeat"
     missing = int(pd.isna(np.asarray(y, dtype=object)).sum())
-    if missing:
+    if missing and not gaps:
         return f"ValueError: {missing} months have no value; pad or interpolate the series first"
     if "x" in part and len(part["x"].iat[i]):
         ahead = part["x_ahead"].iat[i]
@@ -220,8 +221,14 @@ def smooth_fixed(panel: DataFrame, alphas: Sequence[float], beta: float | None =
 # ARIMA
 
 
-def fit_arima(arrays: DataFrame, h: int, m: int = 12, max_pq: int = 3, max_PQ: int = 1) -> DataFrame:
-    """Seasonal ARIMA with regressors as regression with ARMA errors; all orders are scored."""
+def fit_arima(arrays: DataFrame, h: int, m: int = 12, max_pq: int = 3, max_PQ: int = 1, refine: int = 3) -> DataFrame:
+    """Seasonal ARIMA with regressors as regression with ARMA errors.
+
+    All orders up to ``max_pq`` and ``max_PQ`` are scored by conditional least squares, each as a row; the ``refine`` best of
+    a series are fitted by exact maximum likelihood, whose criterion decides. Months without a value are interpolated for
+    the search and left open in the likelihood.
+    """
+    shape = arima.Shape(max_pq, max_PQ, m)
     orders = F.array(
         *[
             F.struct(*[F.lit(v).alias(n) for n, v in zip(("p", "q", "sp", "sq"), (p, q, sp, sq))])
@@ -234,8 +241,8 @@ def fit_arima(arrays: DataFrame, h: int, m: int = 12, max_pq: int = 3, max_PQ: i
     candidates = spread(arrays, "id").select("*", F.inline(orders))
     long_enough = (F.col("sp") + F.col("sq") == 0) | (F.size("y") >= 3 * m)
 
-    def fit(part: pd.DataFrame, h: int) -> list:
-        ys = _rows(part, "y")
+    def search(part: pd.DataFrame, h: int) -> list:
+        ys = [_filled(y) for y in _rows(part, "y")]
         needs: dict = {}
         out: list = [None] * len(part)
         plan = []
@@ -243,46 +250,86 @@ def fit_arima(arrays: DataFrame, h: int, m: int = 12, max_pq: int = 3, max_PQ: i
             tag = (part["id"].iat[i], len(y))
             if tag not in needs:
                 needs[tag] = kernels.differences(y, m)
-            d, D = needs[tag]
-            k = len(part["x"].iat[i])
-            plan.append((d, D, len(y), k))
+            plan.append((*needs[tag], len(y), len(part["x"].iat[i])))
         for at in _grouped(part, plan):
             d, D, n, k = plan[at[0]]
             if n - d - D * m < 4:
                 for i in at:
                     out[i] = "ValueError: series too short"
                 continue
-            scale = np.array([float(np.abs(ys[i]).max()) or 1.0 for i in at])
-            raw = [np.vstack([ys[i] / s, _matrix(part["x"].iat[i], n)]) for i, s in zip(at, scale)]
-            diffed = [np.vstack([kernels.difference(r, d, D, m) for r in block]) for block in raw]
-            w = np.vstack([b[0] for b in diffed])
-            x = np.stack([b[1:] for b in diffed])
-            active = np.zeros((len(at), 9 + k), dtype=bool)
-            for r, i in enumerate(at):
-                active[r, : part["p"].iat[i]] = True
-                active[r, 3 : 3 + part["q"].iat[i]] = True
-                active[r, 6], active[r, 7] = part["sp"].iat[i] > 0, part["sq"].iat[i] > 0
-            active[:, 8] = d + D < 2
-            active[:, 9:] = True
-            theta, e, sse = kernels.arma_fit(w, x, active, m)
+            blocks = [_levels(ys[i], part["x"].iat[i], d, D, m)[0] for i in at]
+            diffed = np.stack([np.vstack([kernels.difference(r, d, D, m) for r in block]) for block in blocks])
+            w, x = diffed[:, 0], diffed[:, 1:]
+            active = np.array([np.r_[shape.active(*(part[c].iat[i] for c in ("p", "q", "sp", "sq"))), np.ones(x.shape[1], bool)] for i in at])
+            theta, _, sse = arima.conditional_fit(w, x, active, shape)
             length = w.shape[1]
             score = kernels.aicc(length, length * np.log(sse / length + 1e-14), active.sum(axis=1) + 1)
-            bad = kernels.outside_unit(theta[:, :3], theta[:, 6]) | kernels.outside_unit(-theta[:, 3:6], theta[:, 7])
-            score = np.where(bad, kernels.PENALTY, score)
+            score = np.where(shape.unstable(theta), kernels.PENALTY, score)
             for r, i in enumerate(at):
-                known = _matrix(part["x_ahead"].iat[i], h)
-                known, steps = known[:, :h], h
-                whole = np.hstack([raw[r][1:], known]) if k else np.zeros((0, n + steps))
-                x_ahead = np.vstack([kernels.difference(row, d, D, m)[-steps:] for row in whole]) if k else np.zeros((0, steps))
-                ahead = kernels.arma_forecast(w[r], e[r], theta[r], x[r], x_ahead, m, steps)
-                ahead = kernels.undifference(raw[r][0], ahead, d, D, m) * scale[r]
                 order = [part["p"].iat[i], d, part["q"].iat[i], part["sp"].iat[i], D, part["sq"].iat[i]]
+                out[i] = ("", score[r], [*order, *theta[r, : shape.size]], [], [])
+        return out
+
+    def fit(part: pd.DataFrame, h: int) -> list:
+        out: list = [None] * len(part)
+        plan = []
+        for i, y in enumerate(_rows(part, "y")):
+            found = part["found"].iat[i]
+            plan.append(None if found is None else (int(found[1]), int(found[4]), len(y), len(part["x"].iat[i]), bool(np.isnan(y).any())))
+        for at in _grouped(part, plan):
+            if plan[at[0]] is None:
+                for i in at:
+                    out[i] = part["why"].iat[i] or "ValueError: series too short"
+                continue
+            d, D, n, k, gaps = plan[at[0]]
+            levels = [_levels(np.asarray(part["y"].iat[i], dtype=float), part["x"].iat[i], d, D, m, part["x_ahead"].iat[i], h) for i in at]
+            ahead = np.stack([a for _, a in levels])
+            data = np.stack([block for block, _ in levels])
+            if not gaps:
+                whole = np.concatenate([data[:, 1:], ahead], axis=2)
+                cut = lambda block: np.stack([np.vstack([kernels.difference(r, d, D, m) for r in rows]) if len(rows) else np.zeros((0, 0)) for rows in block])
+                data, ahead = cut(data), cut(whole)[:, :, -h:] if whole.shape[1] else ahead
+            found = np.array([np.asarray(part["found"].iat[i], dtype=float) for i in at])
+            active = np.array([shape.active(*(int(f[j]) for j in (0, 2, 3, 5))) for f in found])
+            weights = arima.difference_weights(d, D, m) if gaps else np.zeros(0)
+            theta, beta, deviance, used, fc, resid = arima.exact_fit(data, found[:, 6:], active, shape, weights, ahead)
+            score = kernels.aicc(used, deviance, active.sum(axis=1) + beta.shape[1] + 1)
+            score = np.where(shape.unstable(theta), kernels.PENALTY, score)
+            for r, i in enumerate(at):
+                y = np.asarray(part["y"].iat[i], dtype=float)
+                scale = _scale(y)
+                forecast = fc[r] if gaps else kernels.undifference(y / scale, fc[r], d, D, m)
+                order = [int(v) for v in found[r, :6]]
                 form = "ARIMA({},{},{})({},{},{})".format(*order) + f"[{m}]"
-                out[i] = (form, score[r], [*order, *theta[r]], ahead, e[r] * scale[r])
+                out[i] = (form, score[r], [*order, *theta[r], *beta[r]], forecast * scale, resid[r] * scale)
         return out
 
     keep = f"id {_type(arrays, 'id')}, start date"
-    return _best(_score(candidates.where(long_enough), fit, 2, h, keep))
+    searched = _score(candidates.where(long_enough), search, 2, h, keep, gaps=True)
+    # a list of the candidates of one series, of which the best remain
+    scored = F.when(F.col("status") == "ok", F.struct("aicc", "params"))
+    top = searched.groupBy("id", "start").agg(F.slice(F.array_sort(F.collect_list(scored)), 1, refine).alias("_top"), F.max("message").alias("why"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & F.col("_start").eqNullSafe(F.col("start"))
+    finals = arrays.join(top.withColumnsRenamed({"id": "_id", "start": "_start"}), same).select(*arrays.columns, "why", F.explode_outer("_top.params").alias("found"))
+    return _best(_score(spread(finals, "id"), fit, 2, h, keep, gaps=True))
+
+
+def _filled(y: np.ndarray) -> np.ndarray:
+    """Missing months by straight lines; a series begins and ends with a value."""
+    gap = np.isnan(y)
+    return np.where(gap, np.interp(np.arange(len(y)), np.nonzero(~gap)[0], y[~gap]), y) if gap.any() else y
+
+
+def _scale(y: np.ndarray) -> float:
+    return float(np.nanmax(np.abs(y))) or 1.0
+
+
+def _levels(y: np.ndarray, x, d: int, D: int, m: int, x_ahead=None, h: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled series over its mean (or drift) and regressors, and these over the horizon."""
+    mean = arima.mean_column(len(y) + h, d, D, m)
+    known = np.hstack([_matrix(x, len(y)), _matrix(x_ahead, h)[:, :h]]) if h and len(x) else _matrix(x, len(y)) if len(x) else np.zeros((0, len(y) + h))
+    rows = known if mean is None else np.vstack([mean[None, :], known])
+    return np.vstack([(y / _scale(y))[None, :], rows[:, : len(y)]]), rows[:, len(y) :]
 
 
 # trend and season
@@ -409,4 +456,5 @@ def forecast_rows(fits: DataFrame) -> DataFrame:
 def residual_rows(fits: DataFrame) -> DataFrame:
     """One-step errors of the training rows; they end the month before the forecast starts."""
     done = fits.where("status = 'ok'").select("id", "start", "model_id", F.size("resid").alias("_n"), F.posexplode("resid").alias("_k", "resid"))
-    return done.select("id", "model_id", F.add_months("start", F.col("_k") - F.col("_n")).alias("ds"), "resid")
+    # months without a value have no error
+    return done.where(F.col("resid").isNotNull() & ~F.isnan("resid")).select("id", "model_id", F.add_months("start", F.col("_k") - F.col("_n")).alias("ds"), "resid")

@@ -4,22 +4,24 @@ A distance is a feature array per series, computed row by row, and a kernel that
 blocks of features. Series fall into hash blocks of bounded size; one task compares one pair of
 blocks (a tile), so no task sees more than two blocks and no series array is copied per pair.
 ``distance_table`` lists the whole matrix, which is quadratic by definition and meant for up to
-some ten thousand series. Clustering and cluster statistics use ``tile_sums`` instead: tiles
-leave as one row per series and cluster.
+some ten thousand series. ``within`` and ``nearest`` leave only links, ``tile_sums`` one row per series
+and cluster.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions import distances as ds
+from seriesloom.functions.warping import Counter, Warping
 from seriesloom.operators.diagnostics import lag_products
 from seriesloom.session import stage
 
@@ -89,44 +91,147 @@ def _blocks(arrays: DataFrame, block: int) -> int:
     return max(1, math.ceil(arrays.count() / block))
 
 
+def paired_blocks(rows: DataFrame, compare: Callable, schema: str, block: int = BLOCK, within: str | None = None, own: bool | None = None) -> DataFrame:
+    """Bring each pair of hash blocks together: ``compare(left, right, same)`` gives the rows of a tile.
+
+    With ``within`` only rows that share that column meet. ``own`` keeps to the tiles of a block with itself (True) or
+    to the others (False).
+    """
+    n = _blocks(rows, block)
+    placed = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    more = [within] if within else []
+    if own:
+        return placed.groupBy("_b", *more).applyInPandas(lambda mine: compare(mine, mine, True), schema)
+    keys = ["_i", "_j", *more]
+    # F.sequence counts down where the end is below the start
+    if own is None:
+        ahead, back = F.sequence(F.col("_b"), F.lit(n - 1)), F.sequence(F.lit(0), F.col("_b"))
+    else:
+        ahead = F.when(F.col("_b") < n - 1, F.sequence(F.col("_b") + 1, F.lit(n - 1)))
+        back = F.when(F.col("_b") > 0, F.sequence(F.lit(0), F.col("_b") - 1))
+    left = placed.select("*", F.col("_b").alias("_i"), F.explode(ahead).alias("_j"))
+    # fresh names, since both sides come from the same frame
+    again = placed.select(*[F.col(c).alias(c) for c in placed.columns])
+    right = again.select("*", F.explode(back).alias("_i"), F.col("_b").alias("_j"))
+    empty = pd.DataFrame(columns=[c.strip().split(" ")[0] for c in schema.split(",")])
+
+    def run(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(left_rows) or not len(right_rows):
+            return empty
+        return compare(left_rows, right_rows, left_rows["_i"].iat[0] == left_rows["_j"].iat[0])
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def matrix_of(rows: pd.DataFrame) -> np.ndarray:
+    return np.vstack(rows["a"].to_numpy()).astype(float)
+
+
+def once(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
+    """The pairs of a tile that count: in a block with itself, those with the left id before the right one."""
+    if not same:
+        return np.ones((len(left), len(right)), bool)
+    return left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]
+
+
 def tiles(arrays: DataFrame, kernel: ds.Kernel, emit: Callable, schema: str, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """Compare all pairs of blocks. ``emit(left, right, matrix)`` turns a tile into rows.
 
     ``matrix`` has NaN where a pair must not count (a series with itself, or a pair that
     another tile or position covers). With ``within`` only pairs that share that column meet.
     """
-    n = _blocks(arrays, block)
-    placed = arrays.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    keys = ["_i", "_j"] + ([within] if within else [])
-    left = placed.select("*", F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.lit(n - 1))).alias("_j"))
-    # fresh names, since both sides come from the same frame
-    again = placed.select(*[F.col(c).alias(c) for c in placed.columns])
-    right = again.select("*", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
 
-    def compare(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(left_rows) or not len(right_rows):
-            return pd.DataFrame(columns=[c.strip().split(" ")[0] for c in schema.split(",")])
-        same = left_rows["_i"].iat[0] == left_rows["_j"].iat[0]
-        x, y = (np.vstack(f["a"].to_numpy()).astype(float) for f in (left_rows, right_rows))
-        matrix = kernel(x, y)
-        if same:
-            # each unordered pair once: left id before right id
-            matrix[~(left_rows["id"].to_numpy()[:, None] < right_rows["id"].to_numpy()[None, :])] = np.nan
-        return emit(left_rows, right_rows, matrix)
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        matrix = kernel(matrix_of(left), matrix_of(right))
+        matrix[~once(left, right, same)] = np.nan
+        return emit(left, right, matrix)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
+    return paired_blocks(arrays, compare, schema, block, within)
 
 
-def distance_table(arrays: DataFrame, kernel: ds.Kernel, block: int = BLOCK) -> DataFrame:
-    """The whole matrix as rows ``(id_a, id_b, dist)`` with ``id_a < id_b``."""
+def pairs_schema(arrays: DataFrame) -> str:
     kind = arrays.schema["id"].dataType.simpleString()
+    return f"id_a {kind}, id_b {kind}, dist double"
+
+
+def pair_rows(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray, dist: np.ndarray) -> pd.DataFrame:
+    a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+    return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a), "dist": dist})
+
+
+def links(arrays: DataFrame, kernel: ds.Kernel, keep: Callable[[np.ndarray], np.ndarray], block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b, dist) of the pairs whose distance passes ``keep``; the others never leave their tile."""
 
     def emit(left: pd.DataFrame, right: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(~np.isnan(matrix))
+        i, j = np.nonzero(~np.isnan(matrix) & keep(matrix))
+        return pair_rows(left, right, i, j, matrix[i, j])
+
+    return tiles(arrays, kernel, emit, pairs_schema(arrays), block)
+
+
+def within(arrays: DataFrame, metric: ds.Kernel | Warping, eps: float, block: int = BLOCK) -> DataFrame:
+    """The pairs at a distance of at most ``eps``: (id_a, id_b, dist) with ``id_a < id_b``."""
+    if not isinstance(metric, Warping):
+        return links(arrays, metric, lambda m: m <= eps, block)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        return pair_rows(left, right, *metric.within(matrix_of(left), matrix_of(right), once(left, right, same), eps))
+
+    return paired_blocks(arrays, compare, pairs_schema(arrays), block)
+
+
+def nearest(arrays: DataFrame, metric: ds.Kernel | Warping, k: int, block: int = BLOCK) -> DataFrame:
+    """The k nearest others of each series: (id, rank, other, dist); equal distances in the order of the ids.
+
+    A block with itself gives each series a first limit, which is written; the other tiles start from it. A tile leaves as
+    at most about ``2 k`` rows per series (more on equal distances).
+    """
+    kept = stage(arrays.select("id", "a"))
+    kind = kept.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, other {kind}, dist double"
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        allowed, x, y = once(left, right, same), matrix_of(left), matrix_of(right)
+        limits = [f["limit"].to_numpy(float) if "limit" in f else np.full(len(f), np.inf) for f in (left, right)]
+        if same:
+            # one set of rows on both sides: each pair in both directions
+            allowed = allowed | allowed.T
+        if isinstance(metric, Warping):
+            i, j, d = metric.nearest(x, y, allowed, k, *limits)
+        else:
+            matrix = np.where(allowed, metric(x, y), np.inf)
+            near = lambda axis: np.sort(matrix, axis=axis).take(min(k, matrix.shape[axis]) - 1, axis=axis)
+            i, j = np.nonzero(allowed & ((matrix <= np.minimum(limits[0], near(1))[:, None]) | (matrix <= np.minimum(limits[1], near(0))[None, :])))
+            d = matrix[i, j]
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a), "dist": matrix[i, j]})
+        if same:
+            return pd.DataFrame({"id": a, "other": b, "dist": d})
+        return pd.DataFrame({"id": np.concatenate([a, b]), "other": np.concatenate([b, a]), "dist": np.concatenate([d, d])})
+
+    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))
+    ranked = lambda rows: rows.withColumn("rank", place).where(F.col("rank") <= k)
+    first = stage(ranked(paired_blocks(kept, compare, schema, block, own=True)))
+    limits = first.groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("limit"))
+    limited = stage(kept.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(math.inf))))
+    rest = paired_blocks(limited, compare, schema, block, own=False)
+    return ranked(first.select("id", "other", "dist").unionByName(rest)).select("id", "rank", "other", "dist")
+
+
+def search_counts(arrays: DataFrame, metric: Warping, eps: float, block: int = BLOCK) -> DataFrame:
+    """One row: pairs of a search for distances of at most ``eps``, those the bound leaves, and those compared to the end."""
 
-    return tiles(arrays, kernel, emit, f"id_a {kind}, id_b {kind}, dist double", block)
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        own = replace(metric, counter=Counter())
+        own.within(matrix_of(left), matrix_of(right), once(left, right, same), eps)
+        return pd.DataFrame([vars(own.counter)])
+
+    counts = paired_blocks(arrays, compare, "pairs bigint, bounded bigint, finished bigint", block)
+    return counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
+
+
+def distance_table(arrays: DataFrame, kernel: ds.Kernel, block: int = BLOCK) -> DataFrame:
+    """The whole matrix as rows ``(id_a, id_b, dist)`` with ``id_a < id_b``."""
+    return links(arrays, kernel, lambda m: np.ones(m.shape, bool), block)
 
 
 def tile_sums(labelled: DataFrame, kernel: ds.Kernel, block: int = BLOCK, within: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from seriesloom.functions import distances as ds
+from seriesloom.functions.warping import Warping
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import clustering as cl
 from seriesloom.operators import similarity as si
@@ -62,22 +63,22 @@ def dist_periodogram(spark, sf):
     return table(spark, sf, "intper")
 
 
+AR2 = {
+    "lagged": "SELECT id, z, lag(z, 1) OVER w AS x1, lag(z, 2) OVER w AS x2 FROM z WINDOW w AS (PARTITION BY id ORDER BY t)",
+    "mom": """SELECT id, count(*) AS n, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * z) AS t1, sum(x2 * z) AS t2, sum(z * z) AS yy
+           FROM lagged WHERE x2 IS NOT NULL GROUP BY id""",
+    "fit": "SELECT *, (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) AS b1, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) AS b2 FROM mom",
+    "est": """SELECT id, b1, b2, (yy - b1 * t1 - b2 * t2) / (n - 2) * s22 / (s11 * s22 - s12 * s12) AS v11,
+           (yy - b1 * t1 - b2 * t2) / (n - 2) * s11 / (s11 * s22 - s12 * s12) AS v22,
+           -(yy - b1 * t1 - b2 * t2) / (n - 2) * s12 / (s11 * s22 - s12 * s12) AS v12 FROM fit""",
+}
+AR2_P = """exp(-((a.v22 + c.v22) * power(a.b1 - c.b1, 2) - 2 * (a.v12 + c.v12) * (a.b1 - c.b1) * (a.b2 - c.b2) + (a.v11 + c.v11) * power(a.b2 - c.b2, 2))
+    / ((a.v11 + c.v11) * (a.v22 + c.v22) - power(a.v12 + c.v12, 2)) / 2)"""
+
+
 @query(
     "dist_ar_pvalue",
-    sql(
-        """SELECT id_a, id_b, round(exp(-(vb * d1 * d1 - 2 * vc * d1 * d2 + va * d2 * d2) / (va * vb - vc * vc) / 2), 6) + 0.0 AS dist FROM (
-           SELECT a.id AS id_a, c.id AS id_b, a.b1 - c.b1 AS d1, a.b2 - c.b2 AS d2, a.v11 + c.v11 AS va, a.v22 + c.v22 AS vb, a.v12 + c.v12 AS vc
-           FROM est a JOIN est c ON a.id < c.id)""",
-        "fullm",
-        z=Z,
-        lagged="SELECT id, z, lag(z, 1) OVER w AS x1, lag(z, 2) OVER w AS x2 FROM z WINDOW w AS (PARTITION BY id ORDER BY t)",
-        mom="""SELECT id, count(*) AS n, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * z) AS t1, sum(x2 * z) AS t2, sum(z * z) AS yy
-               FROM lagged WHERE x2 IS NOT NULL GROUP BY id""",
-        fit="SELECT *, (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) AS b1, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) AS b2 FROM mom",
-        est="""SELECT id, b1, b2, (yy - b1 * t1 - b2 * t2) / (n - 2) * s22 / (s11 * s22 - s12 * s12) AS v11,
-               (yy - b1 * t1 - b2 * t2) / (n - 2) * s11 / (s11 * s22 - s12 * s12) AS v22,
-               -(yy - b1 * t1 - b2 * t2) / (n - 2) * s12 / (s11 * s22 - s12 * s12) AS v12 FROM fit""",
-    ),
+    sql(f"SELECT a.id AS id_a, c.id AS id_b, round({AR2_P}, 6) + 0.0 AS dist FROM est a JOIN est c ON a.id < c.id", "fullm", z=Z, **AR2),
 )
 def dist_ar_pvalue(spark, sf):
     return table(spark, sf, "ar", order=2)
@@ -94,12 +95,48 @@ def dist_spectral(spark, sf):
     return table(spark, sf, "spectral", points=500)
 
 
-@query("dist_dtw")
+# the recursion row by row: a row of the cost table is a list, built from left to right
+DTW = {
+    "z": Z,
+    "arr": "SELECT id, list(z ORDER BY t) AS a FROM z GROUP BY id",
+    "rows_": """SELECT a.id AS id_a, c.id AS id_b, a.a AS x, c.a AS y, 0 AS i, CAST(NULL AS DOUBLE[]) AS row_ FROM arr a JOIN arr c ON a.id < c.id
+        UNION ALL SELECT id_a, id_b, x, y, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [abs(x[i + 1] - y[j]),
+            CASE WHEN i = 0 THEN (CASE WHEN j = 1 THEN 0 ELSE CAST('inf' AS DOUBLE) END) WHEN j = 1 THEN row_[1] + abs(x[i + 1] - y[1])
+                ELSE least(row_[j] + abs(x[i + 1] - y[j]), row_[j - 1] + 2 * abs(x[i + 1] - y[j])) END]),
+            lambda acc, c: list_append(acc, CASE WHEN len(acc) = 0 THEN (CASE WHEN i = 0 THEN c[1] ELSE c[2] END) ELSE least(acc[len(acc)] + c[1], c[2]) END), CAST([] AS DOUBLE[]))
+        FROM rows_ WHERE i < len(x)""",
+    "dtw": "SELECT id_a, id_b, row_[len(row_)] AS d FROM rows_ WHERE i = len(x)",
+}
+
+
+@query("dist_dtw", sql("SELECT id_a, id_b, round(d, 6) AS dist FROM dtw", "fullm", recursive=True, **DTW))
 def dist_dtw(spark, sf):
     arrays, kernel = si.dtw_arrays(b.full_months(spark, sf))
     return r6(si.distance_table(arrays, kernel), "dist")
 
 
+@query(
+    "dtw_nearest",
+    sql(
+        """SELECT id, rank, other, round(d, 6) AS dist FROM (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY d, other) AS INTEGER) AS rank, other, d FROM (
+           SELECT id_a AS id, id_b AS other, d FROM dtw UNION ALL SELECT id_b, id_a, d FROM dtw)) WHERE rank <= 3""",
+        "fullm",
+        recursive=True,
+        **DTW,
+    ),
+)
+def dtw_nearest(spark, sf):
+    """The three nearest nations of each, without the table of all pairs."""
+    arrays, _ = si.dtw_arrays(b.full_months(spark, sf))
+    return r6(si.nearest(arrays, Warping(), 3), "dist")
+
+
+@query("dtw_within", sql("SELECT id_a, id_b, round(d, 6) AS dist FROM dtw WHERE d <= 80", "fullm", recursive=True, **DTW))
+def dtw_within(spark, sf):
+    arrays, _ = si.dtw_arrays(b.full_months(spark, sf))
+    return r6(si.within(arrays, Warping(), 80.0), "dist")
+
+
 @query("dist_dtw_window")
 def dist_dtw_window(spark, sf):
     arrays, kernel = si.dtw_arrays(b.full_months(spark, sf), window=10)
@@ -128,7 +165,7 @@ def cluster_kmedoids(spark, sf):
 @query("cluster_kmedoids_dtw")
 def cluster_kmedoids_dtw(spark, sf):
     arrays, kernel = si.dtw_arrays(b.full_months(spark, sf))
-    return r6(cl.kmedoids(arrays, 3, kernel, seed=235), "dist")
+    return r6(cl.kmedoids(arrays, 3, kernel, seed=235, metric=False), "dist")
 
 
 @query("cluster_kmedoids_vectors")
@@ -201,8 +238,23 @@ def cluster_hierarchy_acf(spark, sf):
 
 @query("cluster_pvalue")
 def cluster_pvalue(spark, sf):
-    arrays, kernel = si.feature_arrays(b.full_months(spark, sf), "ar")
-    return cl.cluster_pvalue(si.distance_table(arrays, kernel), arrays.select("id"), 0.6)
+    return cl.cluster_pvalue(*si.feature_arrays(b.full_months(spark, sf), "ar"), 0.6)
+
+
+@query(
+    "cluster_pvalue_order2",
+    sql(
+        "SELECT id, min(other) AS label FROM reach GROUP BY id",
+        "fullm",
+        recursive=True,
+        z=Z,
+        **AR2,
+        e=f"SELECT a.id AS id_a, c.id AS id_b FROM est a JOIN est c ON a.id <> c.id WHERE {AR2_P} > 0.6",
+        reach="SELECT DISTINCT id, id AS other FROM fullm UNION SELECT r.id, e.id_b FROM reach r JOIN e ON e.id_a = r.other",
+    ),
+)
+def cluster_pvalue_order2(spark, sf):
+    return cl.cluster_pvalue(*si.feature_arrays(b.full_months(spark, sf), "ar", order=2), 0.6)
 
 
 CUT = 11.5

@@ -142,9 +142,9 @@ def agg_median(spark, sf):
     return u.median_by(e, ["event_type", "day"], "value").withColumn("median", F.round("median", 4))
 
 
-@query("agg_median_all", "SELECT round(quantile_cont(value, 0.5), 4) AS median FROM events WHERE event_type = 'click'")
+@query("agg_median_all", "SELECT round(quantile_cont(value, 0.5), 4) AS median FROM events")
 def agg_median_all(spark, sf):
-    return u.median_by(b.table(spark, sf, "events").where("event_type = 'click'"), [], "value").withColumn("median", F.round("median", 4))
+    return u.median_by(b.table(spark, sf, "events"), [], "value").withColumn("median", F.round("median", 4))
 
 
 @query(
@@ -174,17 +174,20 @@ def distinct_ids(spark, sf):
     return u.distinct_ids(p).withColumn("n_ids", p.agg(F.count_distinct("id")).scalar())
 
 
+PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query(
     "profile",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_missing,
             round(avg(CAST({c} AS DECIMAL(18,2))), 4) AS mean, round(stddev_samp({c}), 4) AS sd,
             {', '.join(f'round(CAST(quantile_cont({c}, {q}) AS DOUBLE), 4) AS p{int(q * 100)}' for q in (0, 0.25, 0.5, 0.75, 1.0))} FROM lineitem"""
-        for c in ("l_quantity", "l_extendedprice", "l_discount")
+        for c in PROFILED
     ),
 )
 def profile(spark, sf):
-    out = u.profile(b.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    out = u.profile(b.table(spark, sf, "lineitem"))
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "sd", "p0", "p25", "p50", "p75", "p100")})
 
 
@@ -326,13 +329,15 @@ def interpolate_linear(spark, sf):
         """SELECT id, ds, y AS rate FROM fullm UNION ALL
            SELECT id, CAST(m AS DATE), CAST(NULL AS DOUBLE) FROM (SELECT id, unnest(generate_series(last + INTERVAL 1 MONTH, DATE '2002-11-01', INTERVAL 1 MONTH)) AS m
              FROM (SELECT id, max(ds) AS last FROM fullm GROUP BY id)) UNION ALL
-           SELECT id, DATE '2002-12-01', quantile_cont(y, 0.5) FROM fullm GROUP BY id""",
+           SELECT id, DATE '2002-12-01', round(quantile_cont(y, 0.5), 4) FROM fullm GROUP BY id""",
         "fullm",
     ),
 )
 def extend_with_anchor(spark, sf):
     p = b.full_months(spark, sf).withColumnRenamed("y", "rate")
-    return o.extend_with_anchor(p, u.median_by(p, ["id"], "rate"), "2002-12-01")
+    # a median of cents has three decimals at most
+    median = u.median_by(p, ["id"], "rate").withColumn("median", F.round("median", 4))
+    return o.extend_with_anchor(p, median, "2002-12-01")
 
 
 # sets and shapes

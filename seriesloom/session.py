@@ -79,4 +79,13 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table of ``stage`` that nothing reads any more, such as a loop's former state."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

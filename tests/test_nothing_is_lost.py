@@ -57,8 +57,10 @@ def test_gaps_repeats_and_odd_numbers_are_errors(spark):
     arrays = sm.series_arrays(spark.createDataFrame(rows, "id int, ds date, y double"))
     for models in (("trend_season",), ("arima",), ("ets",)):
         got = {r.id: (r.status, r.message) for r in sm.nested_fit(arrays, models, 3).collect()}
-        assert {i: s for i, (s, _) in got.items()} == {1: "error", 2: "error", 3: "error", 4: "ok"}
-        assert "1 months have no value" in got[1][1] and "months repeat" in got[2][1]
+        # ARIMA's likelihood takes months without a value
+        gap = "ok" if models == ("arima",) else "error"
+        assert {i: s for i, (s, _) in got.items()} == {1: gap, 2: "error", 3: gap, 4: "ok"}
+        assert (gap == "ok" or "1 months have no value" in got[1][1]) and "months repeat" in got[2][1]
 
 
 def test_sums_keep_small_values_and_show_odd_ones(spark):
