@@ -10,6 +10,7 @@ values. Only those are ordered. Every row counts; nothing is sampled, and far ou
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from seriesloom.session import stage
 
 #: distinct values that one task may order
-SMALL = 20_000
+SMALL = 200_000
 #: bits below a cell, after each division
-SHIFTS = (52, 40, 28, 16, 4, 0)
+SHIFTS = (46, 34, 22, 10, 0)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL) -> DataFrame:
@@ -44,60 +45,59 @@ def quantiles_of_counts(counts: DataFrame, by: Sequence[str], probs: dict[str, f
     counts = counts.where(F.col("_v").isNotNull()).withColumn("_g", F.struct(*by))
     sizes = counts.groupBy("_g").agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"))
     if not (sizes.agg(F.max("_d")).first()[0] or 0) > small:
-        whole = counts.withColumn("n", F.sum("_c").over(Window.partitionBy("_g")))
-        return _read(_hits(whole.select("_g", "n", "_v", "_c", F.lit(0).alias("_before"), _ranks(probs).alias("_ranks")), ["_g"]), by, probs)
-    sizes = stage(sizes)
+        whole = counts.withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))
+        return _read(_hits(whole.select(*by, "n", "_v", "_c", F.lit(0).alias("_start")), by, probs), by, probs)
+    open_cells = stage(sizes.select("_g", "n", F.lit(0).cast("long").alias("_start"), "_d", F.lit(None).cast("long").alias("_cell")))
     keyed = _with_key(counts)
-    open_cells = sizes.select("_g", "n", F.lit(0).cast("long").alias("_before"), _ranks(probs).alias("_ranks"), "_d", F.lit(None).cast("long").alias("_cell"), F.lit(0).alias("_shift"))
-    done = [open_cells.where(F.col("_d") <= small)]
+    done = [(None, open_cells.where(F.col("_d") <= small))]
     open_cells, above = open_cells.where(F.col("_d") > small), None
     for shift in SHIFTS:
         inside = _rows_of(keyed, open_cells, above)
-        cells = inside.groupBy("_g", "n", "_start", "_ranks", F.shiftright("_key", shift).alias("_cell")).agg(F.sum("_c").alias("_cc"), F.count(F.lit(1)).alias("_d"))
+        cells = inside.groupBy("_g", "n", "_start", F.shiftright("_key", shift).alias("_cell")).agg(F.sum("_c").alias("_cc"), F.count(F.lit(1)).alias("_d"))
         running = Window.partitionBy("_g", "_start").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        cells = cells.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_cc").over(running), F.lit(0)))
-        cells = cells.withColumn("_ranks", _ranks_in("_before", "_cc")).where(F.size("_ranks") > 0)
-        cells = stage(cells.select("_g", "n", "_before", "_ranks", "_d", "_cell", F.lit(shift).alias("_shift")))
+        cells = cells.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_cc").over(running), F.lit(0)))
+        cells = stage(cells.where(_has_rank(probs, "_start", "_cc")).select("_g", "n", "_start", "_d", "_cell"))
         last = shift == SHIFTS[-1]
-        done.append(cells if last else cells.where(F.col("_d") <= small))
+        done.append((shift, cells if last else cells.where(F.col("_d") <= small)))
         open_cells, above = cells.where(F.col("_d") > small), shift
         if last or open_cells.isEmpty():
             break
-    parts = [_rows_of(keyed, cells, None if k == 0 else SHIFTS[k - 1]) for k, cells in enumerate(done)]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.select("_g", "n", "_v", "_c", F.col("_start").alias("_before"), "_ranks")
-    return _read(_hits(rows, ["_g", "_before"]), by, probs)
+    rows = None
+    for shift, cells in done:
+        part = _rows_of(keyed, cells, shift).select(*by, "n", "_v", "_c", "_start")
+        rows = part if rows is None else rows.unionByName(part)
+    return _read(_hits(rows, [*by, "_start"], probs), by, probs)
 
 
 def _rows_of(keyed: DataFrame, cells: DataFrame, shift: int | None) -> DataFrame:
-    """The values inside the cells, with the cell's ranks and the number of rows before it."""
-    cells = cells.select("_g", "n", F.col("_before").alias("_start"), "_ranks", F.col("_cell").alias("_in"))
+    """The values inside the cells, with the number of rows before the cell."""
+    cells = cells.select("_g", "n", "_start", F.col("_cell").alias("_in"))
     if shift is None:
         return keyed.join(cells.drop("_in"), "_g")
     return keyed.withColumn("_in", F.shiftright("_key", shift)).join(cells, ["_g", "_in"]).drop("_in")
 
 
-def _ranks(probs: dict[str, float]) -> Column:
-    ranks = [r for p in probs.values() for r in (F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p)))]
-    return F.array_distinct(F.array(*ranks))
+def _ranks(probs: dict[str, float]) -> list[Column]:
+    """The ranks on both sides of each wanted place, from 0."""
+    return [r for p in probs.values() for r in (F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p)))]
 
 
-def _ranks_in(start: str, count: str) -> Column:
-    return F.filter("_ranks", lambda r: (r >= F.col(start)) & (r < F.col(start) + F.col(count)))
+def _has_rank(probs: dict[str, float], start: str, count: str) -> Column:
+    inside = [(r >= F.col(start)) & (r < F.col(start) + F.col(count)) for r in _ranks(probs)]
+    return reduce(lambda a, b: a | b, inside)
 
 
-def _hits(rows: DataFrame, cell: list[str]) -> DataFrame:
+def _hits(rows: DataFrame, cell: list[str], probs: dict[str, float]) -> DataFrame:
     """The values at the wanted ranks of each cell."""
     order = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
-    return placed.withColumn("_hit", F.explode(_ranks_in("_start", "_c")))
+    placed = rows.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    inside = F.filter(F.array_distinct(F.array(*_ranks(probs))), lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_c")))
+    return placed.where(_has_rank(probs, "_at", "_c")).withColumn("_hit", F.explode(inside))
 
 
 def _read(hits: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    found = hits.groupBy("_g").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_hit", "_v"))).alias("_at"))
-    return found.select(*[F.col("_g")[c].alias(c) for c in by], "n", *[_interpolate(p).alias(name) for name, p in probs.items()])
+    found = hits.groupBy(*by).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_hit", "_v"))).alias("_at"))
+    return found.select(*by, "n", *[_interpolate(p).alias(name) for name, p in probs.items()])
 
 
 def _with_key(counts: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def test_no_task_orders_more_than_the_bound(spark, monkeypatch):
 
     ordered = []
     hits = q._hits
-    monkeypatch.setattr(q, "_hits", lambda rows, cell: ordered.append(rows.groupBy(*cell).count().agg(F.max("count")).first()[0]) or hits(rows, cell))
+    monkeypatch.setattr(q, "_hits", lambda rows, cell, probs: ordered.append(rows.groupBy(*cell).count().agg(F.max("count")).first()[0]) or hits(rows, cell, probs))
     df = spark.range(1_000_001).select(F.when(F.col("id") == 7, 1e12).otherwise(1_000_000 + F.col("id") / 1e4).alias("v"))
     row = exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.9}).first()
     assert row.m == pytest.approx(1_000_050.0, abs=1e-3) and row.q == pytest.approx(1_000_090.0, abs=1e-3)
