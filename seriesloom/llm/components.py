@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.tables import stage
+from seriesloom.session import unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         after = stage(small.unionAll(root.select("a", F.col("m").alias("b"))).distinct())
         # a sum over the edges that only stays when no edge has changed
+        for done in (least, large, root, now):
+            unstage(done)
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == total:
             break

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.components import components
 from seriesloom.llm.tables import batches_of, slim, sorted_runs, stage
+from seriesloom.session import unstage
 
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
@@ -179,7 +180,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def _tile_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _tile_links(members: DataFrame, looks: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links between different components that share a bucket: enough of them to join all that are linked.
 
     ``members``: key, id, component, n, bands, short. The largest component of a bucket is not compared with itself.
@@ -198,14 +199,17 @@ def _tile_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     # the blocks that a block meets: those of the main component only the others, the others all
     facing = F.when(F.col("in_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     dealt = own.withColumn("face", F.explode(facing)).withColumn("t1", F.least("block", "face")).withColumn("t2", F.greatest("block", "face"))
-    dealt = dealt.select("key", "t1", "t2", "block", "id", "component", "n", "bands", "short")
+    dealt = dealt.select("key", "t1", "t2", "block", "id", "component")
+    names, small = dealt.columns, stage(_small_looks(looks))
+    seen = dealt.join(small, "id").select(*dealt.columns, "n", "bands", "short")
     least = share / 100 - 4.5 * (share / 100 * (1 - share / 100) / SLOTS) ** 0.5
 
     def pairs_of(table: pa.Table) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each tile the rows with the partners whose signatures allow a link, and the share of equal slots."""
         key, t1, t2, block, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "t1", "t2", "block", "id", "component", "n"))
-        bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
-        short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
+        short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        low = (key.astype(np.uint64) & _U(0xFFFFFFFF)).astype(np.uint32)
         edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]), True])
         for a, b in zip(edges[:-1], edges[1:]):
             own = block[a:b] == t1[a]
@@ -219,7 +223,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 if len(j):
                     # a pair belongs to the first bucket that it shares
                     first = (bands[j] == bands[i]).argmax(axis=1)
-                    j = j[bands[j, first] == key[a]]
+                    j = j[bands[j, first] == low[a]]
                 if len(j):
                     same = (short[j] == short[i]).mean(axis=1)
                     j, same = j[same >= least], same[same >= least]
@@ -231,7 +235,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         for table in sorted_runs(batches, ["key", "t1", "t2"]):
             rows = [x for found in pairs_of(table) for i, j, _ in found for x in (np.array([i]), j)]
             if rows:
-                yield from table.take(np.unique(np.concatenate(rows))).combine_chunks().to_batches()
+                yield from table.select(names).take(np.unique(np.concatenate(rows))).combine_chunks().to_batches()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key", "t1", "t2"]):
@@ -259,8 +263,22 @@ def _tile_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     tiled = lambda df: df.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-    flagged = stage(tiled(dealt).mapInArrow(near, dealt.schema))
-    return tiled(flagged.join(sets.select("id", "items"), "id").select(*dealt.columns, "items")).mapInArrow(link, "a long, b long")
+    flagged = stage(tiled(seen).mapInArrow(near, dealt.schema))
+    found = stage(tiled(flagged.join(small, "id").join(sets.select("id", "items"), "id").select(*seen.columns, "items")).mapInArrow(link, "a long, b long"))
+    for done in (blocks, small, flagged):
+        unstage(done)
+    return found
+
+
+def _small_looks(looks: DataFrame) -> DataFrame:
+    """The lower half of each band's key and of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = lambda name, kind: pa.array([np.frombuffer(x, kind)[::2].tobytes() for x in batch.column(name).to_pylist()], pa.binary())  # noqa: B023, E731
+            yield pa.record_batch({"id": batch.column("id"), "n": batch.column("n"), "bands": half("bands", "<u4"), "short": half("short", "<u1")})
+
+    return looks.select("id", "n", "bands", "short").mapInArrow(run, "id long, n long, bands binary, short binary")
 
 
 def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 4) -> DataFrame:
@@ -300,6 +318,7 @@ def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "
         # smallest id, in later rounds its smallest by another hash
         now = met.join(labels, "id")
         order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
+        former = labels if k else None
         partner = stage(now.groupBy("key").agg(F.min_by(F.struct("component", "id"), order).alias("p")))
         pairs = now.join(partner, "key").where(F.col("component") != F.col("p.component")).groupBy("id", F.col("p.id").alias("partner")).agg(F.count(F.lit(1)).alias("n"))
         pairs = pairs.select("id", "partner", "n", F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b"))
@@ -309,16 +328,23 @@ def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "
         if best.isEmpty():
             break
         seen = stage(confirmed(best, sets, share))
+        unstage(partner)
+        unstage(best)
         tried = seen if tried is None else tried.unionAll(seen)
         labels = _label(candidates, tried.where("ok").select("a", "b"))
+        if former is not None:
+            unstage(former)
     links = alike_ids
     if tried is not None:
         looks = reps.groupBy("id").agg(F.min(F.struct("n", "bands", "short")).alias("r")).select("id", "r.*")
         members = met.join(labels, "id")
         mixed = stage(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-        more = stage(_tile_links(members.join(mixed, "key").join(looks, "id"), sets, share))
+        more = _tile_links(members.join(mixed, "key"), looks, sets, share)
+        unstage(mixed)
         links = links.unionAll(tried.where("ok").select("a", "b")).unionAll(more)
     labels = stage(components(links))
+    for done in (buckets, met, sets, reps):
+        unstage(done)
     named = signed.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     found = F.coalesce("component", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), found.eqNullSafe(F.col("doc_id")).alias("kept"))
