@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.tuning import unit_draw
+from seriesloom.session import stage
 
 
 def feature_importance(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -22,21 +23,36 @@ def feature_importance(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(table, "feature string, importance double")
 
 
+def _ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their place ``_r`` in a total order over the whole table: sorted by range, counted, and shifted by what lies before.
+
+    The number of partitions is the only thing on the driver; ties are only between rows that are equal in ``order``.
+    """
+    parted = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    # ids grow within a partition, so its least one is where its rows begin
+    sizes = {r["_p"]: (r["n"], r["low"]) for r in parted.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("low")).collect()}
+    before, starts = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        n, low = sizes.get(p, (0, 0))
+        starts.append(F.lit(before - low))
+        before += n
+    return parted.withColumn("_r", F.col("_m") + F.element_at(F.array(*starts), F.col("_p") + 1) if starts else F.lit(0)).drop("_p", "_m")
+
+
 def permutation_importance(
-    model: PipelineModel, rows: DataFrame, features: Sequence[str], value: str = "y", keys: Sequence[str] = ("id", "ds"), seed: int = 0, bucket_rows: int = 20_000
+    model: PipelineModel, rows: DataFrame, features: Sequence[str], value: str = "y", keys: Sequence[str] = ("id", "ds"), seed: int = 0
 ) -> DataFrame:
     """Loss ratio when one feature's values are moved between rows.
 
-    Rows fall into hash buckets of bounded size and take the values of the next row in hash
-    order, which permutes each bucket. All features are scored in one pass.
+    Each row takes the values of the next row in a hash order of the whole table, the last one those of the first: one
+    permutation, whatever the layout of the table. All features are scored in one pass.
     """
     features = list(features)
-    buckets = max(1, rows.count() // bucket_rows)
-    mixed = rows.withColumn("_b", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets)))
-    order = Window.partitionBy("_b").orderBy(F.xxhash64(*keys, F.lit(seed + 1)), *keys)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.struct(*features)
-    mixed = mixed.withColumn("_o", F.coalesce(F.lead(other).over(order), F.first(other).over(whole)))
+    order = [F.xxhash64(*keys, F.lit(seed)), *map(F.col, keys)]
+    ranked = stage(_ranked(rows, order))
+    n = ranked.count()
+    other = ranked.select(F.pmod(F.col("_r") - 1, F.lit(max(n, 1))).alias("_r"), F.struct(*features).alias("_o"))
+    mixed = ranked.join(other, "_r")
     variants = F.array(F.lit("(baseline)"), *[F.lit(f) for f in features])
     fanned = mixed.withColumn("feature", F.explode(variants))
     swapped = fanned.withColumns({f: F.when(F.col("feature") == f, F.col(f"_o.{f}")).otherwise(F.col(f)) for f in features})
@@ -67,7 +83,7 @@ def local_surrogate(
     """Local linear explanation per observation: the k strongest features and their effects.
 
     Every observation gets n Gaussian perturbations as rows, drawn from a hash so that a rerun
-    of a lost task repeats them. The weighted fit sees the n rows of one observation.
+    of a lost task repeats them. Spark sums the weighted normal equations of each observation, and a batch of them is solved at once.
     """
     features = list(features)
     sds = train.agg(*[F.stddev_samp(f).alias(f) for f in features]).first()
@@ -85,17 +101,28 @@ def local_surrogate(
     moved = drawn.withColumn("_z", offsets).withColumns(
         {f: (F.col(f) + F.col("_z")[i] * sd[f]).cast("double" if kinds[f] in ("int", "bigint") else kinds[f]) for i, f in enumerate(features)}
     )
-    scored = model.transform(moved).select(*keys, F.col("_z").alias("z"), "prediction")
+    scored = model.transform(moved).select(*keys, F.concat(F.array(F.lit(1.0)), "_z").alias("_x"), "prediction")
     width = 0.75 * np.sqrt(len(features))
-
-    def weighted_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.vstack(pdf["z"].to_numpy())
-        w = np.sqrt(np.exp(-(z * z).sum(axis=1) / (2 * width**2)))
-        x = np.column_stack([np.ones(len(z)), z])
-        beta = np.linalg.lstsq(x * w[:, None], pdf["prediction"].to_numpy() * w, rcond=None)[0]
-        top = np.argsort(-np.abs(beta[1:]), kind="stable")[:k]
-        head = {c: pdf[c].iloc[0] for c in keys}
-        return pd.DataFrame([{**head, "feature": features[j], "effect": float(beta[1 + j]), "intercept": float(beta[0])} for j in top])
+    squares = F.aggregate("_x", F.lit(-1.0), lambda s, x: s + x * x)
+    scored = scored.withColumn("_w", F.exp(-squares / (2 * width**2)))
+    # the weighted normal equations of each observation, summed in the map stage
+    p = len(features) + 1
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(F.col("_w") * F.col("_x")[i] * F.col("_x")[j]) for i, j in cells] + [F.sum(F.col("_w") * F.col("_x")[i] * F.col("prediction")) for i in range(p)]
+    equations = scored.groupBy(*keys).agg(F.array(*sums).alias("_e"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            e = np.vstack(batch["_e"].to_numpy()).astype(float)
+            left = np.zeros((len(e), p, p))
+            for c, (i, j) in enumerate(cells):
+                left[:, i, j] = left[:, j, i] = e[:, c]
+            beta = np.einsum("nij,nj->ni", np.linalg.pinv(left, hermitian=True), e[:, len(cells) :])
+            top = np.argsort(-np.abs(beta[:, 1:]), axis=1, kind="stable")[:, :k]
+            head = batch[list(keys)].loc[np.repeat(batch.index.to_numpy(), top.shape[1])].reset_index(drop=True)
+            yield head.assign(feature=[features[t] for t in top.ravel()], effect=np.take_along_axis(beta[:, 1:], top, axis=1).ravel(), intercept=np.repeat(beta[:, 0], top.shape[1]))
 
     key_types = ", ".join(f"{c} {kinds[c]}" for c in keys)
-    return scored.groupBy(*keys).applyInPandas(weighted_fit, f"{key_types}, feature string, effect double, intercept double")
+    return equations.mapInPandas(solve, f"{key_types}, feature string, effect double, intercept double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
@@ -163,12 +163,13 @@ def drop_correlated(df: DataFrame, columns: Sequence[str] | None = None, thresho
 class FeaturePipeline:
     """Preprocessing fitted on training rows and applied to any split.
 
-    Roles: ``predictors`` (numeric), ``nominal`` (encoded), ``outcome`` and ``indicator`` columns,
-    which pass through untouched.
+    Roles: ``predictors`` (numeric), ``nominal``, ``outcome`` and ``indicator`` columns, which pass through untouched. A nominal
+    column is hashed into ``width`` places, so the vector does not grow with the number of series, no list of levels is
+    kept, and a level that training has not seen is encoded like any other.
     """
 
-    def __init__(self, predictors: Sequence[str], nominal: Sequence[str] = (), outcome: str = "y", indicator: Sequence[str] = ()):
-        self.predictors, self.nominal = list(predictors), list(nominal)
+    def __init__(self, predictors: Sequence[str], nominal: Sequence[str] = (), outcome: str = "y", indicator: Sequence[str] = (), width: int = 64):
+        self.predictors, self.nominal, self.width = list(predictors), list(nominal), width
         self.outcome, self.indicator = outcome, list(indicator)
 
     def stages(self) -> list:
@@ -177,17 +178,8 @@ class FeaturePipeline:
             # numeric ids need a text form before they can be indexed
             texts = ", ".join(f"CAST({c} AS STRING) AS {c}__s" for c in self.nominal)
             stages.append(SQLTransformer(statement=f"SELECT *, {texts} FROM __THIS__"))
-            stages.append(
-                StringIndexer(
-                    inputCols=[f"{c}__s" for c in self.nominal],
-                    outputCols=[f"{c}__i" for c in self.nominal],
-                    handleInvalid="keep",
-                    stringOrderType="alphabetAsc",
-                )
-            )
-            stages.append(
-                OneHotEncoder(inputCols=[f"{c}__i" for c in self.nominal], outputCols=[f"{c}__v" for c in self.nominal], handleInvalid="keep")
-            )
+            for c in self.nominal:
+                stages.append(FeatureHasher(inputCols=[f"{c}__s"], outputCol=f"{c}__v", numFeatures=self.width))
         stages.append(
             VectorAssembler(
                 inputCols=[*self.predictors, *[f"{c}__v" for c in self.nominal]], outputCol="features", handleInvalid="error"

@@ -29,15 +29,34 @@ def fit_global(
     predictors: Sequence[str],
     nominal: Sequence[str] = (),
     value: str = "y",
+    stop: float | None = None,
     **params,
 ) -> PipelineModel:
-    """Preprocessing and trees, fitted on training rows only; rows with an empty predictor are left out by ``complete``."""
+    """Preprocessing and trees, fitted on training rows only; rows with an empty predictor are left out by ``complete``.
+
+    With ``stop``, boosting ends early: a tenth of the rows, chosen by a hash of all their values, is held back, and no round
+    is added once its error falls by less than this share. ``rounds_used`` tells how many rounds remain.
+    """
     train = complete(train, [*predictors, value])
     prepared = FeaturePipeline(predictors, nominal, value).fit(train)
-    model = estimator(kind, value, **params).fit(prepared.transform(train))
+    rows = prepared.transform(train)
+    if stop is not None and kind == "gbt":
+        rows = rows.withColumn("_held", held_back(train.columns))
+        params = {**params, "validationIndicatorCol": "_held", "validationTol": stop}
+    model = estimator(kind, value, **params).fit(rows)
     return PipelineModel(stages=[*prepared.stages, model])
 
 
+def held_back(columns: Sequence[str]) -> Column:
+    """A tenth of the rows, chosen by a hash of their values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(10)) == 0
+
+
+def rounds_used(model: PipelineModel) -> int:
+    """Trees of the fitted model: fewer than asked for where boosting ended early."""
+    return model.stages[-1].getNumTrees
+
+
 def complete(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with a value in each of the columns, such as those after a series' first lags."""
     return rows.dropna(subset=list(columns))
@@ -115,24 +134,49 @@ def recursive_forecast(
     return rows.withColumn("status", F.lit("ok")).unionByName(why, allowMissingColumns=True)
 
 
+def with_calendar(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(calendar_columns(F.col("ds")))
+
+
+def boost_errors(fits: DataFrame, learn: DataFrame, ahead: DataFrame, predictors: Sequence[str], nominal: Sequence[str] = (), **params) -> tuple[PipelineModel, DataFrame]:
+    """Boosted trees over all series on the errors that per-series fits leave, and the forecasts with what the trees add.
+
+    ``learn`` (id, ds, predictors) has the features of the history, ``ahead`` those of the horizon.
+    """
+    errors = residual_rows(fits).join(learn, ["id", "ds"])
+    boost = fit_global(errors, "gbt", predictors, nominal, "resid", **params)
+    base = complete(forecast_rows(fits).join(ahead, ["id", "ds"]), predictors)
+    combined = boost.transform(base).select(
+        "id", F.lit(5).alias("model_id"), F.lit("ARIMA W/ BOOSTED ERRORS").alias("model_desc"), "ds", (F.col("value") + F.col("prediction")).alias("value")
+    )
+    return boost, combined
+
+
 def fit_arima_boost(
-    train: DataFrame, h: int, nominal: Sequence[str] = (), regressors: Sequence[str] = (), future: DataFrame | None = None, m: int = 12, **params
+    train: DataFrame,
+    h: int,
+    nominal: Sequence[str] = (),
+    regressors: Sequence[str] = (),
+    future: DataFrame | None = None,
+    m: int = 12,
+    features: tuple[DataFrame, DataFrame] | None = None,
+    predictors: Sequence[str] = CALENDAR,
+    **params,
 ) -> tuple[DataFrame, PipelineModel, DataFrame]:
     """ARIMA per series, then boosted trees over all series on the errors it leaves.
 
-    Returns the ARIMA fits, the tree pipeline and the combined forecast.
+    ``features`` are the rows (id, ds, predictors) of the history and of the horizon, with lags, rolling means or
+    regressors; without them the trees see the calendar. Returns the ARIMA fits, the tree pipeline and the combined forecast.
     """
     fits = stage(fit_arima(series_arrays(train, regressors, future), h, m))
-    errors = residual_rows(fits).withColumns(calendar_columns(F.col("ds")))
-    boost = fit_global(errors, "gbt", CALENDAR, nominal, "resid", **params)
-    base = forecast_rows(fits).withColumns(calendar_columns(F.col("ds")))
-    combined = boost.transform(base).select(
-        "id", F.lit(5).alias("model_id"), F.lit("ARIMA W/ BOOSTED ERRORS").alias("model_desc"), "ds", (F.col("value") + F.col("prediction")).alias("value")
-    )
+    if features is None:
+        features = tuple(with_calendar(f.select("id", "ds")) for f in (residual_rows(fits), forecast_rows(fits)))
+    boost, combined = boost_errors(fits, *[f.select("id", "ds", *predictors) for f in features], predictors, nominal, **params)
     return fits, boost, combined
 
 
 def registry(train: DataFrame, models: Mapping[str, object]) -> DataFrame:
-    """Number the fitted models and note what they are (a handful of rows)."""
-    rows = [(i, desc, type(m.stages[-1]).__name__ if isinstance(m, PipelineModel) else type(m).__name__) for i, (desc, m) in enumerate(models.items(), 1)]
-    return train.sparkSession.createDataFrame(rows, "model_id int, model_desc string, engine string")
+    """Number the fitted models and note what they are, their trees and the training rows they saw (a handful of rows)."""
+    n = train.count()
+    rows = [(i, desc, type(m.stages[-1]).__name__, rounds_used(m), n) for i, (desc, m) in enumerate(models.items(), 1)]
+    return train.sparkSession.createDataFrame(rows, "model_id int, model_desc string, engine string, trees int, n_rows bigint")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.features import FeaturePipeline
-from seriesloom.operators.global_models import estimator
+from seriesloom.operators.global_models import estimator, held_back
+from seriesloom.session import stage, unstage
 
 # Parameters that are drawn on a log10 scale
 LOG_SCALE = {"stepSize", "minInfoGain"}
@@ -42,7 +43,7 @@ def latin_hypercube(spark: SparkSession, ranges: Mapping[str, tuple[float, float
 
 
 def mllib_params(row: Mapping[str, float], n_features: int) -> dict:
-    """Parameter values in the types and names MLlib takes; mtry becomes a share of the features."""
+    """Parameter values in the types and names MLlib takes; mtry is a number of places of the feature vector."""
     out: dict = {}
     for name, v in row.items():
         if name == "mtry":
@@ -52,6 +53,26 @@ def mllib_params(row: Mapping[str, float], n_features: int) -> dict:
     return out
 
 
+def vector_width(prepared: DataFrame) -> int:
+    """Places of the assembled feature vector, hashed ones included."""
+    return int(prepared.schema["features"].metadata["ml_attr"]["num_attrs"])
+
+
+SCORES = "model string, round int, config_id int, fold int, rmse double, rsq double"
+
+
+def known_scores(spark: SparkSession, log: str | None, name: str, number: int) -> dict[tuple[int, int], tuple[float, float]]:
+    """Scores of a model's round that an earlier run has written to ``log``, by configuration and fold."""
+    if log is None:
+        return {}
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return {}
+    # configurations times folds, at most
+    rows = spark.read.schema(SCORES).parquet(log).where((F.col("model") == name) & (F.col("round") == number)).collect()
+    return {(r["config_id"], r["fold"]): (r["rmse"], r["rsq"]) for r in rows}
+
+
 def tune(
     rows: DataFrame,
     kind: str,
@@ -62,39 +83,51 @@ def tune(
     fold: str = "fold",
     parallelism: int = 4,
     fixed: Mapping[str, object] | None = None,
+    log: str | None = None,
+    name: str | None = None,
+    number: int = 1,
+    stop: float | None = None,
 ) -> DataFrame:
     """Fit every configuration on every fold's complement and score it on the fold.
 
     The design is a handful of rows; each fit is a Spark job, and ``parallelism`` of them run
-    side by side. Preprocessing is fitted per fold, on training rows only. Returns the mean
-    rmse and rsq with their standard errors per configuration.
+    side by side. Preprocessing is fitted per fold, on training rows only; folds are done one after the other, so one
+    training table is held at a time. Returns the mean rmse and rsq with their standard errors per configuration.
+
+    With ``log``, a folder in shared storage, each score is written there as soon as it is known, under the model's ``name``
+    and the round's ``number``; a driver that starts again goes on where the former one ended. ``stop`` ends boosting early.
     """
     spark = rows.sparkSession
     folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
     configs = [r.asDict() for r in grid.orderBy("config_id").collect()]
-    prepared = {}
+    name = name or kind
+    known = known_scores(spark, log, name, number)
+    scores = [(c, k, *s) for (c, k), s in known.items()]
     for k in folds:
-        train = rows.where(F.col(fold) != k)
+        todo = [c for c in configs if (c["config_id"], k) not in known]
+        if not todo:
+            continue
+        train, held = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
         pipe = FeaturePipeline(predictors, nominal, value).fit(train)
-        prepared[k] = pipe, pipe.transform(train).select("features", value).cache()
-
-    def one(task: tuple) -> tuple:
-        config, k = task
-        pipe, train = prepared[k]
-        params = mllib_params({p: v for p, v in config.items() if p != "config_id"}, len(predictors))
-        model = estimator(kind, value, **{**(fixed or {}), **params}).fit(train)
-        held = model.transform(pipe.transform(rows.where(F.col(fold) == k)))
-        score = score_row(held, value)
-        return config["config_id"], k, score["rmse"], score["rsq"]
-
-    tasks = [(c, k) for c in configs for k in folds]
-    pool = ThreadPool(parallelism)
-    try:
-        scores = pool.map(inheritable_thread_target(spark)(one), tasks)
-    finally:
-        pool.close()
-        for _, train in prepared.values():
-            train.unpersist()
+        ready = stage(_stopping(pipe.transform(train), train.columns, kind, stop))
+        width = vector_width(pipe.transform(train))
+        early = {"validationIndicatorCol": "_held", "validationTol": stop} if "_held" in ready.columns else {}
+
+        def one(config: dict) -> tuple:
+            params = mllib_params({p: v for p, v in config.items() if p != "config_id"}, width)  # noqa: B023
+            model = estimator(kind, value, **{**(fixed or {}), **params, **early}).fit(ready)  # noqa: B023
+            score = score_row(model.transform(pipe.transform(held)), value)  # noqa: B023
+            row = (config["config_id"], int(k), score["rmse"], score["rsq"])  # noqa: B023
+            if log is not None:
+                spark.createDataFrame([(name, number, *row)], SCORES).coalesce(1).write.mode("append").parquet(log)
+            return row
+
+        pool = ThreadPool(parallelism)
+        try:
+            scores += pool.map(inheritable_thread_target(spark)(one), todo)
+        finally:
+            pool.close()
+        unstage(ready)
     table = spark.createDataFrame(scores, "config_id int, fold int, rmse double, rsq double")
     mean = table.groupBy("config_id").agg(
         F.avg("rmse").alias("rmse"),
@@ -105,6 +138,35 @@ def tune(
     return grid.join(mean, "config_id")
 
 
+def _stopping(rows: DataFrame, columns: Sequence[str], kind: str, stop: float | None) -> DataFrame:
+    return rows.withColumn("_held", held_back(columns)) if stop is not None and kind == "gbt" else rows
+
+
+def tune_rounds(
+    rows: DataFrame,
+    kind: str,
+    ranges: Mapping[str, tuple[float, float]],
+    predictors: Sequence[str],
+    nominal: Sequence[str] = (),
+    points: Sequence[int] = (20, 20, 10),
+    top: int = 5,
+    metric: str = "rsq",
+    seed: int = 320,
+    **options,
+) -> DataFrame:
+    """Rounds of tuning, each within the ranges that the best configurations of the one before span.
+
+    Gives all configurations of all rounds with their scores and the number of the round.
+    """
+    found = None
+    for number, n in enumerate(points, 1):
+        grid = stage(latin_hypercube(rows.sparkSession, ranges, n, seed + number))
+        out = stage(tune(rows, kind, grid, predictors, nominal, number=number, **options).withColumn("round", F.lit(number)))
+        found = out if found is None else found.unionByName(out)
+        ranges = narrow(out, list(ranges), metric, top)
+    return found
+
+
 def score_row(held: DataFrame, value: str):
     y, f = F.col(value), F.col("prediction")
     spread = F.nullif(F.var_pop(y) * F.var_pop(f), F.lit(0.0))
@@ -134,7 +196,8 @@ def finalize(
     """Take the best configuration and fit it on all training rows."""
     order = F.desc(metric) if metric == "rsq" else F.asc(metric)
     best = results.orderBy(order, "config_id").first().asDict()
-    params = {p: v for p, v in best.items() if p not in ("config_id", "rmse", "rmse_se", "rsq", "n")}
+    params = {p: v for p, v in best.items() if p not in ("config_id", "rmse", "rmse_se", "rsq", "n", "round")}
     pipe = FeaturePipeline(predictors, nominal, value).fit(rows)
-    model = estimator(kind, value, **{**(fixed or {}), **mllib_params(params, len(predictors))}).fit(pipe.transform(rows))
+    ready = pipe.transform(rows)
+    model = estimator(kind, value, **{**(fixed or {}), **mllib_params(params, vector_width(ready))}).fit(ready)
     return PipelineModel(stages=[*pipe.stages, model])

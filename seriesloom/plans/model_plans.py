@@ -116,20 +116,29 @@ def nested_fit_accuracy(spark, sf):
     return r(ev.nested_accuracy(f, p), 4, "mae", "mape", "mase", "smape", "rmse", "rsq")
 
 
+GAPS_SQL = "'ValueError: ' || (n_span - n_months) || ' months have no value; pad or interpolate the series first'"
+
+
 @query(
     "error_report",
-    """WITH m AS (SELECT o_custkey, count(DISTINCT date_trunc('month', o_orderdate)) AS n_months, date_diff('month', min(o_orderdate), max(o_orderdate)) + 1 AS n_span FROM orders GROUP BY 1),
-       e AS (SELECT n_months, CASE WHEN n_span > n_months THEN 'ValueError: ' || (n_span - n_months) || ' months have no value; pad or interpolate the series first'
-         WHEN n_months = 1 THEN 'ValueError: series too short' END AS message FROM m)
-       SELECT CAST(n_months AS BIGINT) AS n_months, CASE WHEN message IS NOT NULL THEN 'TREND-SEASON' END AS model_desc, message, CAST(count(*) AS BIGINT) AS n_series FROM e GROUP BY n_months, message""",
+    f"""WITH m AS (SELECT o_custkey, count(DISTINCT date_trunc('month', o_orderdate)) AS n_months, date_diff('month', min(o_orderdate), max(o_orderdate)) + 1 AS n_span FROM orders GROUP BY 1),
+       e AS (SELECT model_desc, CASE WHEN model_desc <> 'ARIMA' AND n_span > n_months THEN {GAPS_SQL} WHEN n_months = 1 THEN 'ValueError: series too short' END AS message
+         FROM m, (VALUES ('TREND-SEASON'), ('ARIMA'), ('ETS')) v(model_desc) WHERE n_months = 1 OR (n_span > n_months AND model_desc <> 'ARIMA'))
+       SELECT model_desc, message, CAST(count(*) AS BIGINT) AS n_series FROM e GROUP BY 1, 2""",
 )
 def error_report(spark, sf):
-    """Customers as series, not padded: those with a single month or with gaps cannot be fitted."""
+    """Customers as series, not padded: what cannot be fitted, for all three models.
+
+    A single month is too short for all of them, gaps are for ARIMA alone. The rest of the customers is fitted as well; only
+    failures of these two kinds are counted, since how few months an order of ARIMA takes depends on its differences.
+    """
     months = b.order_months(spark, sf).select(F.col("o_custkey").alias("id"), "ds", F.col("y").cast("double").alias("y"))
-    fits = sm.nested_fit(sm.series_arrays(months), ("trend_season",), HORIZON)
-    lonely = sm.error_report(fits)
-    ids = months.groupBy("id").agg(F.count(F.lit(1)).alias("n_months"))
-    return ids.join(lonely, "id", "left").groupBy("n_months", "model_desc", "message").agg(F.count(F.lit(1)).alias("n_series"))
+    arrays = stage(sm.series_arrays(months))
+    odd = arrays.where((F.size("y") == 1) | F.exists("y", lambda v: v.isNull()))
+    fits = sm.nested_fit(odd, h=HORIZON)
+    months_of = odd.select("id", F.size("y").alias("_n"))
+    lonely = sm.error_report(fits).join(months_of, "id").where("model_desc <> 'ARIMA' OR _n = 1")
+    return lonely.groupBy("model_desc", "message").agg(F.count(F.lit(1)).alias("n_series"))
 
 
 @query("customer_forecast")
@@ -157,10 +166,8 @@ def refit(spark, sf):
     return fitted(sm.nested_fit(sm.series_arrays(p), h=HORIZON, chosen=best))
 
 
-@query("nested_forecast")
-def nested_forecast(spark, sf):
-    """Fit three models per series, keep the best on the hold-out, refit it and forecast a year with limits."""
-    p, fits, f, _, best = tournament(spark, sf)
+def best_ahead(p, f, best):
+    """The winners refitted on all months and forecast with limits, after the actual rows."""
     calibration = ev.keep_best(ev.calibrate(f, p), best)
     future = sm.forecast_rows(sm.nested_fit(sm.series_arrays(p), h=HORIZON, chosen=best))
     bounded = ev.with_interval(future, calibration, by=("id", "model_id"))
@@ -168,27 +175,50 @@ def nested_forecast(spark, sf):
     return r(out, 2, "value", "lo", "hi")
 
 
+@query("nested_forecast")
+def nested_forecast(spark, sf):
+    """Fit three models per series, keep the best on the hold-out, refit it and forecast a year with limits."""
+    p, _, f, _, best = tournament(spark, sf)
+    return best_ahead(p, f, best)
+
+
+@query("nested_ensemble_flow")
+def nested_ensemble_flow(spark, sf):
+    """The same with the mean of the three models as a candidate: selected again, refitted by its members, forecast."""
+    p, _, f, _, best = tournament(spark, sf, blend=True)
+    return best_ahead(p, f, best)
+
+
 @query("future_forecast")
 def future_forecast(spark, sf):
-    """All models and their mean as candidates, refitted and forecast with the input columns kept."""
-    p = split_panel(spark, sf)
-    future = sm.forecast_rows(stage(sm.nested_fit(sm.series_arrays(p), h=HORIZON)))
-    both = bl.ensemble(future, keep=True)
-    kept = u.attach_exog(both, b.rates(spark, sf), how="left")
-    return r(kept.select("id", "ds", "model_id", "model_desc", "value", "rate"), 2, "value")
+    """All models and their mean as candidates, refitted and forecast with limits, actual rows and the input columns."""
+    p, _, f, _, _ = tournament(spark, sf, blend=True)
+    future = bl.ensemble(sm.forecast_rows(stage(sm.nested_fit(sm.series_arrays(p), h=HORIZON))), keep=True)
+    bounded = ev.with_interval(future, ev.calibrate(f, p), by=("id", "model_id")).withColumn("key", F.lit("prediction"))
+    both = ev.actual_rows(p).unionByName(bounded, allowMissingColumns=True)
+    kept = u.attach_exog(both, b.rates_ahead(spark, sf), how="left")
+    return r(kept.select("id", "ds", "model_id", "model_desc", "key", "value", "lo", "hi", "rate"), 2, "value", "lo", "hi")
 
 
 @query("scenario_forecast")
 def scenario_forecast(spark, sf):
-    """Models with the rate as regressor, once per scenario of the future rates, over the whole horizon, with the history."""
+    """Four families once per scenario of the future rates, over the whole horizon, with the history.
+
+    Trend-season and ARIMA have the rate as regressor, ETS has none, and the trees on ARIMA's errors see it with the calendar.
+    """
     p = stage(u.attach_exog(b.full_months(spark, sf), b.rates(spark, sf)).select("id", "ds", "y", "rate"))
     scen = bl.scenario_rates(b.rates_ahead(spark, sf), "2001-09-01", SHOCKS)
     future = stage(u.attach_scenarios(cal.future_frame(p.select("id", "ds", "y"), HORIZON, bind=False), scen))
     # each (series, scenario) is one row to fit, known by a joint key
     names = F.array(*[F.lit(s) for s in SHOCKS])
-    history = p.withColumn("scenario", F.explode(names)).withColumn("key", F.concat_ws("|", "id", "scenario"))
-    arrays = stage(sm.series_arrays(history, ["rate"], future.withColumn("key", F.concat_ws("|", "id", "scenario")), key="key", h=HORIZON))
-    rows = sm.forecast_rows(sm.nested_fit(arrays, ("trend_season", "arima"), HORIZON))
+    joint = F.concat_ws("|", "id", "scenario").alias("key")
+    history = p.withColumn("scenario", F.explode(names)).select("*", joint)
+    ahead = future.select("*", joint)
+    arrays = stage(sm.series_arrays(history, ["rate"], ahead, key="key", h=HORIZON))
+    fits = stage(sm.nested_fit(arrays, h=HORIZON))
+    features = [gm.with_calendar(f.select(F.col("key").alias("id"), "ds", "rate")) for f in (history, ahead)]
+    _, boosted = gm.boost_errors(fits.where("model_id = 2"), *features, [*gm.CALENDAR, "rate"], **FULL["gbt"])
+    rows = sm.forecast_rows(fits).unionByName(boosted)
     parts = F.split("id", "\\|")
     labelled = rows.select(parts[0].cast("int").alias("id"), "ds", "model_desc", parts[1].alias("scenario"), F.round("value", 2).alias("value"))
     return bl.scenario_history(labelled, p.select("id", "ds", F.lit("ACTUAL").alias("model_desc"), F.round("y", 2).alias("value")))
@@ -199,7 +229,9 @@ def scenario_forecast(spark, sf):
 LAGS = [f"y_lag{k}" for k in range(1, 7)]
 ROLLS = [f"y_lag6_roll{k}" for k in range(1, 7)]
 PREDICTORS = [*gm.CALENDAR, *LAGS, *ROLLS]
-SMALL = {"rf": {"numTrees": 20, "maxDepth": 5}, "gbt": {"maxIter": 10, "maxDepth": 3}}
+# The usual defaults of the engines, a forest of 500 trees that try the root of the features at each split, and
+# 15 rounds of depth 6 at rate 0.3
+FULL = {"rf": {"numTrees": 500, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"}, "gbt": {"maxIter": 15, "maxDepth": 6, "stepSize": 0.3}}
 
 
 def prepared(spark, sf):
@@ -215,7 +247,7 @@ def ft_split(f):
 
 def holdout(spark, sf, kind):
     f = prepared(spark, sf)
-    model = gm.fit_global(f.where("split = 'train'"), kind, PREDICTORS, ["id"], **SMALL[kind])
+    model = gm.fit_global(f.where("split = 'train'"), kind, PREDICTORS, ["id"], **FULL[kind])
     return f, model
 
 
@@ -234,7 +266,8 @@ def fit_boosted_trees(spark, sf):
 @query("fit_arima_boost")
 def fit_arima_boost(spark, sf):
     p = split_panel(spark, sf)
-    _, _, combined = gm.fit_arima_boost(p.where("split = 'train'"), HOLDOUT, ["id"], **SMALL["gbt"])
+    f = prepared(spark, sf).drop("y", "split")
+    _, _, combined = gm.fit_arima_boost(p.where("split = 'train'"), HOLDOUT, ["id"], features=(f, f), predictors=PREDICTORS, **FULL["gbt"])
     return r(combined, 2, "value")
 
 
@@ -242,7 +275,7 @@ def fit_arima_boost(spark, sf):
 def global_forecast(spark, sf):
     """Recursive year ahead in original units: predict scaled values, then invert per series."""
     f = prepared(spark, sf)
-    model = gm.fit_global(f, "rf", PREDICTORS, ["id"], **SMALL["rf"])
+    model = gm.fit_global(f, "rf", PREDICTORS, ["id"], **FULL["rf"])
     ahead = gm.recursive_forecast(model, f.select("id", "ds", "y"), HORIZON, periods=range(1, 7))
     train = cal.split_last_n(ft.transform(b.full_months(spark, sf), "log1p"), HOLDOUT).where("split = 'train'")
     params = train.groupBy("id").agg(F.avg("y").alias("mean_log"), F.stddev_samp("y").alias("sd_log"))
@@ -254,9 +287,9 @@ def global_flow(spark, sf):
     """Three global models on a hold-out, their ensembles, inversion to original units, national totals per model."""
     f = prepared(spark, sf)
     train, test = f.where("split = 'train'"), f.where("split = 'test'")
-    rf = gm.predict(gm.fit_global(train, "rf", PREDICTORS, ["id"], **SMALL["rf"]), test, 1, "RANDOM FOREST")
-    gbt = gm.predict(gm.fit_global(train, "gbt", PREDICTORS, ["id"], **SMALL["gbt"]), test, 2, "BOOSTED TREES")
-    _, _, boosted = gm.fit_arima_boost(train.select("id", "ds", "y"), HOLDOUT, ["id"], **SMALL["gbt"])
+    rf = gm.predict(gm.fit_global(train, "rf", PREDICTORS, ["id"], **FULL["rf"]), test, 1, "RANDOM FOREST")
+    gbt = gm.predict(gm.fit_global(train, "gbt", PREDICTORS, ["id"], **FULL["gbt"]), test, 2, "BOOSTED TREES")
+    _, _, boosted = gm.fit_arima_boost(train.select("id", "ds", "y"), HOLDOUT, ["id"], features=(train.drop("y"), test.drop("y")), predictors=PREDICTORS, **FULL["gbt"])
     single = stage(rf.unionByName(gbt).unionByName(boosted))
     weights = bl.rank_weights(ev.accuracy(single, f))
     blends = [
@@ -273,11 +306,18 @@ def global_flow(spark, sf):
     return r(original.groupBy("model_id", "model_desc", "ds").agg(F.sum("value").alias("value")), 2, "value")
 
 
-@query("model_registry", "SELECT 1 AS model_id, 'RANDOM FOREST' AS model_desc, 'RandomForestRegressionModel' AS engine UNION ALL SELECT 2, 'BOOSTED TREES', 'GBTRegressionModel'")
+@query(
+    "model_registry",
+    sql(
+        """SELECT model_id, model_desc, engine, trees, CAST((SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY id ORDER BY ds) AS t FROM split WHERE split = 'train') WHERE t > 6) AS BIGINT) AS n_rows
+           FROM (VALUES (1, 'RANDOM FOREST', 'RandomForestRegressionModel', 500), (2, 'BOOSTED TREES', 'GBTRegressionModel', 15)) v(model_id, model_desc, engine, trees)""",
+        "split",
+    ),
+)
 def model_registry(spark, sf):
     f = prepared(spark, sf)
     train = f.where("split = 'train'")
-    models = {"RANDOM FOREST": gm.fit_global(train, "rf", PREDICTORS, ["id"], **SMALL["rf"]), "BOOSTED TREES": gm.fit_global(train, "gbt", PREDICTORS, ["id"], **SMALL["gbt"])}
+    models = {"RANDOM FOREST": gm.fit_global(train, "rf", PREDICTORS, ["id"], **FULL["rf"]), "BOOSTED TREES": gm.fit_global(train, "gbt", PREDICTORS, ["id"], **FULL["gbt"])}
     return gm.registry(train, models)
 
 
@@ -286,9 +326,9 @@ def sink_models(spark, sf):
     """Save two pipelines, load them and predict with the loaded ones."""
     f = prepared(spark, sf)
     train = f.where("split = 'train'")
-    models = {k: gm.fit_global(train, k, PREDICTORS, ["id"], **SMALL[k]) for k in SMALL}
+    models = {k: gm.fit_global(train, k, PREDICTORS, ["id"], **FULL[k]) for k in FULL}
     path = shared_folder(spark)
-    panels.save_models(spark, path, models, {k: SMALL[k] for k in SMALL})
+    panels.save_models(spark, path, models, {k: FULL[k] for k in FULL})
     loaded = panels.load_models(spark, path)
     rows = [gm.predict(m, f.where("split = 'test'"), i, name) for i, (name, m) in enumerate(loaded.items(), 1)]
     return r(rows[0].unionByName(rows[1]), 6, "value")
@@ -306,26 +346,36 @@ def param_grid(spark, sf):
     return r(tn.latin_hypercube(spark, ranges, 20, seed=320), 6, *ranges)
 
 
+RANGES = {"rf": {"mtry": (2, 12), "minInstancesPerNode": (2, 20)}, "gbt": {"minInstancesPerNode": (30, 2), "stepSize": (-0.3, -1.5)}}
+
+
 @query("tune")
 def tune(spark, sf):
     f = prepared(spark, sf).where("split = 'train'")
     folds = cal.time_folds(f, 3)
-    grid = tn.latin_hypercube(spark, {"mtry": (2, 8), "minInstancesPerNode": (2, 20)}, 4, seed=1)
-    out = tn.tune(folds, "rf", grid, PREDICTORS, ["id"], fixed=SMALL["rf"])
+    grid = tn.latin_hypercube(spark, RANGES["rf"], 4, seed=1)
+    out = tn.tune(folds, "rf", grid, PREDICTORS, ["id"], fixed={"numTrees": 50, "maxDepth": 8})
     return r(out, 6, "rmse", "rmse_se", "rsq")
 
 
+def rounds(spark, sf):
+    """Three narrowing rounds for boosted trees with early stopping, their scores logged as they come."""
+    train = cal.kfold(prepared(spark, sf).where("split = 'train'"), 2, seed=262)
+    options = {"points": (3, 2, 1), "top": 2, "fixed": {"maxIter": 15, "maxDepth": 4}, "log": shared_folder(spark), "stop": 0.01}
+    return train, tn.tune_rounds(train, "gbt", RANGES["gbt"], PREDICTORS, ["id"], **options)
+
+
 @query("tune_rounds")
 def tune_rounds(spark, sf):
-    """Two rounds, the second within the range of the first round's best, then the final fit on the hold-out."""
-    f = prepared(spark, sf)
-    train = cal.kfold(f.where("split = 'train'"), 2, seed=262)
-    ranges = {"minInstancesPerNode": (30, 2), "stepSize": (-0.3, -1.5)}
-    grid = tn.latin_hypercube(spark, ranges, 3, seed=1)
-    first = tn.tune(train, "gbt", grid, PREDICTORS, ["id"], fixed=SMALL["gbt"])
-    second = tn.tune(train, "gbt", tn.latin_hypercube(spark, tn.narrow(first, list(ranges), top=2), 2, seed=2), PREDICTORS, ["id"], fixed=SMALL["gbt"])
-    final = tn.finalize(train, "gbt", second, PREDICTORS, ["id"], metric="rsq", fixed=SMALL["gbt"])
-    return r(gm.predict(final, f.where("split = 'test'"), 1, "BOOSTED TREES - tuned"), 6, "value")
+    return r(rounds(spark, sf)[1], 6, "rmse", "rmse_se", "rsq", *RANGES["gbt"])
+
+
+@query("finalize")
+def finalize(spark, sf):
+    """The best configuration of all rounds, fitted on all training rows, on the hold-out."""
+    train, found = rounds(spark, sf)
+    final = tn.finalize(train, "gbt", found, PREDICTORS, ["id"], metric="rsq", fixed={"maxIter": 15, "maxDepth": 4})
+    return r(gm.predict(final, prepared(spark, sf).where("split = 'test'"), 1, "BOOSTED TREES - tuned"), 6, "value")
 
 
 @query("feature_importance")

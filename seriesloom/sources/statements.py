@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import itertools
 import uuid
@@ -54,27 +55,37 @@ def parse_lines(
 
     A file's header is its first line, after ``skip`` lines, that looks like one; what precedes it is preamble. The header
     names the file's own fields, so a column that a file lacks is NULL there, as are the last fields of
-    a row that has fewer. Fields may be quoted, but not hold line breaks. ``columns`` gives the cleaned names to keep; without it all
-    names found in the headers are used. Lines after the header that do not match ``row_pattern`` are left to ``rejected_lines``.
+    a row that has fewer. Fields of rows and headers may be quoted, but not hold line breaks. ``columns`` gives the cleaned names to
+    keep; without it all names found in the headers are used. Lines after the header that do not match ``row_pattern`` are left
+    to ``rejected_lines``; a row with more fields than its header keeps the named ones, and its line is listed there as well.
     """
     heads = file_heads(lines, sep, header_pattern, skip)
     # a handful of layouts, not data
-    layouts = {r["_header"]: [n.strip().strip('"') for n in r["_header"].split(sep)] for r in heads.select("_header").distinct().collect()}
+    layouts = {r["_header"]: [n.strip() for n in next(csv.reader([r["_header"]], delimiter=sep))] for r in heads.select("_header").distinct().collect()}
     if columns is None:
         columns = list(dict.fromkeys(snake_case(n) for h in sorted(layouts) for n in layouts[h]))
     width = max(map(len, layouts.values()), default=1)
-    names = F.transform(F.split("_header", _literal(sep)), lambda n: _snake_column(F.trim(F.trim(n), F.lit('"'))))
-    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "quote": '"', "mode": "PERMISSIVE"})
-    rows = _body(lines, heads).where(F.col("line").rlike(row_pattern)).select("file", names.alias("_names"), fields.alias("_row"))
-    cells = F.map_from_arrays("_names", F.slice(F.array(*[F.col(f"_row.c{i}") for i in range(width)]), 1, F.size("_names")))
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    fields = lambda line: F.from_csv(line, schema, {"sep": sep, "quote": '"', "mode": "PERMISSIVE"})
+    listed = lambda row: F.array(*[F.col(f"{row}.c{i}") for i in range(width)])
+    rows = _body(lines, heads).where(F.col("line").rlike(row_pattern)).select("file", F.size(_open_fields("_header", sep)).alias("_n"), fields("_header").alias("_h"), fields("line").alias("_row"))
+    names = F.transform(F.slice(listed("_h"), 1, F.col("_n")), lambda n: _snake_column(F.trim(n)))
+    cells = F.map_from_arrays(names, F.slice(listed("_row"), 1, F.col("_n")))
     value = lambda name: F.nullif(F.trim(F.try_element_at("_cells", F.lit(name))), F.lit(""))
     return rows.withColumn("_cells", cells).select("file", *[value(name).alias(name) for name in dict.fromkeys(columns)])
 
 
+def _open_fields(line: str, sep: str) -> Column:
+    """The fields of a line, with a letter in place of each quoted text."""
+    return F.split(F.regexp_replace(line, '"[^"]*"', "q"), _literal(sep))
+
+
 def rejected_lines(lines: DataFrame, sep: str = ";", row_pattern: str = r'^"?[0-9]{6}', header_pattern: str = r'^"?#?[A-Za-z_]+.*', skip: int = 0) -> DataFrame:
-    """Lines after the header that are no rows, and all lines of files without a header, with their file."""
+    """Lines after the header that are no rows, rows with more fields than their header (but for empty ones at the end), and all
+    lines of files without a header, with their file."""
     heads = file_heads(lines, sep, header_pattern, skip)
-    odd = _body(lines, heads).where(~F.col("line").rlike(row_pattern)).select("file", "line")
+    surplus = F.filter(_open_fields("line", sep), lambda f, i: (i >= F.size(_open_fields("_header", sep))) & (F.trim(f) != ""))
+    odd = _body(lines, heads).where(~F.col("line").rlike(row_pattern) | (F.size(surplus) > 0)).select("file", "line")
     return odd.unionByName(lines.join(heads, "file", "left_anti").where(F.trim("line") != "").select("file", "line"))
 
 

@@ -74,4 +74,14 @@ def test_short_and_quoted_lines_are_read(spark, tmp_path):
     lines = statements.read_lines(spark, str(tmp_path))
     got = statements.parse_lines(lines, skip=2).orderBy("data_base").drop("file").collect()
     assert [tuple(r) for r in got] == [("202001", "35;001", "10.5", "1"), ("202002", "35001", None, None), ("202003", "35002", "1", "2")]
-    assert [r.line for r in statements.rejected_lines(lines, skip=2).collect()] == ["TOTAL;3"]
+    assert sorted(r.line for r in statements.rejected_lines(lines, skip=2).collect()) == ['"202003";35002;1;2;9', "TOTAL;3"]
+
+
+def test_surplus_fields_are_listed(spark, tmp_path):
+    rows = ['199501;"1;x";2;3', '199502;"1";2;3;EXTRA;77', "199503;1;2;3;;", '199504;1;2;3;"a;b"', "199505;1"]
+    (tmp_path / "a.csv").write_text('top\nUNITS\n"DATA_BASE";"COD;MUN";VERBETE_1;VERBETE_2\n' + "\n".join(rows) + "\n")
+    lines = statements.read_lines(spark, str(tmp_path))
+    got = statements.parse_lines(lines, skip=2).orderBy("data_base").drop("file")
+    assert got.columns == ["data_base", "cod_mun", "verbete_1", "verbete_2"]
+    assert [tuple(r) for r in got.collect()] == [("199501", "1;x", "2", "3"), ("199502", "1", "2", "3"), ("199503", "1", "2", "3"), ("199504", "1", "2", "3"), ("199505", "1", None, None)]
+    assert sorted(r.line for r in statements.rejected_lines(lines, skip=2).collect()) == [rows[1], rows[3]]
