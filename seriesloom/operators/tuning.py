@@ -69,7 +69,7 @@ def known_scores(spark: SparkSession, log: str | None, name: str, number: int) -
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return {}
     # configurations times folds, at most
-    rows = spark.read.schema(SCORES).parquet(log).where((F.col("model") == name) & (F.col("round") == number)).collect()
+    rows = spark.read.schema(SCORES).parquet(f"{log}/*").where((F.col("model") == name) & (F.col("round") == number)).collect()
     return {(r["config_id"], r["fold"]): (r["rmse"], r["rsq"]) for r in rows}
 
 
@@ -119,7 +119,9 @@ def tune(
             score = score_row(model.transform(pipe.transform(held)), value)  # noqa: B023
             row = (config["config_id"], int(k), score["rmse"], score["rsq"])  # noqa: B023
             if log is not None:
-                spark.createDataFrame([(name, number, *row)], SCORES).coalesce(1).write.mode("append").parquet(log)
+                # a folder for each score, since writers of one folder would clear each other's files
+                done = spark.createDataFrame([(name, number, *row)], SCORES).coalesce(1)
+                done.write.mode("overwrite").parquet(f"{log}/{name}-{number}-{row[0]}-{row[1]}")
             return row
 
         pool = ThreadPool(parallelism)

@@ -114,7 +114,7 @@ def test_tuning_goes_on_where_it_ended(spark, rows, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="the driver is gone"):
         tuning.tune(folds, "rf", grid, PREDICTORS, ["id"], **options)
     monkeypatch.setattr(tuning, "score_row", lambda *a: done.append(1) or score(*a))
-    out = tuning.tune(folds, "rf", grid, PREDICTORS, ["id"], **options)
+    out = tuning.tune(folds, "rf", grid, PREDICTORS, ["id"], **{**options, "parallelism": 3})
     assert len(done) == 6 and [r["n"] for r in out.collect()] == [2, 2, 2]
     again = tuning.tune(folds, "rf", grid, PREDICTORS, ["id"], **options)
     assert len(done) == 6 and sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
