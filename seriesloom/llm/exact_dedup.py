@@ -7,8 +7,8 @@ a bit is missing is unique and its row passes straight through; the other rows a
 SHA-256 of the whole normalised text, so false positives of the filter cost a shuffle, never a result.
 
 The filter of repeats is broadcast. Its size is bounded by ``filter_bytes``: when the rows need more
-bits, the hash space is cut into slices, and each slice has a filter and a pass of its own over the
-staged table of hashes (about 60 bytes a row, no texts).
+bits, the hash space is cut into slices, which are written to folders of their own: each slice has its filter and
+reads its own rows only, so the work grows with the rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.tables import lower_az, stage
+from seriesloom.llm.tables import lower_az, stage, stage_slices
 
 SEGMENT_BITS = 1 << 16
 
@@ -91,8 +91,7 @@ def flag_repeats(keys: DataFrame, bits_per_row: int = 16, filter_bytes: int = 32
     slices = math.ceil(rows * bits_per_row / (filter_bytes * 8))
     bits = math.ceil(min(rows * bits_per_row, filter_bytes * 8) / SEGMENT_BITS) * SEGMENT_BITS
     out = None
-    for k in range(slices):
-        part = keys if slices == 1 else keys.where(F.pmod(F.xxhash64("sha"), F.lit(slices)) == k)
+    for part in [keys] if slices == 1 else stage_slices(keys, F.col("sha"), slices):
         shared = spark.sparkContext.broadcast(repeat_filter(part, bits))
 
         def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -139,9 +138,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
     marked = docs.withColumn("__sha", text_key(text))
     order = [F.col(f"`{doc_id}`"), F.col(f"`{text}`")] + [F.col(f"`{f.name}`") for f in docs.schema if f.name not in (doc_id, text) and f.dataType.typeName() not in ("map", "variant")]
     out = None
-    for k in range(slices):
-        cut = lambda df, c: df if slices == 1 else df.where(F.pmod(F.xxhash64(c), F.lit(slices)) == k)  # noqa: B023, E731
-        shared = docs.sparkSession.sparkContext.broadcast(repeat_filter(cut(keys, "sha"), bits))
+    # with several slices, the documents are written once by slice, with their keys
+    for part in [None] if slices == 1 else stage_slices(marked, F.col("__sha"), slices):
+        own, whole = (keys, marked) if part is None else (part.select(F.col("__sha").alias("sha")), part)
+        shared = docs.sparkSession.sparkContext.broadcast(repeat_filter(own, bits))
 
         @F.pandas_udf("boolean")
         def maybe(sha, shared=shared):
@@ -150,9 +150,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
             at = _positions(pa.array(sha), bits)
             return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
 
-        probed = cut(marked, "__sha").withColumn("__maybe", maybe("__sha"))
+        probed = whole.withColumn("__maybe", maybe("__sha"))
         alone = probed.where(~F.col("__maybe")).select(*[F.col(f"`{c}`") for c in docs.columns])
         best = probed.where("__maybe").groupBy("__sha").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order)).alias("row"))
-        part = alone.unionAll(best.select("row.*"))
-        out = part if out is None else out.unionAll(part)
+        done = alone.unionAll(best.select("row.*"))
+        out = done if out is None else out.unionAll(done)
     return out

@@ -9,9 +9,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.session import stage
+from seriesloom.session import shared_folder, stage
 
-__all__ = ["batches_of", "crc_of_id", "lower_az", "slim", "sorted_runs", "stage", "table"]
+__all__ = ["batches_of", "crc_of_id", "lower_az", "slim", "sorted_runs", "stage", "stage_slices", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage_slices(df: DataFrame, key: Column, slices: int) -> list[DataFrame]:
+    """Write a table once, in a folder for each slice of the hash space of ``key``; reading a slice reads its folder only."""
+    number = F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
+    path = shared_folder(df.sparkSession)
+    # a few files a slice in place of one from every task; dealt by the reading task, so that copies of a text spread
+    dealt = df.withColumn("__slice", number).withColumn("__spread", F.pmod(F.spark_partition_id(), F.lit(16)))
+    dealt.repartition("__slice", "__spread").drop("__spread").write.partitionBy("__slice").parquet(path)
+    context = df.sparkSession.sparkContext
+    place = lambda k: context._jvm.org.apache.hadoop.fs.Path(f"{path}/__slice={k}")
+    there = [k for k in range(slices) if place(k).getFileSystem(context._jsc.hadoopConfiguration()).exists(place(k))]
+    return [df.sparkSession.read.schema(df.schema).parquet(f"{path}/__slice={k}") for k in there]
+
+
 def slim(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that no other column of the input can clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
