@@ -22,7 +22,6 @@ from seriesloom.llm.tables import slim, stage
 
 OVERHEAD = 8
 FIRST_BITS, MORE_BITS = 12, 8
-CELL_BITS = 20
 
 
 class Borders:
@@ -117,8 +116,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and capacity for each row.
 
     ``size`` is the text's length in UTF-8 bytes (null as empty) plus 8. Null and empty texts are one group, as are
-    all rows of an equal text, repeated ids included; null ids sort first. A group of several rows that is larger than an equal share
-    of all bytes is divided by ids, since no shard could hold it and be near equal to the others. Slots number a shard's
+    all rows of an equal text, repeated ids included; null ids sort first. A group is never divided, at any size, so shards are near
+    equal up to the largest group, below which ``capacity`` cannot be. Slots number a shard's
     rows without gaps: rows are dealt to blocks by a hash of id and text, numbered inside the block, and
     moved by the count of the blocks before it, so that no task holds a shard. With fewer groups than shards
     some shards stay empty; an empty table gives no rows.
@@ -129,15 +128,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
             "doc_id", F.xxhash64(body).alias("h"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32")
         )
     )
-    groups = stage(rows.groupBy("h").agg(F.sum("size").alias("size"), F.max("size").alias("row")))
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    # fewer than there are shards; copies of a row that is itself that large stay together
-    large = [r.h for r in groups.where((F.col("size") > total / shards) & (F.col("row") <= total / shards)).select("h").collect()]
-    if large:
-        # the lowest bits from the id: cells of a group stay next to each other
-        cell = F.col("h").bitwiseAND(F.lit(-(1 << CELL_BITS))).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << CELL_BITS) - 1)))
-        rows = rows.withColumn("h", F.when(F.col("h").isin(large), cell).otherwise(F.col("h")))
-        groups = stage(rows.groupBy("h").agg(F.sum("size").alias("size")))
+    groups = stage(rows.groupBy("h").agg(F.sum("size").alias("size")))
     capacity, ends = minimax_cuts(groups, shards)
     # the order of unsigned hashes, as longs
     place = F.col("h").bitwiseXOR(F.lit(-(2**63)))

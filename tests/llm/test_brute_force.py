@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -84,13 +85,17 @@ def test_shards(spark, sf, documents):
     assert max(sizes.values()) == got[0].capacity
 
 
-def test_a_third_of_copies_leaves_shards_near_equal(spark):
-    rows = [(i, "copied text " * 5 if i % 3 == 0 else f"text {i} " * 8) for i in range(6000)]
+@pytest.mark.parametrize("copies", [100, 2000])
+def test_equal_texts_are_never_divided(spark, copies):
+    """Below and above an equal share of the bytes; the largest group then bounds the capacity."""
+    rows = [(i, "copied text " * 5 if i < copies else f"text {i} " * 8) for i in range(6000)]
     got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
     sizes = Counter()
     for r in got:
         sizes[r.shard] += r["size"]
-    assert len(got) == len(rows) and max(sizes.values()) == got[0].capacity < 1.1 * sum(sizes.values()) / 24
+    group = copies * 68
+    assert len({r.shard for r in got if r.doc_id < copies}) == 1
+    assert len(got) == len(rows) and max(sizes.values()) == got[0].capacity < max(1.1 * sum(sizes.values()) / 24, group + 1)
 
 
 # --- exact dedup
@@ -250,6 +255,48 @@ def test_recall_of_edited_passages():
     assert found >= 0.97 * tried
 
 
+@pytest.mark.parametrize("n, tries", [(60, 40), (300, 20), (800, 12), (2000, 5)])
+def test_recall_at_the_full_number_of_edits(n, tries):
+    rng = random.Random(n)
+    words = [f"w{rng.randrange(3 * n)}" for _ in range(n)]
+    items = decontaminate.Items([(1, " ".join(words))], 0.2)
+    found = 0
+    for _ in range(tries):
+        own = items.words[0].tolist()
+        for _ in range(items.most[0]):
+            at, kind = rng.randrange(len(own)), rng.randrange(3)
+            own[at : at + (kind != 1)] = [] if kind == 2 else [0]
+        found += bool(items.find(np.array([0] * 50 + own + [0] * 50)))
+    assert found >= 0.95 * tries
+
+
+def test_tables_follow_length_and_recall():
+    assert decontaminate.tables_for(3, 0.2, 0.99) == (1, 3)  # no edits: equal walks
+    more, fewer = decontaminate.tables_for(40, 0.2, 0.999)[0], decontaminate.tables_for(40, 0.2, 0.9)[0]
+    assert more > fewer
+    assert decontaminate.tables_for(2000, 0.2, 0.99)[1] < decontaminate.tables_for(40, 0.2, 0.99)[1]
+
+
+def test_start_distances():
+    rng = random.Random(8)
+    for _ in range(60):
+        item, doc = ([rng.randrange(1, 5) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        got = decontaminate.start_distances(np.array(item), np.array(doc)).tolist()
+        full = lambda part: min(best_by_trial_prefix(item, part))
+        assert got == [full(doc[s:]) for s in range(len(doc) + 1)]
+
+
+def best_by_trial_prefix(item, part):
+    """Edit distances of the item to each beginning of ``part``."""
+    row = list(range(len(part) + 1))
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, v in enumerate(part, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != v)))
+        row = new
+    return row
+
+
 def test_item_slices(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.find_items(docs, items).collect()))
@@ -258,6 +305,14 @@ def test_item_slices(spark, sf):
     assert clean == {r.doc_id for r in docs.collect()} - {r[0] for r in whole}
 
 
+def test_documents_of_a_batch_stay_apart():
+    items = decontaminate.Items([(7, "one two three four five six seven eight nine ten")], 0.0)
+    texts = pa.array(["x One, two three four", None, "five six seven eight nine ten", "", "one two three four; five six seven eight nine_ten y", "one two three four five six seven eight nine ten"])
+    coded, edges = decontaminate._coded(texts, items)
+    assert [h[0] for h in items.find_all(coded, edges)] == [4, 5]
+    assert np.diff(edges).tolist() == [5, 0, 6, 0, 11, 10]
+
+
 # --- tokenizers
 
 
