@@ -10,6 +10,7 @@ from seriesloom.functions import distances as ds
 from seriesloom.functions.warping import Warping
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import clustering as cl
+from seriesloom.operators import linkage as li
 from seriesloom.operators import similarity as si
 from seriesloom.operators.rollup import count_by
 from seriesloom.plans import bindings as b
@@ -236,6 +237,16 @@ def cluster_hierarchy_acf(spark, sf):
     return cl.bisecting(arrays, 6)
 
 
+@query("cluster_ward")
+def cluster_ward(spark, sf):
+    return li.ward(customers(spark, sf), 4)
+
+
+@query("cluster_ward_heights")
+def cluster_ward_heights(spark, sf):
+    return li.ward_heights(customers(spark, sf))
+
+
 @query("cluster_pvalue")
 def cluster_pvalue(spark, sf):
     return cl.cluster_pvalue(*si.feature_arrays(b.full_months(spark, sf), "ar"), 0.6)
