@@ -6,7 +6,8 @@ once and stop as soon as every slot has a value below the next rank, so long doc
 
 Links. Documents with equal shingle sets become one representative first. A representative meets others where a
 band of its signature is equal. In a few rounds each is compared with one partner of its buckets, another in each round, which
-joins most of a group of copies without listing its pairs. What still lies in one bucket but in different components is compared
+joins most of a group of copies without listing its pairs; a round is left out when the tiles have little left to compare, or when
+the round before hardly lessened it. What still lies in one bucket but in different components is compared
 in tiles of bounded size by whole signatures. Rows that have a partner which may be similar enough get their full sets, and
 their tile confirms the pairs and joins components as it goes, most similar pairs first: only links leave it, no pairs. Every link
 is confirmed on the full sets of both texts.
@@ -22,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from seriesloom.llm.components import components
 from seriesloom.llm.tables import batches_of, slim, sorted_runs, stage
@@ -32,6 +34,8 @@ from seriesloom.session import unstage
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
 TILE = 512
+# comparisons for each row of a bucket that the tiles may have left
+PAIRS = 64
 
 _U = np.uint64
 
@@ -146,17 +150,17 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _unfold(reps: DataFrame) -> DataFrame:
-    """key, id: one row for each band of each representative."""
+    """key, id, look: one row for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-                ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
+                ids, looks = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("id", "look"))
                 for a in range(0, len(ids), 200_000):
-                    yield pa.record_batch({"key": pa.array(keys[a : a + 200_000]), "id": pa.array(ids[a : a + 200_000])})
+                    yield pa.record_batch({"key": pa.array(keys[a : a + 200_000]), "id": pa.array(ids[a : a + 200_000]), "look": pa.array(looks[a : a + 200_000])})
 
-    return reps.select("id", "bands").mapInArrow(run, "key long, id long")
+    return reps.select("id", "look", "bands").mapInArrow(run, "key long, id long, look int")
 
 
 def alike(p: np.ndarray, q: np.ndarray, share: int) -> bool:
@@ -169,39 +173,55 @@ def alike(p: np.ndarray, q: np.ndarray, share: int) -> bool:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs ``a``, ``b`` and whether their full sets (``id``, ``items``) are alike."""
+    """The rows of ``pairs`` (``a``, ``b`` and others) and whether the full sets (``id``, ``items``) of a and b are alike."""
+    names, schema = pairs.columns, StructType([*pairs.schema.fields, StructField("ok", BooleanType())])
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in zip(batch.column("x"), batch.column("y"))]
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(keep, pa.bool_())})
+            yield pa.record_batch({c: batch.column(c) for c in names} | {"ok": pa.array(keep, pa.bool_())})
 
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+    return met.select(*names, "x", "y").mapInArrow(run, schema)
 
 
-def _tile_links(members: DataFrame, looks: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _blocks(members: DataFrame, order: Column) -> DataFrame:
+    """A row for each bucket (``key``) of several components.
+
+    main: its largest component; mains, others: the blocks of main and of the rest; n_all and pairs: its rows and how many pairs
+    of them the tiles compare; partner: the component and id of its smallest row by ``order``.
+    """
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_own"), F.min(order).alias("rank"), F.min_by("id", order).alias("id"))
+    buckets = counts.groupBy("key").agg(
+        F.max(F.struct("n_own", "component")).alias("top"), F.sum("n_own").alias("n_all"), F.count(F.lit(1)).alias("n_comp"), F.min(F.struct("rank", "component", "id")).alias("partner")
+    )
+    rest = F.col("n_all") - F.col("top.n_own")
+    return buckets.where("n_comp > 1").select(
+        "key",
+        F.col("top.component").alias("main"),
+        F.ceil(rest / TILE).cast("int").alias("others"),
+        F.ceil(F.col("top.n_own") / TILE).cast("int").alias("mains"),
+        "n_all",
+        (rest * F.col("n_all")).alias("pairs"),
+        F.struct("partner.component", "partner.id").alias("partner"),
+    )
+
+
+def _tile_links(members: DataFrame, blocks: DataFrame, looks: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links between different components that share a bucket: enough of them to join all that are linked.
 
-    ``members``: key, id, component, n, bands, short. The largest component of a bucket is not compared with itself.
+    ``members``: key, id, look, component; ``look`` tells the sets of an id apart. The largest component of a bucket is not compared with itself.
     The others and it are cut into blocks by hash, and a tile is a pair of blocks: at most about 2 x TILE rows each.
     """
-    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_own"))
-    buckets = counts.groupBy("key").agg(F.max(F.struct("n_own", "component")).alias("top"), F.sum("n_own").alias("n_all"), F.count(F.lit(1)).alias("n_comp")).where("n_comp > 1")
-    blocks = stage(
-        buckets.select(
-            "key", F.col("top.component").alias("main"), F.ceil((F.col("n_all") - F.col("top.n_own")) / TILE).cast("int").alias("others"), F.ceil(F.col("top.n_own") / TILE).cast("int").alias("mains")
-        )
-    )
     own = members.join(blocks, "key").withColumn("in_main", F.col("component") == F.col("main"))
     spread = F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     own = own.withColumn("block", F.when(F.col("in_main"), F.col("others") + spread).otherwise(spread))
     # the blocks that a block meets: those of the main component only the others, the others all
     facing = F.when(F.col("in_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     dealt = own.withColumn("face", F.explode(facing)).withColumn("t1", F.least("block", "face")).withColumn("t2", F.greatest("block", "face"))
-    dealt = dealt.select("key", "t1", "t2", "block", "id", "component")
+    dealt = dealt.select("key", "t1", "t2", "block", "id", "look", "component")
     names, small = dealt.columns, stage(_small_looks(looks))
-    seen = dealt.join(small, "id").select(*dealt.columns, "n", "bands", "short")
+    seen = dealt.join(small, ["id", "look"]).select(*dealt.columns, "n", "bands", "short")
     least = share / 100 - 4.5 * (share / 100 * (1 - share / 100) / SLOTS) ** 0.5
 
     def pairs_of(table: pa.Table) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -239,7 +259,7 @@ def _tile_links(members: DataFrame, looks: DataFrame, sets: DataFrame, share: in
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key", "t1", "t2"]):
-            ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+            comp = table.column("component").to_numpy()
             items = table.column("items").combine_chunks()
             full = lambda i: np.frombuffer(items[int(i)].as_buffer(), np.uint64)  # noqa: B023, E731
             links = []
@@ -257,15 +277,15 @@ def _tile_links(members: DataFrame, looks: DataFrame, sets: DataFrame, share: in
                     p, q = find(int(comp[i])), find(int(comp[k]))
                     if p != q and alike(full(i), full(k), share):
                         root[p] = q
-                        links.append((max(int(ids[i]), int(ids[k])), min(int(ids[i]), int(ids[k]))))
+                        links.append((int(comp[i]), int(comp[k])))
             if links:
                 a, b = zip(*links)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     tiled = lambda df: df.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     flagged = stage(tiled(seen).mapInArrow(near, dealt.schema))
-    found = stage(tiled(flagged.join(small, "id").join(sets.select("id", "items"), "id").select(*seen.columns, "items")).mapInArrow(link, "a long, b long"))
-    for done in (blocks, small, flagged):
+    found = stage(tiled(flagged.join(small, ["id", "look"]).join(sets, ["id", "look"]).select(*seen.columns, "items")).mapInArrow(link, "a long, b long"))
+    for done in (small, flagged):
         unstage(done)
     return found
 
@@ -276,9 +296,9 @@ def _small_looks(looks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             half = lambda name, kind: pa.array([np.frombuffer(x, kind)[::2].tobytes() for x in batch.column(name).to_pylist()], pa.binary())  # noqa: B023, E731
-            yield pa.record_batch({"id": batch.column("id"), "n": batch.column("n"), "bands": half("bands", "<u4"), "short": half("short", "<u1")})
+            yield pa.record_batch({"id": batch.column("id"), "look": batch.column("look"), "n": batch.column("n"), "bands": half("bands", "<u4"), "short": half("short", "<u1")})
 
-    return looks.select("id", "n", "bands", "short").mapInArrow(run, "id long, n long, bands binary, short binary")
+    return looks.select("id", "look", "n", "bands", "short").mapInArrow(run, "id long, look int, n long, bands binary, short binary")
 
 
 def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 4) -> DataFrame:
@@ -292,67 +312,81 @@ def link_groups(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "
     signed = stage(_sign(own, size))
     full = signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
     # one representative for each set: the smallest id
-    reps = stage(full.groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands", "short")).alias("r")).select("same", F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.short"))
+    reps = stage(full.groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands", "short")).alias("r")).select("same", F.hash("same").alias("look"), F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.short"))
     # an id may stand for several sets, or belong to the set of another id; both are links of their own
     alike_ids = full.select("doc_id", "same").join(reps.select("same", F.col("id").alias("rep")), "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     keyed = _unfold(reps)
     # written before it is joined, here and below: then the join shuffles both sides and Spark can split a hot key
-    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
-    met = stage(keyed.join(buckets, "key").select("key", "id"))
+    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"))
+    met = stage(keyed.join(buckets, "key").select("key", "id", "look", "low"))
     candidates = met.select("id").distinct()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for batch in batches_of(batches, "text"):
             sets = [shingle_set(t, size, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"id": batch.column("doc_id"), "items": pa.array(sets, pa.binary())})
+            yield pa.record_batch({"id": batch.column("doc_id"), "same": pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), "items": pa.array(sets, pa.binary())})
 
     # ids with several texts give several sets; a link of any of them is a link of the document
-    sets = stage(own.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(take, "id long, items binary").distinct())
+    sets = stage(own.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(take, "id long, same binary, items binary").distinct().select("id", F.hash("same").alias("look"), "items"))
 
-    tried = None
-    labels = candidates.select("id", F.col("id").alias("component"))
+    tried = blocks = former_left = None
+    members = met.select("key", "id", "look", F.col("id").alias("component"))
     for k in range(star_rounds):
         # one partner for each member: of the partners that its buckets name, the one that most of them do; a bucket names its
         # smallest id, in later rounds its smallest by another hash
-        now = met.join(labels, "id")
-        order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
-        former = labels if k else None
-        partner = stage(now.groupBy("key").agg(F.min_by(F.struct("component", "id"), order).alias("p")))
-        pairs = now.join(partner, "key").where(F.col("component") != F.col("p.component")).groupBy("id", F.col("p.id").alias("partner")).agg(F.count(F.lit(1)).alias("n"))
-        pairs = pairs.select("id", "partner", "n", F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b"))
+        if blocks is None:
+            named = met.select("id", F.col("id").alias("component"), F.col("low").alias("partner"), F.col("low").alias("other"))
+        else:
+            named = members.join(blocks.select("key", "partner"), "key").select("id", "component", F.col("partner.id").alias("partner"), F.col("partner.component").alias("other"))
+        # the rows of an id, at most one for each band, stay together for both sums
+        named = named.where("component <> other").repartition("id").groupBy("id", "partner", "component", "other").agg(F.count(F.lit(1)).alias("n"))
+        pairs = named.select("id", "n", F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b"), F.greatest("component", "other").alias("c"), F.least("component", "other").alias("to"))
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        best = stage(pairs.groupBy("id").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
+        best = stage(pairs.groupBy("id").agg(F.max(F.struct("n", "a", "b", "c", "to")).alias("best")).select("best.a", "best.b", "best.c", "best.to").distinct())
         if best.isEmpty():
             break
         seen = stage(confirmed(best, sets, share))
-        unstage(partner)
         unstage(best)
         tried = seen if tried is None else tried.unionAll(seen)
-        labels = _label(candidates, tried.where("ok").select("a", "b"))
-        if former is not None:
-            unstage(former)
+        former = [met] if blocks is None else [members, blocks]
+        members = _relabel(members, seen.where("ok").select("c", "to"))
+        for done in former:
+            unstage(done)
+        blocks = stage(_blocks(members, F.xxhash64("id", F.lit(k + 1))))
+        left, rows = blocks.agg(F.sum("pairs"), F.sum("n_all")).first()
+        # the rounds save comparisons in tiles: few of them are done there at once, and so are those that a round hardly lessens
+        if left is None or left <= PAIRS * rows or (former_left is not None and left > 0.75 * former_left):
+            break
+        former_left = left
     links = alike_ids
     if tried is not None:
-        looks = reps.groupBy("id").agg(F.min(F.struct("n", "bands", "short")).alias("r")).select("id", "r.*")
-        members = met.join(labels, "id")
-        mixed = stage(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-        more = _tile_links(members.join(mixed, "key"), looks, sets, share)
-        unstage(mixed)
-        links = links.unionAll(tried.where("ok").select("a", "b")).unionAll(more)
+        # between components, whose names are ids: shorter ways to the smallest one than between the ids
+        links = links.unionAll(tried.where("ok").select(F.col("c").alias("a"), F.col("to").alias("b")))
+    if blocks is not None and not blocks.isEmpty():
+        links = links.unionAll(_tile_links(members, blocks, reps, sets, share))
     labels = stage(components(links))
-    for done in (buckets, met, sets, reps):
+    for done in [buckets, sets, reps] + ([met] if blocks is None else [members, blocks]):
         unstage(done)
     named = signed.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     found = F.coalesce("component", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), found.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _label(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return stage(nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the component that theirs is linked with: the smallest, and then the smallest that this one is linked with.
+
+    ``links``: pairs of components, ``c`` > ``to``. Equal names stand for members that are linked; those of a longer chain may keep
+    different names for now, which costs comparisons and no link.
+    """
+    first = stage(links.groupBy("c").agg(F.min("to").alias("to")))
+    second = stage(first.join(first.select(F.col("c").alias("to"), F.col("to").alias("then")), "to", "left").select("c", F.coalesce("then", "to").alias("to")))
+    found = stage(members.join(second.withColumnRenamed("c", "component"), "component", "left").select("key", "id", "look", F.coalesce("to", "component").alias("component")))
+    unstage(first)
+    unstage(second)
+    return found
 
 
 def keep_one(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

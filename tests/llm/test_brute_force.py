@@ -178,6 +178,42 @@ def test_near_groups_of_many_copies(spark, seed, size, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in got} == near_by_trial(docs, size)
 
 
+@pytest.mark.parametrize("pairs", [0, 10**9])
+def test_near_groups_with_several_texts_by_id(spark, pairs, monkeypatch):
+    """Ids with several texts, by rounds of partners as long as they lessen the tiles' work, and by tiles after the first."""
+    monkeypatch.setattr(near_dedup, "TILE", 7)
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+    docs = [(d % 170, text) for d, text in copies(3)]
+    got = near_dedup.link_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=2).collect()
+    want = near_by_trial(docs, 2)
+    assert len(got) == len(docs)
+    assert {r.doc_id: {r.component_id} for r in got} == {d: {c} for d, (_, c, _) in want.items()}
+
+
+def test_links_of_a_second_text_in_tiles(spark):
+    """Each of two texts of an id has a partner of its own: one is linked by the first round, the other by a tile."""
+    rng = random.Random(9)
+    x, y = ([f"{c}{rng.randrange(10**6)}" for _ in range(120)] for c in "xy")
+    near = lambda words, k: " ".join(words[:k] + ["new"] + words[k + 1 :])
+    docs = [(1, near(x, 10)), (2, near(y, 20)), (3, " ".join(x)), (3, " ".join(y))]
+    got = near_dedup.link_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=2, star_rounds=1).collect()
+    assert {r.component_id for r in got} == {1}
+
+
+def test_near_groups_write_few_tables(spark, monkeypatch):
+    """Each written table costs a job over all shuffle partitions, however few rows it has."""
+    count = []
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "stage", lambda df, f=module.stage: (count.append(1), f(df))[1])
+    docs = copies(4)
+    near_dedup.link_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=2).collect()
+    assert len(count) <= 35
+    count.clear()
+    stars = [(100 * a + b, 100 * a) for a in range(5) for b in range(1, 20)]
+    assert components.components(spark.createDataFrame(stars, "a long, b long")).count() == 100
+    assert len(count) == 2
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     gaps = []
