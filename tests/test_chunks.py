@@ -43,13 +43,14 @@ def test_sums_do_not_write_the_rows_per_block(spark, many, within):
     assert shuffled(spark, lambda: si.tile_sums(v, ds.euclid, 10, within).collect()) < 3
 
 
-@pytest.mark.parametrize("how", ["stats", "profile"])
+@pytest.mark.parametrize("how", ["stats", "profile", "update"])
 def test_measures_do_not_write_the_rows_per_block(spark, many, how):
     points, labels = many
     v = cl.stage(frame(spark, points, labels))
     runs = {
         "stats": lambda: cl.cluster_stats(si.tile_sums(v, ds.euclid, 10), v).collect(),
         "profile": lambda: cl.cluster_profile(si.tile_sums(v, ds.euclid, 10)).collect(),
+        "update": lambda: cl.update(v, ds.euclid, 10).collect(),
     }
     assert shuffled(spark, runs[how]) < 3
 
