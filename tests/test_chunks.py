@@ -36,6 +36,28 @@ def shuffled(spark, run):
     return sum(size for name, size in files().items() if name not in before and name.startswith("shuffle_")) / 1e6
 
 
+def test_exchanges_are_found_without_a_copy_of_the_rows_per_block(spark, many):
+    """Of forty blocks; the rows are 0.2 MB."""
+    points, _ = many
+    v = frame(spark, points, np.ones(400))
+    seen = cl.stage(cl.with_medoids(v.select("id", "a"), [(i, points[i]) for i in range(3)], ds.euclid))
+    assert shuffled(spark, lambda: cl.best_swaps(seen, 3, ds.euclid, block=10, metric=False)) < 3
+
+
+def test_exchanges_equal_brute_force(spark, many):
+    points, _ = many
+    d = np.linalg.norm(points[:, None] - points[None], axis=2)
+    medoids = [3, 50, 370]
+    cost = lambda of: d[:, of].min(axis=1).sum()
+    for k in (1, 3):
+        seen = cl.stage(cl.with_medoids(frame(spark, points, np.ones(400)).select("id", "a"), [(i, points[i]) for i in medoids[:k]], ds.euclid))
+        found = cl.best_swaps(seen, k, ds.euclid, block=64)
+        assert found["cost"] == pytest.approx(cost(medoids[:k]))
+        for change, i, m in found["swaps"]:
+            after = [cost([*medoids[:m], x, *medoids[m + 1 : k]]) for x in range(400)]
+            assert i == int(np.argmin(after)) and change == pytest.approx(min(after) - cost(medoids[:k]), abs=1e-6)
+
+
 @pytest.mark.parametrize("within", [False, True])
 def test_sums_do_not_write_the_rows_per_block(spark, many, within):
     points, labels = many
