@@ -58,6 +58,19 @@ def test_exchanges_equal_brute_force(spark, many):
             assert i == int(np.argmin(after)) and change == pytest.approx(min(after) - cost(medoids[:k]), abs=1e-6)
 
 
+def test_gaps_pass_over_blocks_of_one_component(spark):
+    """Each point is nearest to the one before it, so that the first round links all; the last one compared all pairs again."""
+    points = np.cumsum(1.2 ** np.arange(64))[:, None]
+    compared = spark.sparkContext.accumulator(0)
+
+    def kernel(x, y):
+        compared.add(len(x) * len(y))
+        return ds.euclid(x, y)
+
+    assert [tuple(r) for r in cl.widest_gap(frame(spark, points, np.ones(64)), kernel, block=8).collect()] == [(1, pytest.approx(1.2**63))]
+    assert 64 * 63 / 2 <= compared.value < 1.5 * 64 * 63 / 2
+
+
 @pytest.mark.parametrize("within", [False, True])
 def test_sums_do_not_write_the_rows_per_block(spark, many, within):
     points, labels = many
@@ -106,7 +119,8 @@ def test_text_ids_and_empty_tables(spark):
     rows = [("b", [0.0, 0.0], 1), ("a", [3.0, 4.0], 1), ("c", [0.0, 1.0], 2), ("d", [0.0, 8.0], 1)]
     v = spark.createDataFrame(rows, "id string, a array<double>, label int")
     assert {(r["id"], r["other"]): r["s"] for r in si.tile_sums(v, ds.euclid, 2).collect() if r["other"] == 2} == pytest.approx({("b", 2): 1.0, ("a", 2): 18**0.5, ("d", 2): 7.0})
-    assert si.tile_sums(v.limit(0), ds.euclid).count() == 0
+    assert {r["label"]: r["widest_gap"] for r in cl.widest_gap(v, ds.euclid, 2).collect()} == {1: pytest.approx(5.0), 2: 0.0}
+    assert si.tile_sums(v.limit(0), ds.euclid).count() == 0 and cl.widest_gap(v.limit(0), ds.euclid).count() == 0
 
 
 def test_distances_that_cancel():
