@@ -67,12 +67,29 @@ def parse_lines(
     width = max(map(len, layouts.values()), default=1)
     schema = ", ".join(f"c{i} string" for i in range(width))
     fields = lambda line: F.from_csv(line, schema, {"sep": sep, "quote": '"', "mode": "PERMISSIVE"})
-    listed = lambda row: F.array(*[F.col(f"{row}.c{i}") for i in range(width)])
-    rows = _body(lines, heads).where(F.col("line").rlike(row_pattern)).select("file", F.size(_open_fields("_header", sep)).alias("_n"), fields("_header").alias("_h"), fields("line").alias("_row"))
-    names = F.transform(F.slice(listed("_h"), 1, F.col("_n")), lambda n: _snake_column(F.trim(n)))
-    cells = F.map_from_arrays(names, F.slice(listed("_row"), 1, F.col("_n")))
-    value = lambda name: F.nullif(F.trim(F.try_element_at("_cells", F.lit(name))), F.lit(""))
-    return rows.withColumn("_cells", cells).select("file", *[value(name).alias(name) for name in dict.fromkeys(columns)])
+    # names are made once for a layout; a row has its layout's number and knows by it which field is which
+    named = F.transform(F.slice(F.array(*[F.col(f"_h.c{i}") for i in range(width)]), 1, F.col("_n")), lambda n: _snake_column(F.trim(n)))
+    made = heads.select("_header").distinct().select("_header", F.size(_open_fields("_header", sep)).alias("_n"), fields("_header").alias("_h")).select("_header", named.alias("_names"))
+    names = {r["_header"]: r["_names"] for r in made.collect()}
+    number = {h: i for i, h in enumerate(sorted(names))}
+    numbered = heads.select("file", "_at", F.coalesce(*[F.when(F.col("_header") == F.lit(h), F.lit(i)) for h, i in number.items()], F.lit(None)).cast("int").alias("_layout"))
+    # inline holds back filters on fields, which would else be moved below and parse the line once more for each field they name
+    rows = _body(lines, numbered).where(F.col("line").rlike(row_pattern)).select("file", "_layout", F.inline(F.array(fields("line"))))
+
+    def value(name: str) -> Column:
+        cell = F.lit(None).cast("string")
+        for header, i in number.items():
+            found = names[header]
+            if None in found or len(set(found)) < len(found):
+                here = F.raise_error(F.lit(f"a header without a name for each field, or with one twice: {header}")).cast("string")
+            elif name in found:
+                here = F.col(f"c{found.index(name)}")
+            else:
+                continue
+            cell = F.when(F.col("_layout") == i, here).otherwise(cell)
+        return F.nullif(F.trim(cell), F.lit(""))
+
+    return rows.select("file", *[value(name).alias(name) for name in dict.fromkeys(columns)])
 
 
 def _open_fields(line: str, sep: str) -> Column:
@@ -150,15 +167,17 @@ def statement_lines(df: DataFrame, preamble: Sequence[str], sep: str = ";", quot
     names = list(df.columns)
     head = [*preamble, sep.join(names)]
 
-    def with_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
+    def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, first = None, True
         for batch in batches:
-            body = batch["value"].tolist()
-            if body:
-                yield pd.DataFrame({"value": [*head, *body] if first else body})
+            if batch.num_rows:
+                text = batch.schema
+                if first:
+                    yield pa.record_batch([pa.array(head, text.field(0).type)], schema=text)
+                yield batch
                 first = False
         if trailer and not first:
-            yield pd.DataFrame({"value": [trailer]})
+            yield pa.record_batch([pa.array([trailer], text.field(0).type)], schema=text)
 
     text = lambda n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(""))
     cells = [F.concat(F.lit('"'), text(n), F.lit('"')) if n in quoted else text(n) for n in names]
@@ -166,7 +185,7 @@ def statement_lines(df: DataFrame, preamble: Sequence[str], sep: str = ";", quot
     if short:
         line = F.when(F.col(f"`{names[-1]}`") == 0, F.concat_ws(sep, *cells[:-1])).otherwise(line)
     body = df.select(line.alias("value"))
-    return body.mapInPandas(with_head, "value string")
+    return body.mapInArrow(with_head, "value string")
 
 
 def pack_archives(lines: DataFrame, head_lines: int = 3, lines_per_archive: int = 200_000) -> DataFrame:
